@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, mixing, token_counts, warc
+from . import byte_bpe, fingerprints, language_id, mixing, ngram_join, personal_data, token_counts, toxicity, warc
 from .common import table
 
 
@@ -27,11 +27,49 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
+def _part(parts: int):
+    """The fold of a document: the CRC-32 of its id as text."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = _part(4) == 2
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = _part(5) == 0
+    found = language_id.identify(docs, language_id.train(docs.filter(~held_out)))
+    return found.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data.find(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_copies(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_warc": op4_warc,
+    "op5_fingerprints": op5_fingerprints,
+    "op6_toxicity": op6_toxicity,
+    "op7_language_id": op7_language_id,
+    "op8_personal_data": op8_personal_data,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {
