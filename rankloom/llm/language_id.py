@@ -229,6 +229,20 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _judged(texts: list[str | None], scorer: _Scorer | None, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(place of the language, score, cross-entropy, rejected) of each text."""
+    n = len(texts)
+    best, score, entropy = np.full(n, len(model.languages)), np.zeros(n), np.full(n, np.nan)
+    if scorer and n:
+        found = np.concatenate([scorer.entropies(x) for x in _runs(texts)])
+        ok = ~np.isnan(found[:, 0])
+        if ok.any():
+            best[ok] = found[ok].argmin(axis=1)
+            entropy[ok] = found[ok].min(axis=1)
+            score[ok] = _softmax(-found[ok] * model.temperature).max(axis=1)
+    return best, score, entropy, ~(entropy <= np.append(model.most, -np.inf)[best])
+
+
 def identify(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row of ``docs``: the id, lang_pred, score, cross_entropy, rejected."""
     kind = docs.schema[id_column].dataType
@@ -240,17 +254,21 @@ def identify(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_c
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         scorer = _Scorer(model.models) if model.models else None
         for batch in batches:
-            n = batch.num_rows
-            texts = batch.column(1).to_pylist()
-            best, score, entropy = np.full(n, len(names) - 1), np.zeros(n), np.full(n, np.nan)
-            if scorer and n:
-                found = np.concatenate([scorer.entropies(x) for x in _runs(texts)])
-                ok = ~np.isnan(found[:, 0])
-                if ok.any():
-                    best[ok] = found[ok].argmin(axis=1)
-                    entropy[ok] = found[ok].min(axis=1)
-                    score[ok] = _softmax(-found[ok] * model.temperature).max(axis=1)
-            rejected = ~(entropy <= np.append(model.most, -np.inf)[best])
+            best, score, entropy, rejected = _judged(batch.column(1).to_pylist(), scorer, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)], names=schema.names)
 
     return docs.select(F.col(id_column), F.col(text_column).alias("text")).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, *, text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not rejected."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+        scorer = _Scorer(model.models) if model.models else None
+        for batch in batches:
+            yield batch.filter(pa.array(~_judged(batch.column(at).to_pylist(), scorer, model)[3]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -165,3 +165,14 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, ceiling: float
     copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(F.col("extra"), F.lit(0.0))).otherwise(0.0).cast("long")
     out = joined.withColumn("copies", copies).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
     return out.select(F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed(docs: DataFrame, *, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; documents without words are not taken."""
+    taken = mix(docs, id_column=id_column, source_column=source_column, text_column=text_column, **options).filter("copies > 0")
+    taken = checkpointed(taken.select(F.col(id_column).alias("__id"), F.col(source_column).alias("__source"), F.col("size").alias("__size"), "copies").distinct().withColumnRenamed("copies", "__copies"))
+    few = taken.limit(broadcast_rows + 1).count() <= broadcast_rows  # about 50 bytes a row
+    size = F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long")
+    on = docs[id_column].eqNullSafe(F.col("__id")) & docs[source_column].eqNullSafe(F.col("__source")) & (size == F.col("__size"))
+    joined = docs.join(F.broadcast(taken) if few else taken, on)
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)

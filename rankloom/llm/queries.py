@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, language_id, mixing, ngram_join, personal_data, token_counts, toxicity, warc
+from . import audio, byte_bpe, fingerprints, language_id, mixing, ngram_join, personal_data, token_counts, toxicity, warc
 from .common import table
 
 
@@ -56,6 +56,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    recordings = audio.melodies(table(spark, sf_dir, "embeddings"), id_column="vec_id", vector_column="embedding")
+    prints = audio.fingerprints(recordings, id_column="vec_id", audio_column="audio")
+    return audio.align(prints, F.col("vec_id") % 20 == 0, id_column="vec_id")
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op6_toxicity": op6_toxicity,
     "op7_language_id": op7_language_id,
     "op8_personal_data": op8_personal_data,
+    "op9_audio": op9_audio,
     "op10_ngram_join": op10_ngram_join,
 }
 
