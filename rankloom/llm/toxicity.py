@@ -140,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
         return out.assign(rows=len(rows))
 
     found = joined.groupBy("shard").applyInPandas(shard, "place long, weight double, rows long")
-    shards = F.max("rows").alias("rows"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total")
+    shards = F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("total")
     got = found.groupBy("place").agg(*shards).toPandas()  # at most 2**bits + 1 rows, few of them not zero
     if got.empty:
         return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -np.inf, bits, 0)
