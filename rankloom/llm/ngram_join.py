@@ -6,13 +6,14 @@ per document: its class (linked texts, through any number of links) and its
 number of links.
 
 1. Equal texts become one representative. Each gets ``COORDINATES`` min-hashes,
-   so a set is embedded as that many tokens, and two bits of each as a sketch.
+   so a set is embedded as that many tokens, and four bits of each as a sketch.
 2. Chosen paths: at a node of the search tree every set goes to the children
    named by the tokens that the node samples, ``1 / threshold`` of them in
    expectation, so linked sets are expected to stay together at least once. Small
    nodes are compared by brute force, by sketch. In a large node all members are
-   held against one random member; unless all are near it, the node is split
-   again. ``runs`` independent repeats bring the recall to its target.
+   held against one random member, and the few that are far from it against all
+   others; a node with many such is split again. Independent repeats bring the
+   recall to its target.
 3. An exact check follows. What the paths connected is compared by whole shingle
    sets, in blocks of at most about ``BLOCK`` sets: each pair of a group meets in
    exactly one block, so links are counted there and only numbers per document
@@ -50,8 +51,12 @@ RECALL = 0.999
 PER_RUN = 0.46
 #: Nodes of at most so many sets are compared all with all.
 SMALL_NODE = 32
-#: Sketch coordinates that may differ: 9.6 are expected at a likeness of 0.8, with deviation 2.9.
-DIFFERENT = 22
+#: Sketch coordinates that may differ: 12 are expected at a likeness of 0.8, with deviation 3.1.
+DIFFERENT = 25
+#: The same for a large node's random member: 22 at 0.64, the least between two sets that a third is linked to; 50 at 0.16.
+LOOSE = 33
+#: So many far members of a large node are held against all others before it is split.
+FEW_FAR = 16
 BLOCK = 1024
 #: Ids of at most so many members of groups (about 40 bytes each) are broadcast.
 BROADCAST_ROWS = 500_000
@@ -123,8 +128,11 @@ class _Reader:
         return words, _key(words, self.powers)
 
 
+_SKETCH = ("s0", "s1", "s2", "s3")
+
+
 def _signed(texts: DataFrame) -> DataFrame:
-    """(id, key, n, low, high, tokens): the key of the text, its number of shingles, sketch and min-hashes."""
+    """``texts`` (id, text, mark) to (id, mark, key, n, sketch, tokens): the key of the text, its number of shingles, sketch and min-hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader()
@@ -140,15 +148,12 @@ def _signed(texts: DataFrame) -> DataFrame:
                     part = (found[None, at : at + 4096] * _FACTORS[:, None] + _OFFSETS[:, None]).min(axis=1)
                     tokens[k] = part if at == 0 else np.minimum(tokens[k], part)
             mixed = _mixed(tokens)
-            low, high = (((mixed >> np.uint64(b)) & np.uint64(1)) << shifts for b in (0, 1))
+            bits = ((((mixed >> np.uint64(b)) & np.uint64(1)) << shifts).sum(axis=1, dtype=np.uint64).view(np.int64) for b in range(len(_SKETCH)))
             flat = pa.array((mixed >> np.uint64(32)).astype(np.uint32).view(np.int32).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * COORDINATES), flat)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *(pa.array(x.sum(axis=1, dtype=np.uint64).view(np.int64)) for x in (low, high)), lists],
-                names=["id", "key", "n", "low", "high", "tokens"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, bits), lists], names=["id", "mark", "key", "n", *_SKETCH, "tokens"])
 
-    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, key long, n long, low long, high long, tokens array<int>")
+    return texts.mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, mark long, key long, n long, {', '.join(f'{s} long' for s in _SKETCH)}, tokens array<int>")
 
 
 # -- chosen paths -------------------------------------------------------------
@@ -159,41 +164,51 @@ def runs_for(recall: float, per_run: float = PER_RUN) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - per_run)))
 
 
-def _near(a: Column, b: Column) -> Column:
-    """Whether two sketches differ in few coordinates."""
-    return F.bit_count(a["low"].bitwiseXOR(b["low"]).bitwiseOR(a["high"].bitwiseXOR(b["high"]))) <= DIFFERENT
+def _different(a: Column, b: Column) -> Column:
+    """In how many coordinates two sketches differ."""
+    out = F.lit(0).cast("long")
+    for name in _SKETCH:
+        out = out.bitwiseOR(a[name].bitwiseXOR(b[name]))
+    return F.bit_count(out)
 
 
 def chosen_paths(sets: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 11) -> DataFrame:
-    """``sets`` (key, low, high, tokens) to edges (a, b), a > b, whose sketches are near."""
+    """``sets`` (key, sketch, tokens) to edges (a, b), a > b, whose sketches are near."""
     rng = np.random.default_rng(seed)
     rate = 1 / (threshold * COORDINATES)
     starts = [(r, i) for r in range(runs_for(recall)) for i in np.flatnonzero(rng.random(COORDINATES) < rate).tolist()]
     paths = F.explode(F.array(*(F.xxhash64(F.lit(r), F.lit(i), F.get("tokens", F.lit(i))) for r, i in starts)))
-    entries = sets.select("key", "low", "high", paths.alias("path"))
+    entries = sets.select("key", *_SKETCH, paths.alias("path"))
+    member = F.struct("key", *_SKETCH)
+    pair = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     edges = []
     for level in range(MOST_LEVELS):
-        member = F.struct("key", "low", "high")
         nodes = entries.groupBy(F.col("path").alias("node")).agg(F.count(F.lit(1)).alias("size"), F.min_by(member, F.xxhash64("key", "path")).alias("pivot")).filter("size > 1")
-        shared = checkpointed(entries.join(nodes, F.col("path") == F.col("node")).select("path", "key", "low", "high", "size", "pivot"))
+        shared = checkpointed(entries.join(nodes, F.col("path") == F.col("node")).select("path", "key", *_SKETCH, "size", "pivot"))
         small = shared.filter(F.col("size") <= SMALL_NODE).groupBy("path").agg(F.collect_list(member).alias("m"))
-        below = lambda x: F.transform(F.filter("m", lambda y: (y["key"] < x["key"]) & _near(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
-        edges.append(small.select(F.inline(F.flatten(F.transform("m", below)))).distinct())
-        large = shared.filter(F.col("size") > SMALL_NODE).withColumn("near", _near(F.struct("low", "high"), F.col("pivot")))
-        edges.append(large.filter("near").select(F.greatest("key", "pivot.key").alias("a"), F.least("key", "pivot.key").alias("b")).filter("a > b").distinct())
-        open_ = checkpointed(large.groupBy(F.col("path").alias("node")).agg(F.bool_and("near").alias("done")).filter("not done").select("node"))
+        below = lambda x: F.transform(F.filter("m", lambda y: (y["key"] < x["key"]) & (_different(x, y) <= DIFFERENT)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
+        edges.append(small.select(F.inline(F.flatten(F.transform("m", below)))))
+        large = shared.filter(F.col("size") > SMALL_NODE).withColumn("near", _different(F.struct(*_SKETCH), F.col("pivot")) <= LOOSE)
+        edges.append(large.filter("near").select(pair(F.col("key"), F.col("pivot.key")).alias("e")).select("e.*"))
+        # nodes with members far from the pivot: few of them meet all others, many mean another split
+        far = large.filter("not near").groupBy(F.col("path").alias("node")).agg(F.count(F.lit(1)).alias("far"))
+        open_ = checkpointed(large.join(far, F.col("path") == F.col("node")).select("path", "key", *_SKETCH, "near", "far"))
         if open_.isEmpty():
             break
-        again = large.join(open_, F.col("path") == F.col("node"), "left_semi").select(F.col("key").alias("of"), "path")
+        some = open_.filter(F.col("far") <= FEW_FAR)
+        held = some.filter("not near").groupBy(F.col("path").alias("node")).agg(F.collect_list(member).alias("m"))
+        met = some.join(held, F.col("path") == F.col("node")).select("key", F.filter("m", lambda y: (y["key"] != F.col("key")) & (_different(F.struct(*_SKETCH), y) <= DIFFERENT)).alias("m"))
+        edges.append(met.select(F.inline(F.transform("m", lambda y: pair(F.col("key"), y["key"])))))
+        again = open_.filter(F.col("far") > FEW_FAR).select(F.col("key").alias("of"), "path")
         samples = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.pmod(F.xxhash64(F.col("path"), i), F.lit(1 << 20)) < int(rate * (1 << 20)))
         split = again.join(sets, F.col("of") == F.col("key")).withColumn("i", F.explode(samples))
-        entries = split.select("key", "low", "high", F.xxhash64(F.col("path"), F.lit(level), F.col("i"), F.get("tokens", F.col("i"))).alias("path"))
+        entries = split.select("key", *_SKETCH, F.xxhash64(F.col("path"), F.lit(level), F.col("i"), F.get("tokens", F.col("i"))).alias("path"))
     else:
         raise RuntimeError(f"nodes are still to be split after {MOST_LEVELS} levels")
     out = edges[0]
     for more in edges[1:]:
         out = out.unionAll(more)
-    return checkpointed(out.distinct())
+    return checkpointed(out.filter("a > b").distinct())
 
 
 # -- groups -------------------------------------------------------------------
@@ -217,7 +232,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
-    """How many elements each set of ``left`` shares with each of ``right`` (or of ``left``)."""
+    """How many elements each set of ``left`` shares with each of ``right`` (or with the others of ``left``)."""
     both = left if right is None else [*left, *right]
     rows = np.repeat(np.arange(len(both)), [len(x) for x in both])
     values, column = np.unique(np.concatenate(both), return_inverse=True)
@@ -315,10 +330,32 @@ def _checked(members: DataFrame, threshold: float) -> DataFrame:
 
 def near_copies(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row of ``docs``: the id, class_id (the smallest id of its class), n_links."""
-    texts = docs.select(docs[id_column].alias("id"), text_of(text_column).alias("text"))
+    return _classes(docs, threshold, recall, id_column, text_column).select(F.col("id").alias(id_column), "class_id", "n_links")
+
+
+def deduplicated(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` with one document of each class, that of the smallest id.
+
+    Of rows alike in id and text one stays. Near copies (not equal texts) that
+    share one id, or have none, cannot be told apart by it and stay.
+    """
+    classes = checkpointed(_classes(docs, threshold, recall, id_column, text_column).select("id", "mark", "class_id"))
+    mark = F.xxhash64(docs[text_column])
+    gone = classes.filter(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
+    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    kept = docs.join(F.broadcast(gone) if few else gone, docs[id_column].eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")
+    twice = classes.filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id", "mark").count().filter("count > 1")
+    if twice.isEmpty():
+        return kept
+    return kept.withColumn("__mark", F.xxhash64(kept[text_column])).dropDuplicates([id_column, "__mark"]).drop("__mark")
+
+
+def _classes(docs: DataFrame, threshold: float, recall: float, id_column: str, text_column: str) -> DataFrame:
+    """(id, mark, class_id, n_links) of every row; mark is a hash of the text as it stands."""
+    texts = docs.select(docs[id_column].alias("id"), text_of(text_column).alias("text"), F.xxhash64(docs[text_column]).alias("mark"))
     signed = checkpointed(_signed(texts))
-    reps = checkpointed(signed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.first(F.struct("n", "low", "high", "tokens")).alias("s")).select("key", "copies", "rep", "s.*"))
-    edges = chosen_paths(reps.filter("n > 0").select("key", "low", "high", "tokens"), threshold=threshold, recall=recall)
+    reps = checkpointed(signed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.first(F.struct("n", *_SKETCH, "tokens")).alias("s")).select("key", "copies", "rep", "s.*"))
+    edges = chosen_paths(reps.filter("n > 0").select("key", *_SKETCH, "tokens"), threshold=threshold, recall=recall)
     grouped = checkpointed(components(edges))
     sizes = grouped.groupBy(F.col("root").alias("comp")).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("parts"))
     members = grouped.join(sizes, F.col("root") == F.col("comp")).join(reps.select("key", "copies", "rep"), F.col("node") == F.col("key"))
@@ -332,5 +369,5 @@ def near_copies(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     special = special.select("key", "rep", F.coalesce("class", "key").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     least = special.groupBy(F.col("class").alias("c")).agg(F.min("rep").alias("class_id"))
     info = checkpointed(special.join(least, F.col("class") == F.col("c")).select(F.col("key").alias("of"), "class_id", "n_links"))
-    out = signed.select("id", "key").join(info, F.col("key") == F.col("of"), "left")
-    return out.select(F.col("id").alias(id_column), F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = signed.select("id", "mark", "key").join(info, F.col("key") == F.col("of"), "left")
+    return out.select("id", "mark", F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
