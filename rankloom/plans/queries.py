@@ -585,6 +585,91 @@ def ranker_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.importance(learn.fit_pointwise(df, _FEATURES, trees=5, depth=3), _FEATURES)
 
 
+# -- more of the same tables --------------------------------------------------
+
+
+@_query(_M + """select ranker_id, Id, totalPrice as total_price, legs0_segments0_marketingCarrier_code as marketing_carrier, "profileId" as profile_id, miniRules0_monetaryAmount as cancellation_fee,
+  cast(not (legs0_segments1_departureFrom_airport_iata is not null) as int) as is_direct, round(count(*) over (partition by ranker_id, legs0_segments0_marketingCarrier_code) / count(*) over (partition by ranker_id), 6) as carrier_market_share,
+  row_number() over (partition by ranker_id order by totalPrice, Id) as price_rank, row_number() over (partition by ranker_id order by totalPrice desc, Id) as price_rank_desc,
+  row_number() over (partition by ranker_id order by row_ord) as position,
+  round(duration - avg(duration) over (partition by ranker_id), 6) as duration_diff_from_mean,
+  case when duration is null then null else round(row_number() over (partition by ranker_id order by totalPrice, Id) + rank() over (partition by ranker_id order by duration nulls last) + (count(duration) over (partition by ranker_id, duration) - 1) / 2.0, 6) end as combined_rank_score
+from m""")
+def feature_copies_and_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Renamed copies, ranks and interactions of the feature steps, key columns first."""
+    df = features.key_columns_first(features.all_features(order_sessions(spark, sf_dir)))
+    return _rounded(df.select("ranker_id", "Id", "total_price", "marketing_carrier", "profile_id", "cancellation_fee", "is_direct", "carrier_market_share", "price_rank", "price_rank_desc", "position", "duration_diff_from_mean", "combined_rank_score"))
+
+
+@_query("""
+a as (select o_custkey as k, avg(l_extendedprice) as p, avg(cast(l_returnflag = 'N' as int)) as c from orders join lineitem on l_orderkey = o_orderkey group by 1)
+select count(*) as n_rows, count(distinct ranker_id) as n_groups, round(avg(totalPrice / nullif(p, 0)), 6) as mean_ratio, round(avg(cast(pricingInfo_isAccessTP as int) * c), 6) as mean_compliance
+from sessions left join a on k = ranker_id where "profileId" in (1, 2, 3)""")
+def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan, join of session aggregates, all features, some profiles, key columns first."""
+    items = read_table(spark, sf_dir, "lineitem").join(read_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    aggregates = items.groupBy(F.col("o_custkey").alias("ranker_id")).agg(F.avg("l_extendedprice").alias("avg_total_price"), F.avg((F.col("l_returnflag") == "N").cast("int")).alias("avg_policy_compliant"))
+    df = features.training_frame(order_sessions(spark, sf_dir), aggregates, [1, 2, 3])
+    return _rounded(df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ranker_id").alias("n_groups"), F.avg("price_vs_avg_search_price").alias("mean_ratio"), F.avg("policy_compliance_interaction").alias("mean_compliance")))
+
+
+@_query("select legs0_segments0_marketingCarrier_code, count(*) as n from sessions group by 1")
+def carrier_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.value_counts(order_sessions(spark, sf_dir), "legs0_segments0_marketingCarrier_code")
+
+
+@_query("select Id from sessions where ranker_id in (select ranker_id from sessions where fold = 0) and ranker_id not in (select ranker_id from sessions where totalPrice > 400000)")
+def semi_and_anti_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Options of sessions of a fold that have no option above a price."""
+    df = order_sessions(spark, sf_dir)
+    keys = lambda c: df.filter(c).select("ranker_id").distinct()
+    return df.join(keys("fold = 0"), "ranker_id", "left_semi").join(keys("totalPrice > 400000"), "ranker_id", "left_anti").select("Id")
+
+
+@_query("select fold, count(*) as n, round(sum(totalPrice), 2) as total from sessions group by 1")
+def folds_together(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of single folds as one."""
+    df = order_sessions(spark, sf_dir)
+    return _rounded(splits.out_of_fold([df.filter(F.col("fold") == k) for k in range(5)]).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("totalPrice").alias("total")), 2)
+
+
+@_query("""select c_custkey, contains('/' || upper(substr(c_mktsegment, 1, 2)) || '/' || upper(substr(c_mktsegment, 3, 2)) || '/', '/' || upper(substr(c_name, 1, 2)) || '/') as loyalty_match,
+  year(timestamp '2020-06-01') - cast(1940 + c_nationkey as int) as traveller_age from customer""", raw=True)
+def loyalty_and_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programmes that hold the carrier, and the traveller's age at the request."""
+    two = lambda c, k: F.upper(F.substring(c, k, 2))
+    df = read_table(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("/", two("c_mktsegment", 1), two("c_mktsegment", 3)).alias("frequentFlyer"), two("c_name", 1).alias("carrier"), (1940 + F.col("c_nationkey")).cast("int").alias("year_of_birth"), F.lit("2020-06-01").alias("request_time"))
+    return reports.traveller_age(reports.loyalty_match(df, carrier="carrier")).select("c_custkey", "loyalty_match", "traveller_age")
+
+
+@_query("""select o_orderkey, round(1 - o_orderkey % 100 / 100.0, 6) as flex_score from orders""", raw=True)
+def flex_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A penalty block of a feature map, cast and derived."""
+    raw = read_table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 100).cast("string").alias("penalty"))
+    block = documents.feature_blocks(raw, [{"path": "p", "name": "penalty", "dtype": "float"}], penalty="penalty", join_key="o_orderkey")["penalty"]
+    return _rounded(block.select("o_orderkey", "flex_score"))
+
+
+@_query("select user_id, count(*) as n, round(sum(value), 4) as total from events group by 1", raw=True)
+def bucketed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucketed table grouped by its key: no shuffle."""
+    name = f"events_{uuid.uuid4().hex}"
+    tables.write_bucketed(read_table(spark, sf_dir, "events").select("user_id", "value"), name, "user_id", 8)
+    return _rounded(spark.table(name).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
+
+
+@_query()
+def table_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.schema_info(spark, f"{sf_dir}/orders.parquet")
+
+
+@_query()
+def search_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean NDCG over two folds for settings of the pairwise ranker."""
+    df = features.all_features(order_sessions(spark, sf_dir)).withColumn("fold", F.col("fold") % 2)
+    return learn.search(df, ["totalPrice", "price_rank"], {"reg": [0.01, 0.1]}, fold="fold")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking_summary(spark, sf_dir)
 
