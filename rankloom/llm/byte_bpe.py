@@ -21,6 +21,8 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,7 +82,8 @@ def _engine(ranks_path: str):
     import duckdb
 
     ranks = read_ranks(ranks_path)
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB"})
+    spill = os.path.join(tempfile.gettempdir(), f"rankloom-duckdb-{os.getpid()}")
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": spill})
     merges = merge_table(ranks)
     vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hex": pa.array([t.hex() for t in ranks])})
     con.register("merges_in", merges)
