@@ -58,7 +58,7 @@ def stratified_folds(df: DataFrame, group: str = "profileId", label: str = LABEL
     sums = df.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("__pos"), F.count(F.lit(1)).alias("__rows"))
     banded = sums.withColumn("__band", F.floor(F.log2(F.col("__pos") + 1.0)) * buckets + F.pmod(key_hash(group, f"{seed}b"), F.lit(buckets)))
     order = Window.partitionBy("__band").orderBy(F.desc("__pos"), F.desc("__rows"), key_hash(group, seed), group)
-    k = F.row_number().over(order) - 1 + F.pmod(F.xxhash64("__band"), F.lit(2 * folds))
+    k = F.row_number().over(order) - 1 + F.pmod(key_hash("__band", seed), F.lit(2 * folds))
     lap, seat = F.floor(k / folds), F.pmod(k, F.lit(folds))
     fold = F.when(F.pmod(lap, F.lit(2)) == 0, seat).otherwise(folds - 1 - seat).cast("int")
     return df.join(banded.select(group, fold.alias(name)), group)

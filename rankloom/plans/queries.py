@@ -317,7 +317,12 @@ def group_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.group_folds(order_sessions(spark, sf_dir), name="group_fold").select("ranker_id", "group_fold").distinct()
 
 
-@_query()
+@_query(f"""
+g as (select ranker_id, sum(selected) as pos, count(*) as n from sessions group by 1),
+b as (select *, cast(floor(log2(pos + 1)) as bigint) * 64 + {_HASH.format(k="ranker_id", s="42b")} % 64 as band, {_HASH.format(k="ranker_id", s=42)} as h from g),
+k as (select *, row_number() over (partition by band order by pos desc, n desc, h, ranker_id) - 1 + {_HASH.format(k="band", s=42)} % 10 as k from b),
+f as (select *, cast(case when (k // 5) % 2 = 0 then k % 5 else 4 - k % 5 end as int) as group_fold from k)
+select group_fold, count(*) as n_groups, cast(sum(pos) as bigint) as positives, cast(sum(n) as bigint) as n from f group by 1""")
 def stratified_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = splits.stratified_folds(order_sessions(spark, sf_dir), group="ranker_id", name="group_fold")
     return df.groupBy("group_fold").agg(F.count_distinct("ranker_id").alias("n_groups"), F.sum("selected").alias("positives"), F.count(F.lit(1)).alias("n"))
@@ -523,10 +528,15 @@ def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.pareto(order_sessions(spark, sf_dir)).select("Id", "is_dominated")
 
 
-@_query()
+@_query(f"""
+q as (select quantile_cont(totalPrice, {[k / 10 for k in range(1, 10)]}) as c from sessions where fold <> 0),
+b as (select fold, {" + ".join(f"cast(totalPrice > c[{k}] as int)" for k in range(1, 10))} as bin from sessions, q),
+t as (select count(*) filter (where fold <> 0) + 0.5 as a, count(*) filter (where fold = 0) + 0.5 as b from b group by bin),
+s as (select a / sum(a) over () as p, b / sum(b) over () as q from t)
+select round(sum((p - q) * ln(p / q)), 6) as psi from s""")
 def price_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = order_sessions(spark, sf_dir)
-    return reports.drift(df.filter("fold <> 0"), df.filter("fold = 0"), "totalPrice")
+    return _rounded(reports.drift(df.filter("fold <> 0"), df.filter("fold = 0"), "totalPrice"))
 
 
 @_query("""c as (select "profileId", legs0_segments0_marketingCarrier_code, count(*) as n from sessions group by 1, 2)

@@ -192,6 +192,34 @@ def test_sources(spark, tmp_path):
         tables.read_by_extension(spark, f"{root}/x.txt")
 
 
+def test_documents_from_files(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for k, folder in enumerate(("a", "a/b")):
+        (tmp_path / folder / f"r{k}.json").write_text('{"x":\n1}')
+    (tmp_path / "a" / "skip.txt").write_text("no")
+    df = tables.json_documents(spark, str(tmp_path / "a")).select(tables.file_stem().alias("key"), "value")
+    assert sorted(map(tuple, df.collect())) == [("r0", '{"x":\n1}'), ("r1", '{"x":\n1}')]
+    assert tables.json_documents(spark, str(tmp_path / "a"), 1).count() == 1
+    tables.write_small_csv(df, str(tmp_path / "csv"))
+    tables.write_report(df, str(tmp_path / "json"))
+    tables.append_parquet(df, str(tmp_path / "pq"))
+    tables.append_parquet(df, str(tmp_path / "pq"))
+    assert len(list((tmp_path / "csv").glob("part-*.csv"))) == 1
+    assert spark.read.schema("key string").json(str(tmp_path / "json")).count() == 2 and spark.read.parquet(str(tmp_path / "pq")).count() == 4
+
+
+def test_feature_lists_and_types(spark):
+    df = spark.sql("select true as f, timestamp_ntz '1970-01-01 00:00:01' as t, 'x' as s")
+    assert features.chosen_features(df, ["s", "none"], ("f", "core")) == (["s"], ["core"])
+    assert tuple(S.typed_for_learning(df).first()) == (1, 1_000_000, "x")
+
+
+def test_test_table_has_no_label(spark, options):
+    quality.no_label(options.drop("selected"))
+    with pytest.raises(ValueError):
+        quality.no_label(options)
+
+
 def test_ranker_learns_and_is_saved(spark, tmp_path):
     rows = [(s, 10 * s + k, float((7 * s + 3 * k) % 10), int(k == 0)) for s in range(30) for k in range(5)]
     df = spark.createDataFrame(rows, "ranker_id long, Id long, noise double, selected int").withColumn("good", F.col("selected") * 2.0 + F.col("noise") / 100).withColumn("fold", F.col("ranker_id") % 2)
