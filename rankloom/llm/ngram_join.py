@@ -8,8 +8,9 @@ number of links.
 1. Equal texts become one representative. Each gets ``COORDINATES`` min-hashes,
    so a set is embedded as that many tokens, and four bits of each as a sketch.
 2. Chosen paths: at a node of the search tree every set goes to the children
-   named by the tokens that the node samples, ``1 / threshold`` of them in
-   expectation, so linked sets are expected to stay together at least once. Small
+   named by the tokens that the node samples: one, or two, ``1 / threshold`` on
+   average, so linked sets are expected to stay together at least once, with
+   little variance. Small
    nodes are compared by brute force, by sketch. In a large node all members are
    held against one random member, and the few that are far from it against all
    others; a node with many such is split again. Independent repeats bring the
@@ -47,8 +48,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 COORDINATES = 64
 RECALL = 0.999
-#: Least chance that one run brings a pair at the threshold together, two levels deep.
-PER_RUN = 0.46
+#: The chance that one run keeps a pair at the threshold together two levels deep: one
+#: token in three nodes of four, else two, each shared by 0.8 (0.84 after one level).
+PER_RUN = 0.72
 #: Nodes of at most so many sets are compared all with all.
 SMALL_NODE = 32
 #: Sketch coordinates that may differ: 12 are expected at a likeness of 0.8, with deviation 3.1.
@@ -61,6 +63,8 @@ BLOCK = 1024
 #: Ids of at most so many members of groups (about 40 bytes each) are broadcast.
 BROADCAST_ROWS = 500_000
 MOST_LEVELS = 40
+#: Narrow intermediate rows that make a partition.
+PART_ROWS = 100_000
 MEMO = 400_000
 
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
@@ -164,6 +168,13 @@ def runs_for(recall: float, per_run: float = PER_RUN) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - per_run)))
 
 
+def _kept(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` checkpointed, in partitions of about ``PART_ROWS``, and its number of rows."""
+    held = checkpointed(df)
+    n = held.count()
+    return held.coalesce(max(1, math.ceil(n / PART_ROWS))), n
+
+
 def _different(a: Column, b: Column) -> Column:
     """In how many coordinates two sketches differ."""
     out = F.lit(0).cast("long")
@@ -174,9 +185,10 @@ def _different(a: Column, b: Column) -> Column:
 
 def chosen_paths(sets: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 11) -> DataFrame:
     """``sets`` (key, sketch, tokens) to edges (a, b), a > b, whose sketches are near."""
-    rng = np.random.default_rng(seed)
-    rate = 1 / (threshold * COORDINATES)
-    starts = [(r, i) for r in range(runs_for(recall)) for i in np.flatnonzero(rng.random(COORDINATES) < rate).tolist()]
+    runs, second = runs_for(recall), 1 / threshold - 1
+    order = np.random.default_rng(seed).permutation(COORDINATES).tolist()
+    sampled = [r for r in range(runs) for _ in range(1 + (math.floor((r + 1) * second) > math.floor(r * second)))]
+    starts = [(r, order[k % COORDINATES]) for k, r in enumerate(sampled)]
     paths = F.explode(F.array(*(F.xxhash64(F.lit(r), F.lit(i), F.get("tokens", F.lit(i))) for r, i in starts)))
     entries = sets.select("key", *_SKETCH, paths.alias("path"))
     member = F.struct("key", *_SKETCH)
@@ -184,7 +196,7 @@ def chosen_paths(sets: DataFrame, *, threshold: float = THRESHOLD, recall: float
     edges = []
     for level in range(MOST_LEVELS):
         nodes = entries.groupBy(F.col("path").alias("node")).agg(F.count(F.lit(1)).alias("size"), F.min_by(member, F.xxhash64("key", "path")).alias("pivot")).filter("size > 1")
-        shared = checkpointed(entries.join(nodes, F.col("path") == F.col("node")).select("path", "key", *_SKETCH, "size", "pivot"))
+        shared, _ = _kept(entries.join(nodes, F.col("path") == F.col("node")).select("path", "key", *_SKETCH, "size", "pivot"))
         small = shared.filter(F.col("size") <= SMALL_NODE).groupBy("path").agg(F.collect_list(member).alias("m"))
         below = lambda x: F.transform(F.filter("m", lambda y: (y["key"] < x["key"]) & (_different(x, y) <= DIFFERENT)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
         edges.append(small.select(F.inline(F.flatten(F.transform("m", below)))))
@@ -192,15 +204,17 @@ def chosen_paths(sets: DataFrame, *, threshold: float = THRESHOLD, recall: float
         edges.append(large.filter("near").select(pair(F.col("key"), F.col("pivot.key")).alias("e")).select("e.*"))
         # nodes with members far from the pivot: few of them meet all others, many mean another split
         far = large.filter("not near").groupBy(F.col("path").alias("node")).agg(F.count(F.lit(1)).alias("far"))
-        open_ = checkpointed(large.join(far, F.col("path") == F.col("node")).select("path", "key", *_SKETCH, "near", "far"))
-        if open_.isEmpty():
+        open_, n = _kept(large.join(far, F.col("path") == F.col("node")).select("path", "key", *_SKETCH, "near", "far"))
+        if not n:
             break
         some = open_.filter(F.col("far") <= FEW_FAR)
         held = some.filter("not near").groupBy(F.col("path").alias("node")).agg(F.collect_list(member).alias("m"))
         met = some.join(held, F.col("path") == F.col("node")).select("key", F.filter("m", lambda y: (y["key"] != F.col("key")) & (_different(F.struct(*_SKETCH), y) <= DIFFERENT)).alias("m"))
         edges.append(met.select(F.inline(F.transform("m", lambda y: pair(F.col("key"), y["key"])))))
         again = open_.filter(F.col("far") > FEW_FAR).select(F.col("key").alias("of"), "path")
-        samples = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda i: F.pmod(F.xxhash64(F.col("path"), i), F.lit(1 << 20)) < int(rate * (1 << 20)))
+        one = F.pmod(F.xxhash64("path"), F.lit(COORDINATES)).cast("int")
+        two = F.pmod(one + 1 + F.pmod(F.xxhash64("path", F.lit(1)), F.lit(COORDINATES - 1)), F.lit(COORDINATES)).cast("int")
+        samples = F.when(F.pmod(F.xxhash64("path", F.lit(2)), F.lit(1 << 20)) < int(second * (1 << 20)), F.array(one, two)).otherwise(F.array(one))
         split = again.join(sets, F.col("of") == F.col("key")).withColumn("i", F.explode(samples))
         entries = split.select("key", *_SKETCH, F.xxhash64(F.col("path"), F.lit(level), F.col("i"), F.get("tokens", F.col("i"))).alias("path"))
     else:
@@ -215,20 +229,26 @@ def chosen_paths(sets: DataFrame, *, threshold: float = THRESHOLD, recall: float
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) to (node, root): large-star and small-star rounds until nothing changes."""
-    e = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    """Edges (a, b) to (node, root): large-star and small-star rounds until nothing changes.
+
+    Each round joins every edge to the least neighbour of its end: by broadcast
+    while there are few edges, else by a shuffle that adaptive execution splits
+    where a node is hot.
+    """
+    e, n = _kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     state = None
     while True:
-        now = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+        now = (n, e.agg(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()[0])
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = now
+        small_side = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)  # a row per node, so at most two per edge
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("p")).agg(F.min("v").alias("m")).select("p", F.least("p", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("p")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(small_side(least), F.col("u") == F.col("p")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         first = large.groupBy(F.col("u").alias("p")).agg(F.min("v").alias("m"))
-        small = large.join(first, F.col("u") == F.col("p")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        e = checkpointed(small.unionAll(first.select(F.col("p").alias("u"), F.col("m").alias("v"))).distinct())
+        small = large.join(small_side(first), F.col("u") == F.col("p")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        e, n = _kept(small.unionAll(first.select(F.col("p").alias("u"), F.col("m").alias("v"))).distinct())
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
