@@ -92,5 +92,28 @@ select p.page_id, p.payload_bytes, p.payload_digest,
        case when g.first is not null and p.page_id is distinct from g.first then 'revisit' else 'response' end as record_type,
        case when g.first is not null and p.page_id is distinct from g.first then g.first end as refers_to
 from p left join g using (payload_digest)
+""",
+    "op10_ngram_join": r"""
+with recursive w as (
+    select doc_id, [x for x in regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') if x <> ''] as w from documents
+), s as (
+    select distinct doc_id, unnest(case when len(w) >= 5 then [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
+                                        when len(w) > 0 then [array_to_string(w, ' ')] else [''] end) as gram
+    from w
+), n as (
+    select doc_id, count(*) as n from s group by doc_id
+), linked as (
+    select p.a, p.b
+    from (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.gram = b.gram and a.doc_id <> b.doc_id group by all) p
+    join n x on x.doc_id = p.a join n y on y.doc_id = p.b
+    where shared * 1.8 >= 0.8 * (x.n + y.n) - 1e-9
+), reached as (
+    select doc_id as a, doc_id as b from documents
+  union
+    select r.a, l.b from reached r join linked l on l.a = r.b
+)
+select c.doc_id, c.class_id, coalesce(d.n_links, 0) as n_links
+from (select a as doc_id, min(b) as class_id from reached group by a) c
+left join (select a, count(*) as n_links from linked group by a) d on d.a = c.doc_id
 """,
 }

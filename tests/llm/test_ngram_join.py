@@ -3,10 +3,11 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
-from rankloom.llm import ngram_join
+from rankloom.llm import ngram_join, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -130,3 +131,10 @@ def test_shared_counts():
     others = ~np.eye(30, dtype=bool)
     assert (ngram_join.shared_counts(sets)[others] == expected[others]).all()
     assert (ngram_join.shared_counts(sets[:10], sets[10:]) == expected[:10, 10:]).all()
+
+
+def test_query_equals_its_sql(spark):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    expected = con.execute(f"select doc_id, class_id, n_links from ({queries.ORACLE_SQL['op10_ngram_join']})").fetchall()
+    assert sorted(map(tuple, queries.op10_ngram_join(spark, SF).collect())) == sorted(expected)
