@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_small_batches
+
 MEMO = 300_000
 CHUNK_CHARS = 1 << 21
 
@@ -207,7 +209,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_column: str = "
             if digests and count:
                 yield _rows(batch.column(0), count, a, b, digests, id_column, names)
 
-    return docs.select(docs[id_column], F.coalesce(docs[text_column], F.lit("")).alias("text")).mapInArrow(run, schema)
+    return in_small_batches(docs.select(docs[id_column], F.coalesce(docs[text_column], F.lit("")).alias("text"))).mapInArrow(run, schema)
 
 
 def _rows(ids, count, a, b, digests, id_column, names) -> pa.RecordBatch:

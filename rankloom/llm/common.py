@@ -45,3 +45,20 @@ def text_of(column: str = "text") -> Column:
 def words_of(column: Column) -> Column:
     """The blank-separated words of a text, in order."""
     return F.filter(F.split(column, BLANK), lambda w: w != "")
+
+
+#: Arrow batches of texts are at most about so many bytes.
+BATCH_BYTES = 2 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, for a session that sends Arrow batches of bounded bytes, however long the texts are.
+
+    A worker holds a batch as Arrow and as Python strings; Spark's default of 10,000
+    rows a batch lets that follow the length of texts. A smaller bound of the session stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = df.sparkSession.conf.get(name).lower().removesuffix("b")
+    if not held.isdigit() or int(held) > BATCH_BYTES:
+        df.sparkSession.conf.set(name, BATCH_BYTES)
+    return df

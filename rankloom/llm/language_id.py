@@ -30,10 +30,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_small_batches
+
 ORDER = 4
 PER_LANGUAGE = 2000
 MEMO = 300_000
 CHUNK_CHARS = 1 << 21
+#: A table of at most so many languages and their row counts is broadcast.
+BROADCAST_LANGUAGES = 10_000
 #: Of calibration texts (of one language, in nats per letter): the quantile, and what is added to it.
 QUANTILE, MARGIN = 0.999, 0.5
 START, END = "\x02", "\x03"
@@ -189,7 +193,7 @@ def _entropies(rows: DataFrame, models: list[CharModel], keep: str) -> DataFrame
             flat = pa.array(found.ravel(), pa.float64(), from_pandas=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[keep, "entropies"])
 
-    return rows.select(keep, "text").mapInArrow(run, schema)
+    return in_small_batches(rows.select(keep, "text")).mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -197,7 +201,8 @@ def train(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
     rows = docs.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))
     chance = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.join(sizes, F.col("lang") == F.col("of")).filter(chance < F.lit(float(per_language)) / F.col("n"))
+    few = sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES  # else texts are shuffled
+    sample = rows.join(F.broadcast(sizes) if few else sizes, F.col("lang") == F.col("of")).filter(chance < F.lit(float(per_language)) / F.col("n"))
     apart = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(5)) == 0
     words = sample.filter(~apart).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     framed = F.concat(F.lit(START * (ORDER - 1)), F.col("word"), F.lit(END))
@@ -257,7 +262,7 @@ def identify(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_c
             best, score, entropy, rejected = _judged(batch.column(1).to_pylist(), scorer, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)], names=schema.names)
 
-    return docs.select(F.col(id_column), F.col(text_column).alias("text")).mapInArrow(run, schema)
+    return in_small_batches(docs.select(F.col(id_column), F.col(text_column).alias("text"))).mapInArrow(run, schema)
 
 
 def accepted(docs: DataFrame, model: Model, *, text_column: str = "text") -> DataFrame:
@@ -271,4 +276,4 @@ def accepted(docs: DataFrame, model: Model, *, text_column: str = "text") -> Dat
         for batch in batches:
             yield batch.filter(pa.array(~_judged(batch.column(at).to_pylist(), scorer, model)[3]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(run, docs.schema)

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_small_batches
+
 #: Before a lone space between two non-blank characters, byte-level pre-tokenizers
 #: always end a match: only the start of a match may be a space.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
@@ -116,4 +118,5 @@ def token_counts(docs: DataFrame, path: str, *, id_column: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=[id_column, "n_bytes", "n_tokens"])
 
     text = F.coalesce(docs[text_column], F.lit(""))
-    return docs.select(docs[id_column], F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")).mapInArrow(run, schema)
+    rows = docs.select(docs[id_column], F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    return in_small_batches(rows).mapInArrow(run, schema)

@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import in_small_batches
+
 BITS = 20
 MOST_ROWS = 20_000
 SHARD_ROWS = 10_000
@@ -171,4 +173,4 @@ def score(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_colu
             scores = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[id_column, "score"])
 
-    return docs.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("text")).mapInArrow(run, schema)
+    return in_small_batches(docs.select(F.col(id_column), F.coalesce(F.col(text_column), F.lit("")).alias("text"))).mapInArrow(run, schema)
