@@ -6,14 +6,15 @@ classes per frame; an integral image over frames and classes gives the sum of an
 rectangle in four look-ups; sixteen rectangle filters, each quantised to two bits
 in Gray code, make the integer of a frame.
 
-``align`` searches every query recording among all. Keys of two integers, a few
-frames apart, lead each recording to one other of its bucket; a histogram of
-offsets and the bit errors at its peak say whether the two align. What is so
-connected is a group, and within groups each query is held against all members,
-in blocks of at most about ``BLOCK``: offset histogram, then bit errors over the
-overlap. One row per query leaves: the number of recordings that align and the
-best of them. No list of pairs is made, so a much repeated recording costs rows
-in proportion to its copies.
+``align`` searches every query recording among all: queries and recordings are cut
+into blocks of at most ``QUERIES`` and ``RECORDINGS``, and each pair of blocks meets in
+one task. There the integers of the recordings are sorted once, those of a query are
+looked up among them, a histogram of offsets is taken for each recording with at least
+``LEAST_HITS`` equal integers, and the bit errors at its peak say whether the two align.
+No candidates are chosen beforehand, so no pair is lost. One row per query and block of
+recordings leaves: the number of recordings that align and the best of them. No list of
+pairs is made. The look-ups grow with queries times blocks, the rest with the number of
+equal integers.
 
 ``melodies`` renders a column of numeric vectors as recordings, a note for each
 component, for tables that hold no audio.
@@ -27,16 +28,17 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import checkpointed
-from .ngram_join import components
 
 RATE = 4096
 FRAME, HOP = 512, 256
@@ -46,15 +48,14 @@ FILTERS = 16
 SPAN = 16
 #: Between the quantiser's steps, in natural log of a ratio.
 STEP = 0.25
-KEY_GAP = 8
 LEAST_HITS = 3
 MOST_ERROR = 0.2
-#: Recordings are grouped on looser terms: of two that align, each may align with a third a little less.
-EDGE_ERROR = 0.27
-#: Recordings of a bucket that the others are held against.
-LEADERS = 3
 LEAST_OVERLAP = 32
-BLOCK = 1024
+#: Recordings and queries of a task.
+RECORDINGS = 4096
+QUERIES = 4096
+#: Equal integers and cells of histograms that are held at a time.
+HITS = 1 << 22
 CLIPS = 64
 
 
@@ -167,103 +168,114 @@ def melodies(vectors: DataFrame, *, id_column: str, vector_column: str, step: fl
 # -- alignment ----------------------------------------------------------------
 
 
-def bit_errors(a: Column, b: Column, offset: Column) -> Column:
-    """The share of differing bits where ``b`` stands ``offset`` frames later than ``a``; null without overlap enough."""
-    first, last = F.greatest(F.lit(0), -offset), F.least(F.size(a), F.size(b) - offset)
-    wrong = F.aggregate(F.sequence(first, last - 1), F.lit(0), lambda acc, i: acc + F.bit_count(F.get(a, i).bitwiseXOR(F.get(b, i + offset))))
-    return F.when(last - first >= LEAST_OVERLAP, wrong / (32.0 * (last - first)))
-
-
-def _edges(prints: DataFrame) -> DataFrame:
-    """(a, b) recordings that align, each with a few others of its buckets."""
-    where = F.sequence(F.lit(0), F.size("print") - KEY_GAP - 1)
-    keyed = F.transform(where, lambda i: F.struct(F.xxhash64(F.get("print", i), F.get("print", i + KEY_GAP)).alias("key"), i.alias("at")))
-    keys = prints.filter(F.size("print") > KEY_GAP).select("row", F.inline(keyed))
-    # the same few recordings lead wherever they occur, so that hits on one of them add up
-    lead = lambda k: F.min_by(F.struct("row", "at"), F.xxhash64("row", F.lit(k)))
-    buckets = keys.groupBy(F.col("key").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.array(*map(lead, range(LEADERS))).alias("leaders")).filter("n > 1")
-    led = keys.join(buckets, F.col("key") == F.col("bucket")).select("row", "at", F.explode(F.array_distinct("leaders")).alias("pivot")).filter(F.col("row") != F.col("pivot.row"))
-    histogram = led.groupBy("row", F.col("pivot.row").alias("to"), (F.col("pivot.at") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("hits"))
-    peaks = histogram.groupBy("row", "to").agg(F.max(F.struct("hits", "offset")).alias("peak"))
-    one = prints.select(F.col("row").alias("r1"), F.col("print").alias("p1"))
-    two = prints.select(F.col("row").alias("r2"), F.col("print").alias("p2"))
-    both = peaks.join(one, F.col("row") == F.col("r1")).join(two, F.col("to") == F.col("r2"))
-    return both.filter(bit_errors(F.col("p1"), F.col("p2"), F.col("peak.offset")) <= EDGE_ERROR).select(F.col("row").alias("a"), F.col("to").alias("b"))
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one range after another."""
+    return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes - starts, sizes)
+
+
+class _Index:
+    """Recordings that stand in ``flat`` one after another, their integers sorted."""
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray) -> None:
+        self.flat, self.starts, self.sizes = flat, starts[:-1], np.diff(starts)
+        order = np.argsort(flat, kind="stable")
+        self.ranked = flat[order]
+        self.record = np.repeat(np.arange(len(self.sizes)), self.sizes)[order]
+        self.frame = _ranges(np.zeros(len(self.sizes), np.int64), self.sizes)[order]
+
+    def best_offsets(self, query: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(hits, offset) at the peak of each recording's offset histogram, the least of equal peaks; zeros where fewer than ``least`` integers agree."""
+        hits, offset = np.zeros(len(self.sizes), np.int64), np.zeros(len(self.sizes), np.int64)
+        order = np.argsort(query, kind="stable")
+        values, first, often = np.unique(query[order], return_index=True, return_counts=True)
+        low, high = np.searchsorted(self.ranked, values, "left"), np.searchsorted(self.ranked, values, "right")
+        at, slot = _ranges(low, high - low), np.repeat(np.arange(len(values)), high - low)
+        record = self.record[at]
+        agree = np.bincount(record, weights=often[slot], minlength=len(self.sizes)).astype(np.int64)
+        chosen = np.flatnonzero(agree >= least)
+        if not len(chosen):
+            return hits, offset
+        width = len(query) + int(self.sizes[chosen].max())
+        # so many recordings at a time that hits and cells stay bounded
+        share = np.full(len(self.sizes), -1)
+        share[chosen] = np.cumsum(agree[chosen] + width) // HITS
+        place = np.zeros(len(self.sizes), np.int64)
+        for s in np.unique(share[chosen]):
+            part = np.flatnonzero(share == s)
+            place[part] = np.arange(len(part))
+            mine = np.flatnonzero(share[record] == s)
+            times = often[slot[mine]]
+            which = order[_ranges(first[slot[mine]], times)]
+            cell = np.repeat(place[record[mine]] * width + self.frame[at[mine]] + len(query) - 1, times) - which
+            histogram = np.bincount(cell, minlength=len(part) * width).reshape(len(part), width)
+            peak = histogram.argmax(axis=1)
+            hits[part], offset[part] = histogram[np.arange(len(part)), peak], peak - (len(query) - 1)
+        return hits, offset
+
+    def errors(self, query: np.ndarray, chosen: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(share of differing bits, overlap) of the chosen recordings at their offsets; (1, 0) without overlap enough."""
+        first, last = np.maximum(0, -offset), np.minimum(len(query), self.sizes[chosen] - offset)
+        overlap = np.where(last - first >= LEAST_OVERLAP, last - first, 0)
+        differing = np.bitwise_count(query[_ranges(first, overlap)] ^ self.flat[_ranges(self.starts[chosen] + first + offset, overlap)])
+        wrong = np.bincount(np.repeat(np.arange(len(chosen)), overlap), weights=differing, minlength=len(chosen))
+        return np.where(overlap > 0, wrong / (32 * np.maximum(overlap, 1)), 1.0), overlap
 
 
 def best_offsets(query: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hits, offset) at the peak of each recording's offset histogram; recordings stand in ``flat`` one after another."""
-    sizes = np.diff(starts)
-    order = np.argsort(query, kind="stable")
-    ranked = query[order]
-    low, high = np.searchsorted(ranked, flat, "left"), np.searchsorted(ranked, flat, "right")
-    times = high - low
-    at = np.repeat(np.arange(len(flat)), times)
-    which = order[np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)]
-    record = np.repeat(np.arange(len(sizes)), sizes)[at]
-    width = len(query) + (int(sizes.max()) if len(sizes) else 0)
-    cell = record * width + (at - starts[record] - which + len(query) - 1)
-    values, hits = np.unique(cell, return_counts=True)
-    top = np.lexsort((-(values % width), hits, values // width))
-    last = np.flatnonzero(np.diff(np.append(values[top] // width, -1)))
-    out_hits, out_offset = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64)
-    chosen = top[last]
-    out_hits[values[chosen] // width] = hits[chosen]
-    out_offset[values[chosen] // width] = values[chosen] % width - (len(query) - 1)
-    return out_hits, out_offset
+    return _Index(flat, starts).best_offsets(query)
 
 
 def _error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
-    first, last = max(0, -offset), min(len(a), len(b) - offset)
-    if last - first < LEAST_OVERLAP:
-        return 1.0, 0
-    return float(np.bitwise_count(a[first:last] ^ b[first + offset : last + offset]).sum()) / (32 * (last - first)), last - first
+    error, overlap = _Index(b, np.array([0, len(b)])).errors(a, np.array([0]), np.array([offset]))
+    return float(error[0]), int(overlap[0])
+
+
+def _places(ids: pa.Array) -> np.ndarray:
+    """The place of each id among the sorted distinct ones; nulls come last."""
+    coded = ids.dictionary_encode()
+    place = np.argsort(pc.sort_indices(coded.dictionary).to_numpy())
+    return np.append(place, len(place))[coded.indices.fill_null(len(place)).to_numpy(zero_copy_only=False)]
 
 
 def align(prints: DataFrame, is_query: Column, *, id_column: str) -> DataFrame:
     """Per query of ``prints`` (id, print): id, n_frames, n_matches, best_id, best_offset, best_error."""
     kind = prints.schema[id_column].dataType.simpleString()
     rows = checkpointed(prints.select(F.col(id_column).alias("id"), "print", F.coalesce(is_query, F.lit(False)).alias("query"), F.monotonically_increasing_id().alias("row")))
-    grouped = checkpointed(components(_edges(rows)))
-    sizes = grouped.groupBy(F.col("root").alias("group")).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("parts"))
-    members = grouped.join(sizes, F.col("root") == F.col("group")).join(rows, F.col("node") == F.col("row")).select("group", "parts", "row", "id", "print", "query")
-    own = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
-    packs = max(1, grouped.count() // BLOCK)
-    pack = F.when(F.col("parts") == 1, F.pmod(F.xxhash64("group"), F.lit(packs))).otherwise(F.col("group"))
-    # members stay in their block, queries visit every block of their group
-    here = members.select("group", "parts", pack.alias("pack"), own.alias("block"), "row", "id", "print", F.lit(False).alias("asks"))
-    asking = members.filter("query").select("group", "parts", pack.alias("pack"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "row", "id", "print", F.lit(True).alias("asks"))
-
-    def block(table: pa.Table) -> pa.Table:
-        group, row, asks = (table.column(c).to_numpy() for c in ("group", "row", "asks"))
-        ids = table.column("id").to_pylist()
+    long = rows.filter(F.size("print") >= LEAST_OVERLAP)  # shorter ones align with nothing
+    n, n_queries = long.agg(F.count(F.lit(1)), F.count_if("query")).first()
+    blocks, parts = max(1, math.ceil(n / RECORDINGS)), max(1, math.ceil(n_queries / QUERIES))
+    dealt = lambda k: F.pmod(F.xxhash64("row"), F.lit(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    here = long.select(dealt(blocks).alias("block"), each(parts).alias("part"), "row", "id", "print", F.lit(False).alias("asks"))
+    asking = long.filter("query").select(each(blocks).alias("block"), dealt(parts).alias("part"), "row", "id", "print", F.lit(True).alias("asks"))
+
+    def cell(table: pa.Table) -> pa.Table:
+        row, asks = (table.column(c).to_numpy() for c in ("row", "asks"))
+        ids = table.column("id").combine_chunks()
+        place = _places(ids)
         lists = table.column("print").combine_chunks()
         offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint32)
+        at = np.flatnonzero(~asks)
+        sizes = np.diff(offsets)[at].astype(np.int64)
+        index = _Index(values[_ranges(offsets[at].astype(np.int64), sizes)], np.append(0, np.cumsum(sizes)))
         found = []
-        for g in np.unique(group[asks]):
-            at = np.flatnonzero((group == g) & ~asks)
-            prints = [values[offsets[i] : offsets[i + 1]] for i in at]
-            starts = np.concatenate([[0], np.cumsum([len(p) for p in prints])]).astype(np.int64)
-            flat = np.concatenate(prints) if prints else np.zeros(0, np.uint32)
-            for q in np.flatnonzero((group == g) & asks):
-                mine = values[offsets[q] : offsets[q + 1]]
-                hits, shift = best_offsets(mine, flat, starts)
-                n, best = 0, (2.0, 0, 0, 0)
-                for k in np.flatnonzero(hits >= LEAST_HITS):
-                    if row[at[k]] == row[q] or ids[at[k]] == ids[q]:
-                        continue
-                    error, overlap = _error(mine, prints[k], int(shift[k]))
-                    if error <= MOST_ERROR:
-                        n += 1
-                        best = min(best, (error, -overlap, ids[at[k]], int(shift[k])), key=lambda x: (x[0], x[1], x[2] is None, x[2] or 0))
-                if n:
-                    found.append((int(row[q]), n, best[0], -best[1], best[2], best[3]))
+        for q in np.flatnonzero(asks):
+            mine = values[offsets[q] : offsets[q + 1]]
+            hits, shift = index.best_offsets(mine, LEAST_HITS)
+            chosen = np.flatnonzero((hits >= LEAST_HITS) & (row[at] != row[q]) & (place[at] != place[q]))
+            error, overlap = index.errors(mine, chosen, shift[chosen])
+            good = error <= MOST_ERROR
+            chosen, error, overlap = chosen[good], error[good], overlap[good]
+            if len(chosen):
+                k = np.lexsort((shift[chosen], place[at[chosen]], -overlap, error))[0]
+                found.append((int(row[q]), len(chosen), float(error[k]), int(overlap[k]), ids[int(at[chosen[k]])].as_py(), int(shift[chosen[k]])))
         columns = list(zip(*found, strict=True)) or [()] * 6
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), table.schema.field("id").type, pa.int32())
         return pa.table({n: pa.array(list(c), k) for n, c, k in zip(("row", "n", "error", "overlap", "match", "offset"), columns, kinds, strict=True)})
 
-    cells = here.unionAll(asking).groupBy("pack", "parts", "block").applyInArrow(block, f"row long, n long, error double, overlap int, match {kind}, offset int")
-    best = F.min(F.struct("error", (-F.col("overlap")).alias("o"), "match", "offset")).alias("best")
+    cells = here.unionAll(asking).groupBy("block", "part").applyInArrow(cell, f"row long, n long, error double, overlap int, match {kind}, offset int")
+    best = F.min(F.struct("error", (-F.col("overlap")).alias("o"), F.col("match").isNull().alias("none"), "match", "offset")).alias("best")
     totals = cells.groupBy(F.col("row").alias("of")).agg(F.sum("n").alias("n"), best)
     asked = rows.filter("query").select("id", "row", F.size("print").alias("n_frames"))
     out = asked.join(totals, F.col("row") == F.col("of"), "left")

@@ -94,6 +94,39 @@ def test_search_against_brute_force(spark):
     assert all(got[q] <= expected[q] for q in got)
 
 
+def test_every_pair_of_a_hot_bucket_is_found(spark, monkeypatch):
+    """Families of near copies whose keys others share: all recordings begin with one passage."""
+    monkeypatch.setattr(audio, "RECORDINGS", 100)
+    monkeypatch.setattr(audio, "QUERIES", 7)
+    rng = np.random.default_rng(4)
+    opening, rows = rng.normal(0, 0.4, 30), []
+    for family in range(60):
+        own = rng.normal(0, 0.4, 40)
+        for _ in range(4):
+            middle = own + rng.normal(0, 0.4, 40) * (rng.random(40) < 0.12)
+            rows.append((len(rows), np.concatenate([opening, middle]).tolist()))
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    prints = audio.fingerprints(audio.melodies(vectors, id_column="vec_id", vector_column="embedding"), id_column="vec_id", audio_column="audio").cache()
+    got = {r["vec_id"]: (r["n_matches"], r["best_id"]) for r in audio.align(prints, F.col("vec_id") % 4 == 0, id_column="vec_id").collect()}
+    own = {r["vec_id"]: np.array(r["print"], np.int32).view(np.uint32) for r in prints.collect()}
+    expected = {}
+    for q in got:
+        near = []
+        for i in own:
+            if i != q:
+                at = [b - a for a in range(len(own[q])) for b in np.flatnonzero(own[i] == own[q][a])]
+                values, hits = np.unique(at, return_counts=True) if at else ([0], np.array([0]))
+                shift = int(values[hits.argmax()])
+                a, b = max(0, -shift), min(len(own[q]), len(own[i]) - shift)
+                if hits.max() >= audio.LEAST_HITS and b - a >= audio.LEAST_OVERLAP:
+                    error = np.bitwise_count(own[q][a:b] ^ own[i][a + shift : b + shift]).sum() / (32 * (b - a))
+                    if error <= audio.MOST_ERROR:
+                        near.append((error, a - b, i))
+        expected[q] = (len(near), min(near)[2] if near else None)
+    assert len(got) == 60 and sum(n for n, _ in expected.values()) > 60
+    assert got == expected
+
+
 def test_best_offsets_counts_every_position():
     query = np.array([1, 2, 2, 3], np.uint32)
     flat = np.array([9, 1, 2, 2, 3, 7, 7], np.uint32)
