@@ -14,7 +14,8 @@ number of links.
    nodes are compared by brute force, by sketch. In a large node all members are
    held against one random member, and the few that are far from it against all
    others; a node with many such is split again. Independent repeats bring the
-   recall to its target.
+   recall to its target: the deeper a set sat in split nodes, the more repeats it
+   gets (``survival``), until each has those of the depth that it reached.
 3. An exact check follows. What the paths connected is compared by whole shingle
    sets, in blocks of at most about ``BLOCK`` sets: each pair of a group meets in
    exactly one block, so links are counted there and only numbers per document
@@ -36,6 +37,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +52,7 @@ COORDINATES = 64
 RECALL = 0.999
 #: The chance that one run keeps a pair at the threshold together two levels deep: one
 #: token in three nodes of four, else two, each shared by 0.8 (0.84 after one level).
+#: Every set gets the repeats for this; sets that sat in deeper nodes get more.
 PER_RUN = 0.72
 #: Nodes of at most so many sets are compared all with all.
 SMALL_NODE = 32
@@ -168,6 +171,14 @@ def runs_for(recall: float, per_run: float = PER_RUN) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - per_run)))
 
 
+def survival(levels: int, threshold: float = THRESHOLD) -> float:
+    """The chance that one run keeps a pair at the threshold together through so many levels of nodes."""
+    two, s = 1 / threshold - 1, 1.0
+    for _ in range(levels):
+        s = (1 - two) * threshold * s + two * (1 - (1 - threshold * s) ** 2)
+    return s
+
+
 def _kept(df: DataFrame) -> tuple[DataFrame, int]:
     """``df`` checkpointed, in partitions of about ``PART_ROWS``, and its number of rows."""
     held = checkpointed(df)
@@ -184,16 +195,43 @@ def _different(a: Column, b: Column) -> Column:
 
 
 def chosen_paths(sets: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 11) -> DataFrame:
-    """``sets`` (key, sketch, tokens) to edges (a, b), a > b, whose sketches are near."""
-    runs, second = runs_for(recall), 1 / threshold - 1
+    """``sets`` (key, sketch, tokens) to edges (a, b), a > b, whose sketches are near.
+
+    Every set takes part in the repeats for two levels of nodes. A set that sat in
+    split nodes further down takes part in as many more as its deepest level calls
+    for, and so on until no set has too few: two linked sets stay together no deeper
+    than either of them goes, so both take part in the repeats that the pair needs.
+    """
+    base, second = runs_for(recall), 1 / threshold - 1
     order = np.random.default_rng(seed).permutation(COORDINATES).tolist()
-    sampled = [r for r in range(runs) for _ in range(1 + (math.floor((r + 1) * second) > math.floor(r * second)))]
-    starts = [(r, order[k % COORDINATES]) for k, r in enumerate(sampled)]
-    paths = F.explode(F.array(*(F.xxhash64(F.lit(r), F.lit(i), F.get("tokens", F.lit(i))) for r, i in starts)))
-    entries = sets.select("key", *_SKETCH, paths.alias("path"))
+    # the repeats for sets that were split at so many levels, MOST_LEVELS at most
+    needs = [max(base, runs_for(recall, survival(k + 1, threshold))) for k in range(MOST_LEVELS + 1)]
+    sampled = [r for r in range(needs[-1]) for _ in range(1 + (math.floor((r + 1) * second) > math.floor(r * second)))]
+    starts = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(order[k % COORDINATES]).alias("i")) for k, r in enumerate(sampled)))
+    todo = sets.select("key", *_SKETCH, "tokens", F.lit(0).alias("done"), F.lit(base).alias("need"))
+    edges = []
+    while True:
+        mine = F.filter(starts, lambda x: (x["r"] >= F.col("done")) & (x["r"] < F.col("need")))
+        paths = F.transform(mine, lambda x: F.xxhash64(x["r"], x["i"], F.get("tokens", x["i"])))
+        found, split = _searched(todo.select("key", *_SKETCH, F.explode(paths).alias("path")), sets, second)
+        edges.append(checkpointed(reduce(DataFrame.unionAll, found).filter("a > b").distinct()))
+        if not split:
+            break
+        deepest = reduce(DataFrame.unionAll, split).groupBy(F.col("key").alias("of")).agg(F.max("levels").alias("levels"))
+        needed = F.element_at(F.array(*map(F.lit, needs)), F.col("levels") + 1)
+        short = todo.select("key", F.col("need").alias("done")).join(deepest, F.col("key") == F.col("of")).select("of", "done", needed.alias("need")).filter("need > done")
+        short, n = _kept(short)
+        if not n:
+            break
+        todo = sets.join(F.broadcast(short) if n <= BROADCAST_ROWS else short, F.col("key") == F.col("of")).select("key", *_SKETCH, "tokens", "done", "need")
+    return edges[0] if len(edges) == 1 else checkpointed(reduce(DataFrame.unionAll, edges).distinct())
+
+
+def _searched(entries: DataFrame, sets: DataFrame, second: float) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The trees under ``entries`` (key, sketch, path): edges, and (key, levels) of sets in nodes that were split at so many levels."""
     member = F.struct("key", *_SKETCH)
     pair = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    edges = []
+    edges, deep = [], []
     for level in range(MOST_LEVELS):
         nodes = entries.groupBy(F.col("path").alias("node")).agg(F.count(F.lit(1)).alias("size"), F.min_by(member, F.xxhash64("key", "path")).alias("pivot")).filter("size > 1")
         shared, _ = _kept(entries.join(nodes, F.col("path") == F.col("node")).select("path", "key", *_SKETCH, "size", "pivot"))
@@ -212,6 +250,8 @@ def chosen_paths(sets: DataFrame, *, threshold: float = THRESHOLD, recall: float
         met = some.join(held, F.col("path") == F.col("node")).select("key", F.filter("m", lambda y: (y["key"] != F.col("key")) & (_different(F.struct(*_SKETCH), y) <= DIFFERENT)).alias("m"))
         edges.append(met.select(F.inline(F.transform("m", lambda y: pair(F.col("key"), y["key"])))))
         again = open_.filter(F.col("far") > FEW_FAR).select(F.col("key").alias("of"), "path")
+        if level:  # the repeats of every set are enough for one
+            deep.append(again.select(F.col("of").alias("key"), F.lit(level + 1).alias("levels")).distinct())
         one = F.pmod(F.xxhash64("path"), F.lit(COORDINATES)).cast("int")
         two = F.pmod(one + 1 + F.pmod(F.xxhash64("path", F.lit(1)), F.lit(COORDINATES - 1)), F.lit(COORDINATES)).cast("int")
         samples = F.when(F.pmod(F.xxhash64("path", F.lit(2)), F.lit(1 << 20)) < int(second * (1 << 20)), F.array(one, two)).otherwise(F.array(one))
@@ -219,10 +259,7 @@ def chosen_paths(sets: DataFrame, *, threshold: float = THRESHOLD, recall: float
         entries = split.select("key", *_SKETCH, F.xxhash64(F.col("path"), F.lit(level), F.col("i"), F.get("tokens", F.col("i"))).alias("path"))
     else:
         raise RuntimeError(f"nodes are still to be split after {MOST_LEVELS} levels")
-    out = edges[0]
-    for more in edges[1:]:
-        out = out.unionAll(more)
-    return checkpointed(out.filter("a > b").distinct())
+    return edges, deep
 
 
 # -- groups -------------------------------------------------------------------

@@ -124,6 +124,29 @@ def test_paths_reach_the_recall(spark):
     assert len(linked) > 200 and len(linked & found) / len(linked) >= 0.99
 
 
+def test_paths_reach_the_recall_in_deep_nodes(spark, monkeypatch):
+    """Pairs at the threshold that share a passage with thousands of unlike texts."""
+    monkeypatch.setattr(ngram_join, "SMALL_NODE", 2)
+    monkeypatch.setattr(ngram_join, "FEW_FAR", 1)
+    rng = np.random.default_rng(6)
+    passage, rows = [f"p{j}" for j in range(190)], []
+    for k in range(1000):
+        base = passage + [f"{k}-{j}" for j in range(110)]
+        rows.append((2 * k, " ".join(base)))
+        other = list(base)
+        for j in rng.choice(21, 6, replace=False):
+            other[190 + 5 * j] = f"{k}-{j}-x"
+        rows.append((2 * k + 1, " ".join(other)))
+    signed = ngram_join._signed(spark.createDataFrame([(i, t, 0) for i, t in rows], "id long, text string, mark long")).cache()
+    reader = ngram_join._Reader()
+    words = [reader.words(t) for _, t in rows]
+    sets = [set(ngram_join.shingles(w).tolist()) for w, _ in words]
+    likeness = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(1000)]
+    linked = {(max(words[2 * k][1], words[2 * k + 1][1]), min(words[2 * k][1], words[2 * k + 1][1])) for k in range(1000) if 0.8 <= likeness[k] < 0.85}
+    found = {tuple(r) for r in ngram_join.chosen_paths(signed.select("key", *ngram_join._SKETCH, "tokens")).collect()}
+    assert len(linked) > 900 and len(linked - found) <= 1
+
+
 def test_shared_counts():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 5000, 400).astype(np.uint64)) for _ in range(30)]
