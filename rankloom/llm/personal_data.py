@@ -8,7 +8,9 @@ words on both sides, of a seed or candidate are its lexical patterns. Patterns
 and instances form a graph, which Spark scores by turns: a pattern is as good as
 the share of its instances that are known to be of the kind, an instance as good
 as its best pattern, seeds staying at 1. Candidates in patterns of high
-confidence and support become spans of the pattern's kind.
+confidence and support become spans of the pattern's kind; their values are seeds
+of the next pass, wherever they stand, so that they support further patterns. It
+stops when a pass makes no value a seed that was none (then no pattern is added).
 
 Everything is DataFrame expressions. Texts are read once; the graph holds hashes
 and counts of distinct (pattern, instance) pairs, so a pattern or an identifier
@@ -46,7 +48,7 @@ SHAPES = {"address": ("email",), "number": ("ip", "card", "phone")}
 CONTEXT = 48
 ROUNDS = 3
 CONFIDENCE = 0.8
-#: Distinct seeds that a pattern needs.
+#: Distinct seeds that a pattern needs, base matches or values found before.
 SUPPORT = 5
 #: Added to the number of a pattern's instances: patterns seen rarely score low.
 PRIOR = 1.0
@@ -140,13 +142,33 @@ def bootstrap(scanned: DataFrame, *, rounds: int = ROUNDS, confidence: float = C
     seeds = edges.filter(F.col("what").isin(*KINDS))
     if seeds.isEmpty():
         return edges.limit(0).select("pattern", F.col("what").alias("shape"), F.col("what").alias("kind"), F.lit(0.0).alias("score"))
-    # patterns that no seed stands in have score 0 and need no place in the graph
-    supported = seeds.groupBy("pattern", F.col("what").alias("kind")).agg(F.count(F.lit(1)).alias("seeds")).filter(F.col("seeds") >= support)
     loose = edges.filter(~F.col("what").isin(*KINDS)).select("pattern", "instance", F.col("what").alias("shape"))
     totals = edges.groupBy(F.col("pattern").alias("of")).agg(F.count(F.lit(1)).alias("instances"))
-    patterns = checkpointed(supported.join(totals, F.col("pattern") == F.col("of")).select("pattern", "kind", "seeds", "instances"))
     shapes = F.create_map(*[F.lit(x) for shape, kinds in SHAPES.items() for k in kinds for x in (k, shape)])
-    graph = checkpointed(loose.join(patterns.withColumnRenamed("pattern", "of"), F.col("pattern") == F.col("of")).filter(F.element_at(shapes, F.col("kind")) == F.col("shape")).select("pattern", "instance", "shape", "kind", "seeds", "instances"))
+    base = seeds.select("pattern", "instance", F.col("what").alias("kind"))
+    known = None  # (instance, kind) of candidates that earlier passes made seeds
+    while True:
+        stand = base if known is None else base.unionAll(loose.join(known.withColumnRenamed("instance", "i"), F.col("instance") == F.col("i")).filter(F.element_at(shapes, F.col("kind")) == F.col("shape")).select("pattern", "instance", "kind"))
+        counted = stand.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds"), F.count_distinct("instance").alias("support"))
+        # a pattern with fewer seeds is not accepted, and may get more in a later pass
+        supported = counted.filter(F.col("support") >= support).drop("support")
+        patterns = checkpointed(supported.join(totals, F.col("pattern") == F.col("of")).select("pattern", "kind", "seeds", "instances"))
+        graph = loose.join(patterns.select(F.col("pattern").alias("of"), "kind"), F.col("pattern") == F.col("of")).filter(F.element_at(shapes, F.col("kind")) == F.col("shape")).select("pattern", "instance", "kind")
+        graph = checkpointed(graph if known is None else graph.join(known, ["instance", "kind"], "left_anti").select("pattern", "instance", "kind"))
+        scored = _scored(patterns, graph, rounds)
+        accepted = scored.filter(F.col("score") >= confidence).select(F.col("pattern").alias("p"), F.col("kind").alias("k"), "score")
+        found = graph.join(accepted, (F.col("pattern") == F.col("p")) & (F.col("kind") == F.col("k"))).groupBy("instance").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
+        # a value keeps the kind that it was first a seed of
+        fresh = checkpointed(found if known is None else found.join(known.select("instance"), "instance", "left_anti"))
+        if fresh.isEmpty():
+            break
+        known = checkpointed(fresh if known is None else known.unionAll(fresh))
+    best = scored.filter(F.col("score") >= confidence).groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
+    return best.select("pattern", F.element_at(shapes, F.col("kind")).alias("shape"), "kind", "score")
+
+
+def _scored(patterns: DataFrame, graph: DataFrame, rounds: int) -> DataFrame:
+    """(pattern, kind, score) after so many rounds between patterns and the instances of ``graph`` that are no seeds."""
     scored = patterns.select("pattern", "kind", (F.col("seeds") / (F.col("instances") + PRIOR)).alias("score"))
     for _ in range(rounds):
         of = scored.select(F.col("pattern").alias("p"), F.col("kind").alias("k"), "score")
@@ -155,8 +177,7 @@ def bootstrap(scanned: DataFrame, *, rounds: int = ROUNDS, confidence: float = C
         gained = graph.join(held, (F.col("instance") == F.col("i")) & (F.col("kind") == F.col("k"))).groupBy(F.col("pattern").alias("p"), F.col("kind").alias("q")).agg(F.sum("belief").alias("gain"))
         joined = patterns.join(gained, (F.col("pattern") == F.col("p")) & (F.col("kind") == F.col("q")), "left")
         scored = checkpointed(joined.select("pattern", "kind", ((F.col("seeds") + F.coalesce(F.col("gain"), F.lit(0.0))) / (F.col("instances") + PRIOR)).alias("score")))
-    best = scored.filter(F.col("score") >= confidence).groupBy("pattern").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"), F.max("score").alias("score"))
-    return best.select("pattern", F.element_at(shapes, F.col("kind")).alias("shape"), "kind", "score")
+    return scored
 
 
 def discovered(scanned: DataFrame, patterns: DataFrame) -> DataFrame:

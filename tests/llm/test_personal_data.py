@@ -69,6 +69,16 @@ def test_contexts_find_more(announced):
     assert got[101]["spans"] == "" and got[102]["spans"] == "" and got[0]["spans"] == got[0]["base"] != ""
 
 
+def test_found_values_announce_further_contexts(spark):
+    """Values found in a seeded context support a context where no base match stands, and that one finds more."""
+    rows = [(k, f"Some text. call me at +1 (555) 010-{1000 + k} after work") for k in range(60)]
+    rows += [(100 + k, f"Some text. call me at (555) 010-{2000 + k} after work") for k in range(8)]
+    rows += [(200 + k, f"Other words. desk line (555) 010-{2000 + k} weekdays only") for k in range(8)]
+    rows += [(300, "Other words. desk line (555) 010-3000 weekdays only"), (301, "a count of 555 010 4000 things")]
+    got = {r["doc_id"]: r["spans"] for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[200 + k] == "phone:23:37" for k in range(8)) and got[300] == "phone:23:37" and got[301] == ""
+
+
 def test_masking(spark, announced, monkeypatch):
     texts = {r["doc_id"]: r["text"] for r in personal_data.masked(announced).collect()}
     assert texts[100] == "Some text. call me at [PHONE] after work" and texts[102] == "nothing at all here"
