@@ -10,26 +10,30 @@ number of links.
 2. Chosen paths: at a node of the search tree every set goes to the children
    named by the tokens that the node samples: one, or two, ``1 / threshold`` on
    average, so linked sets are expected to stay together at least once, with
-   little variance. Small
-   nodes are compared by brute force, by sketch. In a large node all members are
-   held against one random member, and the few that are far from it against all
-   others; a node with many such is split again. Independent repeats bring the
-   recall to its target: the deeper a set sat in split nodes, the more repeats it
-   gets (``survival``), until each has those of the depth that it reached.
+   little variance. Nodes of at most ``SMALL_NODE`` sets are compared by brute
+   force, by sketch, many nodes at a time. In a large node all members are held
+   against its pivot, and the few that are far from it against all others; a node
+   with many such is split again. What is near is told by a spanning tree of the
+   node, never by its pairs, and pivots are the least keys, so repeats name the
+   same trees. Independent repeats bring the recall to its target: the deeper a
+   set sat in split nodes, the more repeats it gets (``survival``). What is left
+   after ``MOST_LEVELS`` is connected whole and left to the exact check.
 3. An exact check follows. What the paths connected is compared by whole shingle
    sets, in blocks of at most about ``BLOCK`` sets: each pair of a group meets in
    exactly one block, so links are counted there and only numbers per document
    leave it. No list of pairs is made.
 
-A hot token is split by the paths, a hot text is one representative, and joins on
-either are left to adaptive skew handling. Only groups of near copies are read as
-text again.
+A hot token is split by the paths and a hot text is one representative. Nodes are
+counted by partial aggregates; large ones and the few rows about them are
+broadcast behind a count, with a shuffled join beyond it. Only groups of near
+copies are read as text again.
 
 Defined results: words are lower-cased and separated by blanks; a text of one to
 four words is one shingle; texts without words (null counts as empty) are equal
 to one another and to nothing else; copies of a document are links too; the
 class id is the smallest id in the class (null if all are null); repeated rows
-are copies; an empty table gives an empty result; other columns are not read.
+are copies; null ids come after all others; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -44,31 +48,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_small_batches, text_of
+from .common import checkpointed, in_small_batches, stored, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
 COORDINATES = 64
 RECALL = 0.999
-#: The chance that one run keeps a pair at the threshold together two levels deep: one
-#: token in three nodes of four, else two, each shared by 0.8 (0.84 after one level).
-#: Every set gets the repeats for this; sets that sat in deeper nodes get more.
-PER_RUN = 0.72
 #: Nodes of at most so many sets are compared all with all.
-SMALL_NODE = 32
+SMALL_NODE = 4096
+#: Members of small nodes that one call compares, about.
+PACK_ROWS = 16384
 #: Sketch coordinates that may differ: 12 are expected at a likeness of 0.8, with deviation 3.1.
 DIFFERENT = 25
-#: The same for a large node's random member: 22 at 0.64, the least between two sets that a third is linked to; 50 at 0.16.
+#: The same for a large node's pivot: 22 at 0.64, the least between two sets that a third is linked to; 50 at 0.16.
 LOOSE = 33
 #: So many far members of a large node are held against all others before it is split.
 FEW_FAR = 16
 BLOCK = 1024
-#: Ids of at most so many members of groups (about 40 bytes each) are broadcast.
+#: At most so many rows of numbers (at most 64 bytes each) are broadcast.
 BROADCAST_ROWS = 500_000
 MOST_LEVELS = 40
-#: Narrow intermediate rows that make a partition.
-PART_ROWS = 100_000
-MEMO = 400_000
+#: Words that a worker remembers; longer ones than LONG_WORD characters are hashed anew.
+MEMO, LONG_WORD = 400_000, 64
 
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -83,7 +84,9 @@ class _Codes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= LONG_WORD:
+            self[word] = h
         return h
 
 
@@ -166,7 +169,7 @@ def _signed(texts: DataFrame) -> DataFrame:
 # -- chosen paths -------------------------------------------------------------
 
 
-def runs_for(recall: float, per_run: float = PER_RUN) -> int:
+def runs_for(recall: float, per_run: float) -> int:
     """How many repeats bring pairs at the threshold together with this chance."""
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - per_run)))
 
@@ -179,13 +182,6 @@ def survival(levels: int, threshold: float = THRESHOLD) -> float:
     return s
 
 
-def _kept(df: DataFrame) -> tuple[DataFrame, int]:
-    """``df`` checkpointed, in partitions of about ``PART_ROWS``, and its number of rows."""
-    held = checkpointed(df)
-    n = held.count()
-    return held.coalesce(max(1, math.ceil(n / PART_ROWS))), n
-
-
 def _different(a: Column, b: Column) -> Column:
     """In how many coordinates two sketches differ."""
     out = F.lit(0).cast("long")
@@ -194,74 +190,148 @@ def _different(a: Column, b: Column) -> Column:
     return F.bit_count(out)
 
 
+def _near(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` narrow rows, broadcast where they are few."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
 def chosen_paths(sets: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, seed: int = 11) -> DataFrame:
-    """``sets`` (key, sketch, tokens) to edges (a, b), a > b, whose sketches are near.
+    """``sets`` (key, sketch, tokens) to edges (a, b), a > b: spanning trees of what is near by sketch.
 
-    Every set takes part in the repeats for two levels of nodes. A set that sat in
-    split nodes further down takes part in as many more as its deepest level calls
-    for, and so on until no set has too few: two linked sets stay together no deeper
-    than either of them goes, so both take part in the repeats that the pair needs.
+    Every set takes part in the repeats for one level of nodes. A set that sat in
+    split nodes takes part in as many more as the level after its deepest calls for, and
+    so on until no set has too few: two linked sets stay together no deeper than either of
+    them goes, so both take part in the repeats that the pair needs.
     """
-    base, second = runs_for(recall), 1 / threshold - 1
+    second = 1 / threshold - 1
     order = np.random.default_rng(seed).permutation(COORDINATES).tolist()
-    # the repeats for sets that were split at so many levels, MOST_LEVELS at most
-    needs = [max(base, runs_for(recall, survival(k + 1, threshold))) for k in range(MOST_LEVELS + 1)]
+    # the repeats for sets that sat in nodes of so many levels, MOST_LEVELS and one at most
+    needs = [runs_for(recall, survival(k + 1, threshold)) for k in range(MOST_LEVELS + 1)]
     sampled = [r for r in range(needs[-1]) for _ in range(1 + (math.floor((r + 1) * second) > math.floor(r * second)))]
     starts = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(order[k % COORDINATES]).alias("i")) for k, r in enumerate(sampled)))
-    todo = sets.select("key", *_SKETCH, "tokens", F.lit(0).alias("done"), F.lit(base).alias("need"))
+    todo = sets.select("key", *_SKETCH, "tokens", F.lit(0).alias("done"), F.lit(needs[0]).alias("need"))
     edges = []
     while True:
         mine = F.filter(starts, lambda x: (x["r"] >= F.col("done")) & (x["r"] < F.col("need")))
         paths = F.transform(mine, lambda x: F.xxhash64(x["r"], x["i"], F.get("tokens", x["i"])))
         found, split = _searched(todo.select("key", *_SKETCH, F.explode(paths).alias("path")), sets, second)
-        edges.append(checkpointed(reduce(DataFrame.unionAll, found).filter("a > b").distinct()))
+        if found:
+            edges.append(stored(reduce(DataFrame.unionAll, found).filter("a > b").distinct()))
         if not split:
             break
         deepest = reduce(DataFrame.unionAll, split).groupBy(F.col("key").alias("of")).agg(F.max("levels").alias("levels"))
-        needed = F.element_at(F.array(*map(F.lit, needs)), F.col("levels") + 1)
-        short = todo.select("key", F.col("need").alias("done")).join(deepest, F.col("key") == F.col("of")).select("of", "done", needed.alias("need")).filter("need > done")
-        short, n = _kept(short)
+        at = lambda levels: F.element_at(F.array(*map(F.lit, needs)), F.least(levels, F.lit(MOST_LEVELS)) + 1)
+        # some sets go a level deeper in the repeats to come: one level more than is due keeps the rounds few
+        due = todo.select("key", F.col("need").alias("done")).join(deepest, F.col("key") == F.col("of")).filter(at(F.col("levels")) > F.col("done"))
+        short = stored(due.select("of", "done", at(F.col("levels") + 1).alias("need")))
+        n = short.count()
         if not n:
             break
-        todo = sets.join(F.broadcast(short) if n <= BROADCAST_ROWS else short, F.col("key") == F.col("of")).select("key", *_SKETCH, "tokens", "done", "need")
-    return edges[0] if len(edges) == 1 else checkpointed(reduce(DataFrame.unionAll, edges).distinct())
+        todo = sets.join(_near(short, n), F.col("key") == F.col("of")).select("key", *_SKETCH, "tokens", "done", "need")
+    if not edges:
+        return sets.limit(0).select(F.col("key").alias("a"), F.col("key").alias("b"))
+    return edges[0] if len(edges) == 1 else stored(reduce(DataFrame.unionAll, edges).distinct())
 
 
 def _searched(entries: DataFrame, sets: DataFrame, second: float) -> tuple[list[DataFrame], list[DataFrame]]:
     """The trees under ``entries`` (key, sketch, path): edges, and (key, levels) of sets in nodes that were split at so many levels."""
-    member = F.struct("key", *_SKETCH)
-    pair = lambda x, y: F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     edges, deep = [], []
-    for level in range(MOST_LEVELS):
-        nodes = entries.groupBy(F.col("path").alias("node")).agg(F.count(F.lit(1)).alias("size"), F.min_by(member, F.xxhash64("key", "path")).alias("pivot")).filter("size > 1")
-        shared, _ = _kept(entries.join(nodes, F.col("path") == F.col("node")).select("path", "key", *_SKETCH, "size", "pivot"))
-        small = shared.filter(F.col("size") <= SMALL_NODE).groupBy("path").agg(F.collect_list(member).alias("m"))
-        below = lambda x: F.transform(F.filter("m", lambda y: (y["key"] < x["key"]) & (_different(x, y) <= DIFFERENT)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
-        edges.append(small.select(F.inline(F.flatten(F.transform("m", below)))))
-        large = shared.filter(F.col("size") > SMALL_NODE).withColumn("near", _different(F.struct(*_SKETCH), F.col("pivot")) <= LOOSE)
-        edges.append(large.filter("near").select(pair(F.col("key"), F.col("pivot.key")).alias("e")).select("e.*"))
+    for level in range(MOST_LEVELS + 1):
+        # the pivot is the least key: a hash of the text, so a random member, but the same one in every node
+        nodes = stored(entries.groupBy(F.col("path").alias("node")).agg(F.count(F.lit(1)).alias("size"), F.min("key").alias("pivot")).filter("size > 1"))
+        is_small = F.col("size") <= SMALL_NODE
+        n, n_small, rows = nodes.agg(F.count(F.lit(1)), F.count_if(is_small), F.sum(F.when(is_small, F.col("size")))).first()
+        if n_small:
+            members = entries.join(_near(nodes.filter(is_small).select("node"), n_small), F.col("path") == F.col("node"), "left_semi").select("path", "key", *_SKETCH)
+            edges.append(_small_nodes(members, rows))
+        if n == n_small:
+            break
+        pivots = nodes.filter(~is_small).join(sets.select(F.col("key").alias("of"), F.struct(*_SKETCH).alias("s")), F.col("pivot") == F.col("of")).select("node", "pivot", "s")
+        large = stored(entries.join(_near(pivots, n - n_small), F.col("path") == F.col("node")).select("path", "key", *_SKETCH, "pivot", (_different(F.struct(*_SKETCH), F.col("s")) <= LOOSE).alias("near")))
+        if level == MOST_LEVELS:
+            edges.append(large.select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+            break
+        edges.append(large.filter("near").select(F.col("key").alias("a"), F.col("pivot").alias("b")))
         # nodes with members far from the pivot: few of them meet all others, many mean another split
-        far = large.filter("not near").groupBy(F.col("path").alias("node")).agg(F.count(F.lit(1)).alias("far"))
-        open_, n = _kept(large.join(far, F.col("path") == F.col("node")).select("path", "key", *_SKETCH, "near", "far"))
-        if not n:
+        far = stored(large.groupBy(F.col("path").alias("node")).agg(F.count_if(~F.col("near")).alias("far")).filter("far > 0"))
+        few, many = far.agg(F.count_if(F.col("far") <= FEW_FAR), F.count_if(F.col("far") > FEW_FAR)).first()
+        if few:
+            edges.append(_few_far(large.join(_near(far.filter(F.col("far") <= FEW_FAR).select("node"), few), F.col("path") == F.col("node"), "left_semi").select("path", "key", *_SKETCH, "near"), few))
+        if not many:
             break
-        some = open_.filter(F.col("far") <= FEW_FAR)
-        held = some.filter("not near").groupBy(F.col("path").alias("node")).agg(F.collect_list(member).alias("m"))
-        met = some.join(held, F.col("path") == F.col("node")).select("key", F.filter("m", lambda y: (y["key"] != F.col("key")) & (_different(F.struct(*_SKETCH), y) <= DIFFERENT)).alias("m"))
-        edges.append(met.select(F.inline(F.transform("m", lambda y: pair(F.col("key"), y["key"])))))
-        again = open_.filter(F.col("far") > FEW_FAR).select(F.col("key").alias("of"), "path")
-        if level:  # the repeats of every set are enough for one
-            deep.append(again.select(F.col("of").alias("key"), F.lit(level + 1).alias("levels")).distinct())
+        again = large.join(_near(far.filter(F.col("far") > FEW_FAR).select("node"), many), F.col("path") == F.col("node"), "left_semi").select(F.col("key").alias("of"), "path")
+        deep.append(again.select(F.col("of").alias("key"), F.lit(level + 1).alias("levels")).distinct())
         one = F.pmod(F.xxhash64("path"), F.lit(COORDINATES)).cast("int")
         two = F.pmod(one + 1 + F.pmod(F.xxhash64("path", F.lit(1)), F.lit(COORDINATES - 1)), F.lit(COORDINATES)).cast("int")
         samples = F.when(F.pmod(F.xxhash64("path", F.lit(2)), F.lit(1 << 20)) < int(second * (1 << 20)), F.array(one, two)).otherwise(F.array(one))
         split = again.join(sets, F.col("of") == F.col("key")).withColumn("i", F.explode(samples))
-        entries = split.select("key", *_SKETCH, F.xxhash64(F.col("path"), F.lit(level), F.col("i"), F.get("tokens", F.col("i"))).alias("path"))
-    else:
-        raise RuntimeError(f"nodes are still to be split after {MOST_LEVELS} levels")
+        entries = stored(split.select("key", *_SKETCH, F.xxhash64(F.col("path"), F.lit(level), F.col("i"), F.get("tokens", F.col("i"))).alias("path")))
     return edges, deep
 
 
+def _few_far(members: DataFrame, n: int) -> DataFrame:
+    """Edges of nodes, ``members`` (path, key, sketch, near), whose few members far from the pivot are held against all.
+
+    Members near the pivot are connected already: a far one needs one of them at most.
+    """
+    held = members.filter("not near").groupBy(F.col("path").alias("node")).agg(F.collect_list(F.struct("key", *_SKETCH)).alias("m"))
+    met = F.filter("m", lambda y: (y["key"] != F.col("key")) & (_different(F.struct(*_SKETCH), y) <= DIFFERENT))
+    pairs = members.join(_near(held, n * FEW_FAR), F.col("path") == F.col("node")).select("path", "key", "near", F.explode(F.transform(met, lambda y: y["key"])).alias("other"))
+    one = pairs.groupBy("path", "other", F.when(~F.col("near"), F.col("key")).alias("own")).agg(F.min("key").alias("key"))
+    return one.select(F.greatest("key", "other").alias("a"), F.least("key", "other").alias("b"))
+
+
+def _small_nodes(members: DataFrame, rows: int) -> DataFrame:
+    """Edges of ``rows`` members (path, key, sketch) of small nodes: from each to the least key that it reaches in its node."""
+
+    def compared(table: pa.Table) -> pa.Table:
+        path, key = table.column("path").to_numpy(), table.column("key").to_numpy()
+        order = np.lexsort((key, path))
+        path, key = path[order], key[order]
+        root = near_roots(path, [table.column(s).to_numpy()[order] for s in _SKETCH])
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": key[tied], "b": key[root[tied]]})
+
+    packed = members.withColumn("pack", F.pmod(F.xxhash64("path"), F.lit(max(1, rows // PACK_ROWS))))
+    return packed.groupBy("pack").applyInArrow(compared, "a long, b long")
+
+
+def near_roots(path: np.ndarray, sketch: list[np.ndarray]) -> np.ndarray:
+    """For rows sorted by node: the first row of the node that each reaches through near sketches."""
+    n = len(path)
+    first = np.searchsorted(path, path, "left")
+
+    def near(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        differing = np.zeros(len(i), np.int64)
+        for s in sketch:
+            differing |= s[i] ^ s[j]
+        return np.bitwise_count(differing.view(np.uint64)) <= DIFFERENT  # of a signed number numpy counts the absolute value
+
+    # rows near the first one are connected by it and need not meet each other
+    star = near(np.arange(n), first)
+    pairs = [(first[star], np.flatnonzero(star))]
+    i = np.arange(n)
+    for step in range(1, n):
+        i = i[i + step < n]
+        i = i[path[i] == path[i + step]]
+        if not len(i):
+            break
+        open_ = i[~(star[i] & star[i + step])]
+        open_ = open_[near(open_, open_ + step)]
+        pairs.append((open_, open_ + step))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[a], root[b])
+        new = root.copy()
+        for end in (a, b, root[a], root[b]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 # -- groups -------------------------------------------------------------------
 
 
@@ -272,20 +342,20 @@ def components(edges: DataFrame) -> DataFrame:
     while there are few edges, else by a shuffle that adaptive execution splits
     where a node is hot.
     """
-    e, n = _kept(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
+    e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     state = None
     while True:
-        now = (n, e.agg(F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()[0])
+        now = e.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
+        n = now[0]
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = now
-        small_side = F.broadcast if n <= BROADCAST_ROWS else (lambda df: df)  # a row per node, so at most two per edge
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("p")).agg(F.min("v").alias("m")).select("p", F.least("p", "m").alias("m"))
-        large = both.filter("v > u").join(small_side(least), F.col("u") == F.col("p")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = both.filter("v > u").join(_near(least, 2 * n), F.col("u") == F.col("p")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         first = large.groupBy(F.col("u").alias("p")).agg(F.min("v").alias("m"))
-        small = large.join(small_side(first), F.col("u") == F.col("p")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
-        e, n = _kept(small.unionAll(first.select(F.col("p").alias("u"), F.col("m").alias("v"))).distinct())
+        small = large.join(_near(first, 2 * n), F.col("u") == F.col("p")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v")
+        e = stored(small.unionAll(first.select(F.col("p").alias("u"), F.col("m").alias("v"))).distinct())
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -343,13 +413,14 @@ def _checked(members: DataFrame, threshold: float) -> DataFrame:
     """``members`` (comp, parts, key, copies, text of the representative) to (key, links, class)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = _Reader()
+        reader, seen = _Reader(), set()
         for batch in batches:
             rows = []
             for k, text in enumerate(batch.column(4).to_pylist()):
-                words, key = reader.words(text)
-                if key == batch.column(2)[k].as_py():  # another text may share the id
-                    rows.append((k, shingles(words).view(np.int64)))
+                key = batch.column(2)[k].as_py()
+                if key not in seen:  # repeated rows of a representative
+                    seen.add(key)
+                    rows.append((k, shingles(reader.words(text)[0]).view(np.int64)))
             at = pa.array([k for k, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), pa.array([s for _, s in rows], pa.list_(pa.int64()))], names=["comp", "parts", "key", "copies", "grams"])
 
@@ -391,40 +462,42 @@ def near_copies(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
 
 
 def deduplicated(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, that of the smallest id.
+    """``docs`` with one document of each class, that of the smallest id (null ids last; of equal ids, by a hash of the text).
 
-    Of rows alike in id and text one stays. Near copies (not equal texts) that
-    share one id, or have none, cannot be told apart by it and stay.
+    Of rows alike in id and text one stays.
     """
-    classes = checkpointed(_classes(docs, threshold, recall, id_column, text_column).select("id", "mark", "class_id"))
+    classes = checkpointed(_classes(docs, threshold, recall, id_column, text_column).select("id", "mark", "stays"))
+    pairs = classes.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.bool_and("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     mark = F.xxhash64(docs[text_column])
-    gone = classes.filter(~F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    kept = docs.join(F.broadcast(gone) if few else gone, docs[id_column].eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")
-    twice = classes.filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id", "mark").count().filter("count > 1")
-    if twice.isEmpty():
+    same = docs[id_column].eqNullSafe(F.col("__id")) & (mark == F.col("__mark"))
+    gone, twice = (checkpointed(pairs.filter(x).select("__id", "__mark")) for x in ("not stays", "stays and n > 1"))
+    n, n_twice = gone.count(), twice.count()
+    kept = docs.join(_near(gone, n), same, "left_anti")
+    if not n_twice:
         return kept
-    return kept.withColumn("__mark", F.xxhash64(kept[text_column])).dropDuplicates([id_column, "__mark"]).drop("__mark")
+    one = docs.join(_near(twice, n_twice), same, "left_semi").withColumn("__mark", mark).dropDuplicates([id_column, "__mark"]).drop("__mark")
+    return kept.join(_near(twice, n_twice), same, "left_anti").unionAll(one)
 
 
 def _classes(docs: DataFrame, threshold: float, recall: float, id_column: str, text_column: str) -> DataFrame:
-    """(id, mark, class_id, n_links) of every row; mark is a hash of the text as it stands."""
+    """(id, mark, class_id, n_links, stays) of every row; mark is a hash of the text as it stands, stays says whether the row's id and mark are the least of its class."""
     texts = docs.select(docs[id_column].alias("id"), text_of(text_column).alias("text"), F.xxhash64(docs[text_column]).alias("mark"))
     signed = checkpointed(_signed(texts))
-    reps = checkpointed(signed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("rep"), F.first(F.struct("n", *_SKETCH, "tokens")).alias("s")).select("key", "copies", "rep", "s.*"))
+    row = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+    reps = checkpointed(signed.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(row).alias("rep"), F.first(F.struct("n", *_SKETCH, "tokens")).alias("s")).select("key", "copies", "rep", "s.*"))
     edges = chosen_paths(reps.filter("n > 0").select("key", *_SKETCH, "tokens"), threshold=threshold, recall=recall)
     grouped = checkpointed(components(edges))
     sizes = grouped.groupBy(F.col("root").alias("comp")).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(BLOCK))).cast("int").alias("parts"))
     members = grouped.join(sizes, F.col("root") == F.col("comp")).join(reps.select("key", "copies", "rep"), F.col("node") == F.col("key"))
     members = checkpointed(members.select("comp", "parts", "key", "copies", "rep"))
-    few = members.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    with_text = texts.join(F.broadcast(members) if few else members, F.col("id").eqNullSafe(F.col("rep")))
+    with_text = texts.join(_near(members, members.count()), F.col("id").eqNullSafe(F.col("rep.id")) & (F.col("mark") == F.col("rep.mark")))
     checked = checkpointed(_checked(with_text, threshold))
     # texts that have copies or links; the others are their own class
     linked = checked.select(F.col("key").alias("of"), "links", "class")
     special = reps.join(linked, F.col("key") == F.col("of"), "left").filter((F.col("copies") > 1) | F.col("of").isNotNull())
     special = special.select("key", "rep", F.coalesce("class", "key").alias("class"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    least = special.groupBy(F.col("class").alias("c")).agg(F.min("rep").alias("class_id"))
-    info = checkpointed(special.join(least, F.col("class") == F.col("c")).select(F.col("key").alias("of"), "class_id", "n_links"))
+    least = special.groupBy(F.col("class").alias("c")).agg(F.min("rep").alias("least"))
+    info = checkpointed(special.join(least, F.col("class") == F.col("c")).select(F.col("key").alias("of"), "least", "n_links"))
     out = signed.select("id", "mark", "key").join(info, F.col("key") == F.col("of"), "left")
-    return out.select("id", "mark", F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    stays = F.col("of").isNull() | (F.col("id").eqNullSafe(F.col("least.id")) & (F.col("mark") == F.col("least.mark")))
+    return out.select("id", "mark", F.when(F.col("of").isNull(), F.col("id")).otherwise(F.col("least.id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), stays.alias("stays"))

@@ -90,6 +90,10 @@ def test_one_of_each_stays(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, ngram_join.deduplicated(df).collect()), key=str)
     assert got == sorted([(1, "a b c d e f"), (3, "other"), (4, None), (None, "alone")], key=str)
+    # near copies of one id, or of none: one of each group stays
+    near = [" ".join(f"w{j}" for j in range(100)) + f" end{k}" for k in range(4)]
+    for i in (7, None):
+        assert ngram_join.deduplicated(spark.createDataFrame([(i, t) for t in near], "doc_id long, text string")).count() == 1
     assert ngram_join.deduplicated(df.limit(0)).count() == 0
 
 
@@ -120,14 +124,14 @@ def test_paths_reach_the_recall(spark):
     keys = [reader.words(t)[1] for _, t in rows]
     sets = [set(ngram_join.shingles(reader.words(t)[0]).tolist()) for _, t in rows]
     linked = {(max(keys[2 * k : 2 * k + 2]), min(keys[2 * k : 2 * k + 2])) for k in range(300) if len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) >= 0.8}
-    found = {tuple(r) for r in ngram_join.chosen_paths(signed.select("key", *ngram_join._SKETCH, "tokens")).collect()}
-    assert len(linked) > 200 and len(linked & found) / len(linked) >= 0.99
+    root = {r["node"]: r["root"] for r in ngram_join.components(ngram_join.chosen_paths(signed.select("key", *ngram_join._SKETCH, "tokens"))).collect()}
+    assert len(linked) > 200 and sum(root.get(a, a) == root.get(b, b) for a, b in linked) / len(linked) >= 0.99
 
 
 def test_paths_reach_the_recall_in_deep_nodes(spark, monkeypatch):
     """Pairs at the threshold that share a passage with thousands of unlike texts."""
-    monkeypatch.setattr(ngram_join, "SMALL_NODE", 2)
-    monkeypatch.setattr(ngram_join, "FEW_FAR", 1)
+    monkeypatch.setattr(ngram_join, "SMALL_NODE", 100)
+    monkeypatch.setattr(ngram_join, "FEW_FAR", 4)
     rng = np.random.default_rng(6)
     passage, rows = [f"p{j}" for j in range(190)], []
     for k in range(1000):
@@ -143,8 +147,28 @@ def test_paths_reach_the_recall_in_deep_nodes(spark, monkeypatch):
     sets = [set(ngram_join.shingles(w).tolist()) for w, _ in words]
     likeness = [len(sets[2 * k] & sets[2 * k + 1]) / len(sets[2 * k] | sets[2 * k + 1]) for k in range(1000)]
     linked = {(max(words[2 * k][1], words[2 * k + 1][1]), min(words[2 * k][1], words[2 * k + 1][1])) for k in range(1000) if 0.8 <= likeness[k] < 0.85}
-    found = {tuple(r) for r in ngram_join.chosen_paths(signed.select("key", *ngram_join._SKETCH, "tokens")).collect()}
-    assert len(linked) > 900 and len(linked - found) <= 1
+    root = {r["node"]: r["root"] for r in ngram_join.components(ngram_join.chosen_paths(signed.select("key", *ngram_join._SKETCH, "tokens"))).collect()}
+    assert len(linked) > 900 and sum(root.get(a, a) != root.get(b, b) for a, b in linked) <= 1
+    # the strangers stay apart
+    assert len({root.get(k, k) for _, k in words}) >= 990
+
+
+def test_rest_of_the_levels(spark, crowd, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL_NODE", 4)
+    monkeypatch.setattr(ngram_join, "FEW_FAR", 2)
+    monkeypatch.setattr(ngram_join, "MOST_LEVELS", 1)
+    assert joined(spark, crowd) == brute(crowd)
+
+
+def test_near_roots():
+    rng = np.random.default_rng(2)
+    base = rng.integers(-(2**63), 2**63 - 1, (3, 4))
+    rows = [(0, base[0]), (0, base[1]), (0, base[0]), (1, base[0]), (1, base[2]), (1, base[2]), (2, base[1])]
+    path, sketch = np.array([p for p, _ in rows]), [np.array([s[k] for _, s in rows]) for k in range(4)]
+    assert ngram_join.near_roots(path, sketch).tolist() == [0, 1, 0, 3, 4, 4, 6]
+    # a chain of neighbours, each near the next only
+    chain = [np.array([(1 << min(63, 20 * k)) - 1 for k in (0, 2, 1, 3)], np.uint64).view(np.int64)]
+    assert ngram_join.near_roots(np.zeros(4, np.int64), chain).tolist() == [0, 0, 0, 0]
 
 
 def test_shared_counts():
