@@ -79,6 +79,56 @@ def test_found_values_announce_further_contexts(spark):
     assert all(got[200 + k] == "phone:23:37" for k in range(8)) and got[300] == "phone:23:37" and got[301] == ""
 
 
+def test_forms_find_more(spark):
+    """A number that stands beside another, an address with other letters, one written out; not what breaks a kind's rules."""
+    rows = [(k, f"w{k} +1 (555) 010-{1000 + k} v{k} u{k}.x@mail{k % 9}.example.com") for k in range(40)]
+    odd = ["a +1 (456) 555-2186 12345678901234567 b", "on josé@mail3.example.com today", "u7 [at] mail4.example (dot) com no", "x (988) 555-24 y", "x 1 (988) 555-2485999999999999 y"]
+    rows += [(100 + k, t) for k, t in enumerate(odd)]
+    got = {r["doc_id"]: (r["base"], r["spans"]) for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == ("", "phone:2:19")
+    assert got[101] == ("", "email:3:26")
+    assert got[103] == ("", "") and got[104] == ("", "")
+
+
+def plain_bootstrap(near):
+    """(pattern, kind) to score, by loops over the rows of ``near``."""
+    edges = {(p, n["instance"], n["seed"]): n["may"] for n in near for p in n["patterns"]}
+    total, known = {}, {}
+    for p, i, _ in edges:
+        total.setdefault(p, set()).add(i)
+    loose = {(p, i, k) for (p, i, s), may in edges.items() if s < 0 for k in range(4) if may >> k & 1}
+    while True:
+        seeds = {}
+        for p, i, k in {(p, i, s) for p, i, s in edges if s >= 0} | {x for x in loose if known.get(x[1]) == x[2]}:
+            seeds.setdefault((p, k), set()).add(i)
+        patterns = {x: len(s) for x, s in seeds.items() if len(s) >= personal_data.SUPPORT}
+        graph = [(p, i, k) for p, i, k in loose if (p, k) in patterns and known.get(i) != k]
+        score = {x: n / (len(total[x[0]]) + personal_data.PRIOR) for x, n in patterns.items()}
+        for _ in range(personal_data.ROUNDS):
+            belief, gain = {}, {}
+            for p, i, k in graph:
+                belief[i, k] = max(belief.get((i, k), 0), score[p, k])
+            for p, i, k in graph:
+                gain[p, k] = gain.get((p, k), 0) + belief[i, k]
+            score = {x: (n + gain.get(x, 0)) / (len(total[x[0]]) + personal_data.PRIOR) for x, n in patterns.items()}
+        good = {x: v for x, v in score.items() if v >= personal_data.CONFIDENCE}
+        best = {}
+        for p, i, k in graph:
+            if (p, k) in good and i not in known:
+                best[i] = max(best.get(i, (0, 0)), (good[p, k], k))
+        if not best:
+            return good
+        known |= {i: k for i, (_, k) in best.items()}
+
+
+def test_bootstrap_against_loops(spark, announced):
+    for df in (announced, spark.read.parquet(f"{SF}/documents.parquet")):
+        scanned = personal_data.scan(df).cache()
+        expected = plain_bootstrap([n for r in scanned.select("near").collect() for n in r["near"]])
+        got = {(r["pattern"], r["kind"]): r["score"] for r in personal_data.bootstrap(scanned).collect()}
+        assert got == pytest.approx(expected) and got
+
+
 def test_masking(spark, announced, monkeypatch):
     texts = {r["doc_id"]: r["text"] for r in personal_data.masked(announced).collect()}
     assert texts[100] == "Some text. call me at [PHONE] after work" and texts[102] == "nothing at all here"
