@@ -48,7 +48,7 @@ PATTERNS = {
 }
 #: Looser shapes of things that the base patterns may miss.
 ADDRESS = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D@]++@[^\x20\x09-\x0D@]++"
-SPELT = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]++(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?[A-Za-z0-9-]++)++"
+SPELT = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\[at\]|\(at\)|\x20at\x20)\x20?[A-Za-z0-9-]++(?:(?:\x20?(?:\[dot\]|\(dot\)|\x20dot\x20)\x20?|\.)[A-Za-z0-9-]++)++"
 DIGITS = r"(?<![0-9A-Za-z])[+(]?[0-9](?:[\x20().\x2F-]{0,3}+[0-9])++"
 CONTEXT = 48
 ROUNDS = 3
@@ -124,11 +124,11 @@ def _fits(kind: int, value: Column) -> Column:
 
 
 def _around(text: Column, start: Column, end: Column) -> Column:
-    """The words beside a span: two to the left, one, one to the right, digits as 0."""
+    """The words beside a span: two to the left, one, one to the right, digits as 0; null where there are none."""
     first = F.greatest(start - CONTEXT, F.lit(0))
     left = F.lower(text.substr(first + 1, start - first))
     right = F.lower(text.substr(end + 1, F.lit(CONTEXT)))
-    word = lambda s, k: F.regexp_replace(F.regexp_extract(s, k, 1), "[0-9]", "0")
+    word = lambda s, k: F.nullif(F.regexp_replace(F.regexp_extract(s, k, 1), "[0-9]", "0"), F.lit(""))
     two, one = word(left, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+[\x20\x09-\x0D]*)$"), word(left, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]*)$")
     return F.struct(two.alias("two"), one.alias("one"), word(right, r"^([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)").alias("after"))
 

@@ -86,7 +86,7 @@ def test_forms_find_more(spark):
     rows += [(100 + k, t) for k, t in enumerate(odd)]
     got = {r["doc_id"]: (r["base"], r["spans"]) for r in personal_data.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[100] == ("", "phone:2:19")
-    assert got[101] == ("", "email:3:26")
+    assert got[101] == ("", "email:3:25") and got[102] == ("", "email:0:31")
     assert got[103] == ("", "") and got[104] == ("", "")
 
 
