@@ -8,32 +8,39 @@ below the threshold keeps its smallest one.
 
 ``edit_report`` holds each document against the one that follows it in
 descending order of id and against a text made of both. Neighbours are found
-without a global sort in one task: ids are cut into buckets of a few thousand
-rows by quantiles, and the first row of each bucket is also sent, as a guest,
-to the bucket before it.
-
-All of it is DataFrame expressions. Defined results: words are lower-cased and
-separated by blanks; a text of one to four words is one shingle; a text without
+without a global sort in one task: ids are cut into buckets of about
+``BUCKET_BYTES`` by range partitioning, and the first row of each bucket is also
+sent, as a guest, to the bucket before it. The ends of the buckets are known to
+every task: two ids and hashes for each ``BUCKET_BYTES``, some 40 MB for 100 TB.
+
+All of it is DataFrame expressions. Defined results: ids are of any type that can
+be sorted; words are lower-cased and separated by blanks; a text of one to
+four words is one shingle; a text without
 words (or null, which counts as empty) has an empty sketch, like another empty
 one (1.0), unlike all others (0.0); a lone document follows itself; equal ids
-are ordered by a hash of their texts; null ids come last; an empty table gives
+are ordered by a hash of their texts; rows alike in id and text follow each other,
+the last of them the next document; null ids come last; an empty table gives
 an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of, words_of
+from .common import checkpointed, text_of, words_of
 
 SHINGLE = 5
 #: The part of all shingle hashes that a sketch keeps.
 FRACTION = 0.25
-BUCKET_ROWS = 2000
-MOST_BUCKETS = 10_000
+BUCKET_BYTES = 128 << 20
+#: Buckets for each core, where the texts are few.
+LEAST_BUCKETS = 4
+#: At most so many (id, hash) pairs of repeated rows are broadcast.
+BROADCAST_ROWS = 200_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -84,25 +91,18 @@ def packed(hashes: Column) -> Column:
     return F.base64(F.unhex(F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h.bitwiseAND(F.lit((1 << 40) - 1))), 10, "0")), "")))
 
 
-def _bucketed(docs: DataFrame, id_column: str) -> tuple[Column, dict[int, tuple[object, int]]]:
-    """(the bucket of an id, for each bucket its largest id and the bucket that its first row visits)."""
-    rows = docs.select(F.col(id_column).alias("id"))
-    n = rows.count()
-    wanted = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    cuts: list = []
-    if wanted > 1:
-        found = rows.agg(F.percentile_approx("id", [k / wanted for k in range(1, wanted)], 20 * wanted)).first()[0]
-        cuts = sorted(set(found or []))
-    # binary search in the cuts: steps of halving length; null ids are bucket -1
-    place = F.lit(0)
-    if cuts:
-        known = F.array(*map(F.lit, cuts))
-        steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(cuts).bit_length()))))
-        place = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(known, at + step - 1) <= F.col("id")), at + step).otherwise(at))
-    bucket = F.when(F.col("id").isNull(), -1).otherwise(place)
-    first = {r["bucket"]: r["first"] for r in rows.select(bucket.alias("bucket"), "id").groupBy("bucket").agg(F.max("id").alias("first")).collect()}  # at most MOST_BUCKETS rows
-    order = sorted(first)
-    return bucket, {b: (first[b], order[(k + 1) % len(order)]) for k, b in enumerate(order)}
+def _bucketed(keys: DataFrame, buckets: int) -> tuple[Column, Column, int]:
+    """(the bucket of a row's (id, tie), whether the row is the last of its bucket, the number of buckets); buckets ascend."""
+    key = F.struct("id", "tie")
+    ranges = keys.repartitionByRange(buckets, "id", "tie").groupBy(F.spark_partition_id()).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    ends = ranges.agg(F.count(F.lit(1)).alias("n"), *(F.to_json(F.sort_array(F.collect_list(c)), exact).alias(c) for c in ("low", "high"))).first()
+    kind = f"array<struct<id: {keys.schema['id'].dataType.simpleString()}, tie: bigint>>"
+    low, high = (F.from_json(F.lit(ends[c]), kind, exact) for c in ("low", "high"))
+    # binary search for the last low end that is not above the key: steps of halving length
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(int(ends["n"]).bit_length()))))
+    place = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step < ends["n"]) & (F.get(low, at + step) <= key), at + step).otherwise(at))
+    return place, key == F.get(high, F.col("bucket")), ends["n"]
 
 
 def followed(docs: DataFrame, columns: dict[str, Column], *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -110,19 +110,30 @@ def followed(docs: DataFrame, columns: dict[str, Column], *, id_column: str = "d
 
     Every row gets a follower, a lone row itself.
     """
-    bucket, visits = _bucketed(docs, id_column)
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).select("id", F.xxhash64("text").alias("tie"), F.struct(*(c.alias(n) for n, c in columns.items())).alias("row"), bucket.alias("bucket"))
-    if not visits:
-        return rows.select("id", "row", F.col("row").alias("next"))
-    at = F.create_map(*[F.lit(x) for b, (_, to) in visits.items() for x in (b, to)])
-    top = F.create_map(*[x for b, (first, _) in visits.items() for x in (F.lit(b), F.lit(first).cast("long"))])
-    is_first = F.col("id").cast("long").eqNullSafe(F.element_at(top, F.col("bucket")))
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("tie", F.xxhash64("text"))
+    made = lambda df: df.select("id", "tie", F.struct(*(c.alias(n) for n, c in columns.items())).alias("row"))
+    keys = checkpointed(rows.groupBy("id", "tie").agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("text")).alias("bytes")))
+    n, size, repeated = keys.agg(F.count(F.lit(1)), F.sum("bytes"), F.count_if(F.col("copies") > 1)).first()
+    if not n:
+        return made(rows).select("id", "row", F.col("row").alias("next"))
+    others = None
+    if repeated:
+        # one of the rows that are alike meets the others; the rest follow each other
+        many = keys.filter("copies > 1").select(F.col("id").alias("of"), F.col("tie").alias("as"), "copies")
+        many = F.broadcast(many) if repeated <= BROADCAST_ROWS else many
+        same = rows["id"].eqNullSafe(F.col("of")) & (rows["tie"] == F.col("as"))
+        one = checkpointed(rows.join(many, same).select("id", "tie", "text", "copies").dropDuplicates(["id", "tie"]))
+        others = made(one.withColumn("k", F.explode(F.sequence(F.lit(2), F.col("copies")))))
+        rows = rows.join(many, same, "left_anti").unionAll(one.select("id", "text", "tie"))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    bucket, is_last, buckets = _bucketed(keys, max(math.ceil(size / BUCKET_BYTES), min(n, LEAST_BUCKETS * cores)))
     stays = F.struct(F.col("bucket").alias("to"), F.lit(False).alias("guest"))
-    sent = F.when(is_first, F.array(stays, F.struct(F.element_at(at, F.col("bucket")).alias("to"), F.lit(True).alias("guest")))).otherwise(F.array(stays))
+    visits = F.struct(F.pmod(F.col("bucket") + 1, F.lit(buckets)).cast("int").alias("to"), F.lit(True).alias("guest"))
     # columns are computed before the rows are dealt out, once for the row and its guest
-    dealt = rows.withColumn("sent", F.explode(sent)).select("id", "tie", "row", "sent.*")
-    w = Window.partitionBy("to").orderBy("guest", F.col("id").desc_nulls_last(), "tie")
-    return dealt.withColumn("next", F.lead("row").over(w)).filter(~F.col("guest")).select("id", "row", "next")
+    dealt = made(rows).withColumn("bucket", bucket).withColumn("sent", F.explode(F.when(is_last, F.array(stays, visits)).otherwise(F.array(stays)))).select("id", "tie", "row", "sent.*")
+    w = Window.partitionBy("to").orderBy("guest", F.col("id").desc_nulls_last(), F.col("tie").desc())
+    out = dealt.withColumn("next", F.lead("row").over(w)).filter(~F.col("guest")).select("id", "row", "next")
+    return out if others is None else out.unionAll(others.select("id", "row", F.col("row").alias("next")))
 
 
 def edit_report(docs: DataFrame, *, fraction: float = FRACTION, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

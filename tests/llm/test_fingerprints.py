@@ -30,9 +30,9 @@ def edits(rows):
     return out
 
 
-@pytest.mark.parametrize("bucket", [7, 2000])
+@pytest.mark.parametrize("bucket", [20_000, fingerprints.BUCKET_BYTES])
 def test_edited_texts_and_likeness(spark, monkeypatch, bucket):
-    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", bucket)
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", bucket)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     exact = fingerprints.edit_report(docs, fraction=1.0 - 2**-40)
     expected = edits([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
@@ -66,9 +66,35 @@ def test_equal_texts_and_edges(spark):
     assert lone["near_next"] == 1.0
 
 
-def test_repeated_ids(spark):
-    df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (1, "other words here"), (0, "last one")], "doc_id long, text string")
-    assert fingerprints.edit_report(df).count() == 4
+def chain(rows):
+    """The edited texts of (id, text) rows in any order, ids of any type: rows that are alike follow each other."""
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: r[0], reverse=True)
+    order += sorted((r for r in rows if r[0] is None), key=str)
+    texts = [t or "" for _, t in order]
+    return sorted((str(i), t[: len(t) - len(t) // 2] + n[: len(t) // 2]) for (i, _), t, n in zip(order, texts, texts[1:] + texts[:1], strict=True))
+
+
+@pytest.mark.parametrize("kind", ["string", "long", "timestamp", "decimal(20,3)"])
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_ids_of_any_type(spark, monkeypatch, kind, few):
+    """Many buckets, repeated rows, null ids of one text."""
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 40)
+    monkeypatch.setattr(fingerprints, "BROADCAST_ROWS", few)
+    names = [f"{k}" for k in range(3, 90)] if kind != "timestamp" else [f"2024-01-{1 + k % 28:02d} 01:02:03.{100000 + k}" for k in range(87)]
+    rows = [(n, f"text {k} " + "abc" * (k % 7)) for k, n in enumerate(names)]
+    rows += [rows[5]] * 40 + [(None, "no id")] * 30
+    df = spark.createDataFrame(rows, "doc_id string, text string").repartition(5).withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = fingerprints.edit_report(df).select(F.col("doc_id").cast("string"), "edited_sha256").collect()
+    typed = [(r["doc_id"], r["text"]) for r in df.collect()]
+    text = {str(r["doc_id"]): r["s"] for r in df.select("doc_id", F.col("doc_id").cast("string").alias("s")).collect()}
+    assert sorted((str(r[0]), r[1]) for r in got) == sorted((str(text[i]), hashlib.sha256(t.encode()).hexdigest()) for i, t in chain(typed))
+
+
+def test_hot_id(spark):
+    """Equal ids with unlike texts: every row has a follower, every text follows one."""
+    rows = [(1, f"text {k}") for k in range(60)] + [(0, "last one")]
+    pairs = fingerprints.followed(spark.createDataFrame(rows, "doc_id long, text string"), {"t": F.col("text")}).select("row.t", F.col("next.t").alias("n")).collect()
+    assert sorted(r["t"] for r in pairs) == sorted(r["n"] for r in pairs) == sorted(t for _, t in rows)
 
 
 def test_containment_and_merging(spark):
