@@ -11,6 +11,13 @@ neighbours to the merge table, contracts each word's leftmost pair of minimum
 rank, and ends when no word has a pair left. Decoding is an ordered aggregation
 of the tokens' bytes. Memo and chunk sizes bound the memory of a worker.
 
+A query takes as many rounds as its longest word has contractions, so a word of more
+than ``WINDOW`` bytes goes in as windows that overlap by half. Tokens stand beside
+each other in an encoding exactly if the encoding of the two together is these two;
+so two windows are joined at a token that both have at the same place, and the
+result is that of the whole word. Where windows share no token they are made twice
+as wide, at last as wide as the word. The work for a word thus grows with its length.
+
 Defined results: a null text is the empty text (0 tokens, digests of nothing);
 repeated rows each get their row; null ids stay null; an empty table gives an
 empty result; other columns are not read.
@@ -33,8 +40,12 @@ from pyspark.sql import types as T
 
 from .common import in_small_batches
 
-MEMO = 300_000
+#: Words that a worker remembers, and their bytes.
+MEMO, MEMO_BYTES = 300_000, 32 << 20
 CHUNK_CHARS = 1 << 21
+WINDOW = 64
+#: The squares of the lengths of the words of one query add up to so many at most (or it has one word): they bound its rows.
+QUERY_ROWS = 1 << 22
 
 #: start: (word, pos, nxt, tok), nxt the position of the word's next token or -1; each
 #: round keeps the rows of words that had a pair. key is a * 65536 + b, best is
@@ -95,35 +106,71 @@ def _engine(ranks_path: str):
     con.unregister("merges_in")
     con.unregister("vocabulary_in")
     single = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
-    return con, ranks, single
-
-
-def encode_words(words: list[bytes], ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
-    """(ids of all words one after another, how many each word has)."""
-    con, ranks, single = _engine(ranks_path)
-    known = np.array([ranks.get(w, -1) for w in words], dtype=np.int64)
-    out_word, out_ids = [np.flatnonzero(known >= 0)], [known[known >= 0]]
-    rest = [i for i in np.flatnonzero(known < 0).tolist() if words[i]]
-    for k in range(0, len(rest), 20_000):  # bounds the rows that one query holds
-        part = rest[k : k + 20_000]
-        size = np.array([len(words[i]) for i in part], dtype=np.int64)
-        data = np.frombuffer(b"".join(words[i] for i in part), dtype=np.uint8)
+    size = np.zeros(max(ranks.values()) + 1, np.int64)
+    size[list(ranks.values())] = [len(t) for t in ranks]
+    return con, ranks, single, size
+
+
+def _contracted(words: list[bytes], ranks_path: str) -> list[np.ndarray]:
+    """The ids of each word, by the recursive query."""
+    con, _, single, _ = _engine(ranks_path)
+    out: list[np.ndarray] = []
+    rows = np.cumsum([len(w) ** 2 for w in words])
+    while len(out) < len(words):
+        done = len(out)
+        upto = max(done + 1, int(np.searchsorted(rows, (rows[done - 1] if done else 0) + QUERY_ROWS, "right")))
+        part = words[done:upto]
+        size = np.array([len(w) for w in part], dtype=np.int64)
+        data = np.frombuffer(b"".join(part), dtype=np.uint8)
         following = np.arange(1, len(data) + 1, dtype=np.int64)
         following[np.cumsum(size) - 1] = -1
-        con.register("start", pa.table({"word": np.repeat(np.array(part, dtype=np.int64), size), "pos": np.arange(len(data), dtype=np.int64), "nxt": following, "tok": single[data]}))
+        con.register("start", pa.table({"word": np.repeat(np.arange(len(part)), size), "pos": np.arange(len(data), dtype=np.int64), "nxt": following, "tok": single[data]}))
         found = con.execute(ENCODE).fetchnumpy()
         con.unregister("start")
         order = np.argsort(found["pos"])
-        out_word.append(np.asarray(found["word"], dtype=np.int64)[order])
-        out_ids.append(np.asarray(found["tok"], dtype=np.int64)[order])
-    word, ids = np.concatenate(out_word), np.concatenate(out_ids)
-    order = np.argsort(word, kind="stable")
-    return ids[order].astype(np.uint32), np.bincount(word, minlength=len(words)).astype(np.int64)
+        word, ids = np.asarray(found["word"], dtype=np.int64)[order], np.asarray(found["tok"], dtype=np.int64)[order]
+        out += np.split(ids, np.searchsorted(word, np.arange(1, len(part))))
+    return out
+
+
+def _joined(windows: list[np.ndarray], step: int, size: np.ndarray) -> np.ndarray | None:
+    """The ids of a word from those of its windows, which start ``step`` bytes apart; None where two share no token."""
+    out, ids, at, begun = [], windows[0], np.cumsum(size[windows[0]]) - size[windows[0]], 0
+    for k, other in enumerate(windows[1:], 1):
+        place = np.cumsum(size[other]) - size[other] + k * step
+        _, a, b = np.intersect1d(at, place, assume_unique=True, return_indices=True)
+        same = np.flatnonzero(ids[a] == other[b])
+        if not len(same):
+            return None
+        out.append(ids[begun : a[same[0]]])
+        ids, at, begun = other, place, b[same[0]]
+    return np.concatenate([*out, ids[begun:]])
+
+
+def encode_words(words: list[bytes], ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all words one after another, how many each word has)."""
+    _, ranks, _, size = _engine(ranks_path)
+    out = [np.array([ranks[w]]) if w in ranks else np.zeros(0, np.int64) for w in words]
+    rest, width = [i for i, w in enumerate(words) if w and w not in ranks], WINDOW
+    while rest:
+        step = width // 2
+        starts = [range(0, max(1, len(words[i]) - step), step) if len(words[i]) > width else range(1) for i in rest]
+        found = _contracted([words[i][k : k + width] if len(words[i]) > width else words[i] for i, ks in zip(rest, starts, strict=True) for k in ks], ranks_path)
+        again, at = [], 0
+        for i, ks in zip(rest, starts, strict=True):
+            ids = _joined(found[at : at + len(ks)], step, size)
+            at += len(ks)
+            if ids is None:
+                again.append(i)
+            else:
+                out[i] = ids
+        rest, width = again, 2 * width
+    return np.concatenate([np.zeros(0, np.int64), *out]).astype(np.uint32), np.array([len(x) for x in out], np.int64)
 
 
 def decode_words(ids: np.ndarray, counts: np.ndarray, ranks_path: str) -> list[bytes]:
     """The bytes of each run of ids, by an ordered aggregation."""
-    con, _, _ = _engine(ranks_path)
+    con, *_ = _engine(ranks_path)
     out = [b""] * len(counts)
     word = np.repeat(np.arange(len(counts)), counts)
     con.register("tokens", pa.table({"word": word, "pos": np.arange(len(ids), dtype=np.int64), "tok": ids.astype(np.int64)}))
@@ -151,16 +198,17 @@ class _Memo:
         self.clear()
 
     def clear(self) -> None:
-        self.codes, self.ids, self.size, self.bytes = _Codes(), np.zeros(0, np.uint32), np.zeros(0, np.int64), []
+        self.codes, self.ids, self.size, self.bytes, self.held = _Codes(), np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
 
     def encode(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         """(number of ids, the ids as bytes, what they decode to) of each text."""
-        if len(self.codes) > self.most:
+        if len(self.codes) > self.most or self.held > MEMO_BYTES:
             self.clear()
         get, had = self.codes.__getitem__, len(self.codes)
         found = [np.fromiter(map(get, self.find(x)), np.int64) for x in texts]
         new = [w.encode("utf-8") for w in list(self.codes)[had:]]
         if new:
+            self.held += sum(map(len, new))
             ids, size = encode_words(new, self.path)
             self.bytes += decode_words(ids, size, self.path)
             self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])

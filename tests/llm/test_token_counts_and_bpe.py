@@ -1,8 +1,10 @@
 """Counts and ids against the libraries that define them."""
 
 import hashlib
+import random
 import struct
 
+import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
@@ -83,3 +85,22 @@ def test_decoding_any_ids():
     ranks = byte_bpe.read_ranks(RANKS)
     names = {v: k for k, v in ranks.items()}
     assert byte_bpe.decode_ids([[72, 10], [50000, 1]], RANKS) == [names[72] + names[10], names[50000] + names[1]]
+
+
+@pytest.mark.parametrize("word", ["".join(random.Random(1).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(100_000)), "ab" * 50_000, "a" * 70_001, "é" * 9_000, "-" * 3_001])
+def test_very_long_words(library, word):
+    """Words of many windows: the ids of the library, in time that grows with the length."""
+    ids, counts = byte_bpe.encode_words([b"x", word.encode(), b"", b"yz"], RANKS)
+    expected = library.encode_ordinary(word)
+    assert counts[1] == len(expected) and counts[2] == 0 and ids[counts[0] : counts[0] + counts[1]].tolist() == expected
+
+
+def test_windows_of_any_width(library, monkeypatch):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abeht "[: rng.randrange(2, 6)]) for _ in range(rng.randrange(1, 300))) for _ in range(150)]
+    expected = [library.encode_ordinary(w) for w in words]
+    for width in (4, 16, 64, 1024):
+        monkeypatch.setattr(byte_bpe, "WINDOW", width)
+        ids, counts = byte_bpe.encode_words([w.encode() for w in words], RANKS)
+        got = np.split(ids, np.cumsum(counts)[:-1])
+        assert [g.tolist() for g in got] == expected
