@@ -16,12 +16,14 @@ recordings leaves: the number of recordings that align and the best of them. No
 pairs is made. The look-ups grow with queries times blocks, the rest with the number of
 equal integers.
 
-``melodies`` renders a column of numeric vectors as recordings, a note for each
-component, for tables that hold no audio.
+``search`` does the same for clips that are not among the recordings; ``clips`` makes
+such, cut, quieter and noisy, from recordings. ``melodies`` renders a column of numeric
+vectors as recordings, a note for each component, for tables that hold no audio.
 
 Defined results: a recording that is null, empty or shorter than one filter has
-an empty fingerprint and aligns with nothing; a recording does not match itself
-(rows of the same id count as itself); of equal errors the longer overlap, then
+an empty fingerprint and aligns with nothing; in ``align`` a recording does not match
+itself (rows of the same id count as itself), in ``search`` ids of clips and recordings
+have nothing to do with each other; of equal errors the longer overlap, then
 the smaller id is best; null ids are no queries; an empty table gives an empty
 result; other columns are not read.
 """
@@ -29,6 +31,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,14 +44,15 @@ from pyspark.sql import types as T
 from .common import checkpointed
 
 RATE = 4096
-FRAME, HOP = 512, 256
+#: Samples of a frame, and between frames: a clip that starts between two is at most half a hop away from one.
+FRAME, HOP = 512, 128
 CLASSES = 12
 FILTERS = 16
 #: Frames that the widest filter spans.
-SPAN = 16
+SPAN = 32
 #: Between the quantiser's steps, in natural log of a ratio.
 STEP = 0.25
-LEAST_HITS = 3
+LEAST_HITS = 2
 MOST_ERROR = 0.2
 LEAST_OVERLAP = 32
 #: Recordings and queries of a task.
@@ -165,6 +169,25 @@ def melodies(vectors: DataFrame, *, id_column: str, vector_column: str, step: fl
     return vectors.select(F.col(id_column), F.col(vector_column)).mapInArrow(run, schema)
 
 
+def clips(recordings: DataFrame, *, id_column: str, audio_column: str, kept: float = 0.6, gain: float = 0.5, noise: float = 0.02) -> DataFrame:
+    """Per row: the id and ``audio``, a stretch of the recording of the part ``kept``, at ``gain`` and with noise; place and noise follow from the id."""
+    schema = T.StructType([recordings.schema[id_column], T.StructField("audio", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                samples = _pcm(x.as_py())
+                rng = np.random.default_rng(zlib.crc32(str(i).encode()))
+                n = int(kept * len(samples))
+                at = int(rng.integers(0, len(samples) - n + 1))
+                loud = gain * samples[at : at + n] + rng.normal(0, noise * 32768 * gain, n)
+                made.append(np.clip(loud, -32768, 32767).astype("<i2").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=[id_column, "audio"])
+
+    return recordings.select(F.col(id_column), F.col(audio_column)).mapInArrow(run, schema)
+
+
 # -- alignment ----------------------------------------------------------------
 
 
@@ -221,16 +244,6 @@ class _Index:
         return np.where(overlap > 0, wrong / (32 * np.maximum(overlap, 1)), 1.0), overlap
 
 
-def best_offsets(query: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hits, offset) at the peak of each recording's offset histogram; recordings stand in ``flat`` one after another."""
-    return _Index(flat, starts).best_offsets(query)
-
-
-def _error(a: np.ndarray, b: np.ndarray, offset: int) -> tuple[float, int]:
-    error, overlap = _Index(b, np.array([0, len(b)])).errors(a, np.array([0]), np.array([offset]))
-    return float(error[0]), int(overlap[0])
-
-
 def _places(ids: pa.Array) -> np.ndarray:
     """The place of each id among the sorted distinct ones; nulls come last."""
     coded = ids.dictionary_encode()
@@ -240,15 +253,27 @@ def _places(ids: pa.Array) -> np.ndarray:
 
 def align(prints: DataFrame, is_query: Column, *, id_column: str) -> DataFrame:
     """Per query of ``prints`` (id, print): id, n_frames, n_matches, best_id, best_offset, best_error."""
-    kind = prints.schema[id_column].dataType.simpleString()
     rows = checkpointed(prints.select(F.col(id_column).alias("id"), "print", F.coalesce(is_query, F.lit(False)).alias("query"), F.monotonically_increasing_id().alias("row")))
-    long = rows.filter(F.size("print") >= LEAST_OVERLAP)  # shorter ones align with nothing
-    n, n_queries = long.agg(F.count(F.lit(1)), F.count_if("query")).first()
+    return _searched(rows, rows.filter("query"), id_column, apart=True)
+
+
+def search(prints: DataFrame, asked: DataFrame, *, id_column: str) -> DataFrame:
+    """Per row of ``asked`` (id, print), held against all of ``prints``: the columns of ``align``."""
+    numbered = lambda df: checkpointed(df.select(F.col(id_column).alias("id"), "print", F.monotonically_increasing_id().alias("row")))
+    return _searched(numbered(prints), numbered(asked), id_column, apart=False)
+
+
+def _searched(recordings: DataFrame, queries: DataFrame, id_column: str, *, apart: bool) -> DataFrame:
+    """apart: rows of one id, or one row, don't match each other."""
+    kind = recordings.schema["id"].dataType.simpleString()
+    is_long = F.size("print") >= LEAST_OVERLAP  # shorter ones align with nothing
+    long, asked = recordings.filter(is_long), queries.filter(is_long)
+    n, n_queries = long.count(), asked.count()
     blocks, parts = max(1, math.ceil(n / RECORDINGS)), max(1, math.ceil(n_queries / QUERIES))
     dealt = lambda k: F.pmod(F.xxhash64("row"), F.lit(k)).cast("int")
     each = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
     here = long.select(dealt(blocks).alias("block"), each(parts).alias("part"), "row", "id", "print", F.lit(False).alias("asks"))
-    asking = long.filter("query").select(each(blocks).alias("block"), dealt(parts).alias("part"), "row", "id", "print", F.lit(True).alias("asks"))
+    asking = asked.select(each(blocks).alias("block"), dealt(parts).alias("part"), "row", "id", "print", F.lit(True).alias("asks"))
 
     def cell(table: pa.Table) -> pa.Table:
         row, asks = (table.column(c).to_numpy() for c in ("row", "asks"))
@@ -263,7 +288,8 @@ def align(prints: DataFrame, is_query: Column, *, id_column: str) -> DataFrame:
         for q in np.flatnonzero(asks):
             mine = values[offsets[q] : offsets[q + 1]]
             hits, shift = index.best_offsets(mine, LEAST_HITS)
-            chosen = np.flatnonzero((hits >= LEAST_HITS) & (row[at] != row[q]) & (place[at] != place[q]))
+            other = (row[at] != row[q]) & (place[at] != place[q]) if apart else True
+            chosen = np.flatnonzero((hits >= LEAST_HITS) & other)
             error, overlap = index.errors(mine, chosen, shift[chosen])
             good = error <= MOST_ERROR
             chosen, error, overlap = chosen[good], error[good], overlap[good]
@@ -277,6 +303,5 @@ def align(prints: DataFrame, is_query: Column, *, id_column: str) -> DataFrame:
     cells = here.unionAll(asking).groupBy("block", "part").applyInArrow(cell, f"row long, n long, error double, overlap int, match {kind}, offset int")
     best = F.min(F.struct("error", (-F.col("overlap")).alias("o"), F.col("match").isNull().alias("none"), "match", "offset")).alias("best")
     totals = cells.groupBy(F.col("row").alias("of")).agg(F.sum("n").alias("n"), best)
-    asked = rows.filter("query").select("id", "row", F.size("print").alias("n_frames"))
-    out = asked.join(totals, F.col("row") == F.col("of"), "left")
+    out = queries.select("id", "row", F.size("print").alias("n_frames")).join(totals, F.col("row") == F.col("of"), "left")
     return out.select(F.col("id").alias(id_column), "n_frames", F.coalesce("n", F.lit(0)).cast("long").alias("n_matches"), F.col("best.match").alias("best_id"), F.col("best.offset").alias("best_offset"), F.col("best.error").alias("best_error"))

@@ -57,9 +57,12 @@ def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recordings = audio.melodies(table(spark, sf_dir, "embeddings"), id_column="vec_id", vector_column="embedding")
-    prints = audio.fingerprints(recordings, id_column="vec_id", audio_column="audio")
-    return audio.align(prints, F.col("vec_id") % 20 == 0, id_column="vec_id")
+    """A clip of every twentieth recording, cut, quieter and noisy, searched among all recordings."""
+    names = {"id_column": "vec_id", "audio_column": "audio"}
+    vectors = table(spark, sf_dir, "embeddings")
+    recordings = audio.melodies(vectors, id_column="vec_id", vector_column="embedding")
+    asked = audio.clips(audio.melodies(vectors.filter(F.col("vec_id") % 20 == 0), id_column="vec_id", vector_column="embedding"), **names)
+    return audio.search(audio.fingerprints(recordings, **names), audio.fingerprints(asked, **names), id_column="vec_id")
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
