@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators.ordered import quantiles
+
 #: The carriers' cabin codes.
 CABINS = {1.0: "economy", 2.0: "business", 4.0: "premium"}
 BIN_LABELS = ("very_cheap", "cheap", "medium", "expensive", "very_expensive")
@@ -75,17 +77,16 @@ def calendar(df: DataFrame, column: str) -> DataFrame:
 
 
 def quantile_bins(df: DataFrame, column: str, name: str, labels: tuple[str, ...] = BIN_LABELS) -> DataFrame:
-    """Equal-frequency bins of the whole table: break points from one aggregate, then a CASE.
+    """Equal-frequency bins of the whole table, by a CASE over exact break points.
 
     The break points are a one-row frame, joined by broadcast; a value equal to one
     is in the lower bin, null stays null.
     """
     parts = [k / len(labels) for k in range(1, len(labels))]
-    breaks = df.agg(F.percentile(F.col(column), parts).alias("__breaks")).first()["__breaks"] or []
     out = F.when(F.col(column).isNull(), F.lit(None).cast("string"))
-    for label, at in zip(labels, breaks, strict=False):
-        out = out.when(F.col(column) <= at, label)
-    return df.withColumn(name, out.otherwise(labels[-1]))
+    for k, label in enumerate(labels[:-1]):
+        out = out.when(F.col(column) <= F.get("__breaks", F.lit(k)), label)
+    return df.join(F.broadcast(quantiles(df, column, parts, name="__breaks")), F.lit(True)).withColumn(name, out.otherwise(labels[-1])).drop("__breaks")
 
 
 def typed_for_learning(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.scalars import flex_score
 from rankloom.operators.encode import collapse_rare
 from rankloom.sessions import GROUP
+from rankloom.storage import shared_dir
 
 #: The rule categories of cancellation and exchange.
 CANCEL, EXCHANGE = 31, 33
@@ -122,22 +123,29 @@ def mapped(docs: DataFrame, feature_map: list[dict], key: Column, text: str = "v
     return rows.select(out)
 
 
-def key_paths(docs: DataFrame, document: str, text: str = "value", depth: int = 12) -> DataFrame:
+def key_paths(docs: DataFrame, document: str, text: str = "value") -> DataFrame:
     """(key_path, percentage_present): in how many of the documents each dotted path occurs.
 
-    Items of a list have their list's path. The walk is unrolled level by level.
+    Items of a list have their list's path. The walk goes down level by level until
+    a level is empty; each level is checkpointed, so none is parsed twice.
     """
+    shared_dir(docs.sparkSession)
     rows = docs.select(F.col(document).alias("d"), F.try_parse_json(text).alias("v")).filter(F.col("v").isNotNull())
     total = rows.agg(F.count_distinct("d").alias("n"))
-    level = rows.select("d", F.lit(None).cast("string").alias("path"), "v")
+    level = rows.select("d", F.lit(None).cast("string").alias("path"), F.to_json("v").alias("v"))
     found = []
-    for _ in range(depth):
-        fields = F.map_entries(F.try_variant_get("v", "$", "map<string, variant>"))
+    while True:
+        v = F.try_parse_json("v")
+        fields = F.map_entries(F.try_variant_get("w", "$", "map<string, variant>"))
         named = F.transform(fields, lambda e: F.struct(F.when(F.col("path").isNull(), e["key"]).otherwise(F.concat(F.col("path"), F.lit("."), e["key"])).alias("path"), e["value"].alias("v"), F.lit(True).alias("named")))
-        items = F.transform(F.try_variant_get("v", "$", "array<variant>"), lambda x: F.struct(F.col("path").alias("path"), x.alias("v"), F.lit(False).alias("named")))
-        level = level.select("d", F.explode(F.coalesce(named, items)).alias("c")).select("d", "c.*")
+        items = F.transform(F.try_variant_get("w", "$", "array<variant>"), lambda x: F.struct(F.col("path").alias("path"), x.alias("v"), F.lit(False).alias("named")))
+        below = level.withColumn("w", v).select("d", F.explode(F.coalesce(named, items)).alias("c")).select("d", "c.path", F.to_json("c.v").alias("v"), "c.named")
+        level = below.checkpoint()
+        if level.isEmpty():
+            break
         found.append(level.filter("named").select("d", "path"))
-        level = level.select("d", "path", "v")
+    if not found:
+        return rows.limit(0).select(F.lit("").alias("key_path"), F.lit(0.0).alias("percentage_present"))
     each = reduce(DataFrame.unionAll, found).distinct().groupBy(F.col("path").alias("key_path")).agg(F.count(F.lit(1)).alias("n_docs"))
     return each.join(F.broadcast(total), F.lit(True)).select("key_path", F.round(100.0 * F.col("n_docs") / F.col("n"), 2).alias("percentage_present")).orderBy(F.desc("percentage_present"), "key_path")
 

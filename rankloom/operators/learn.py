@@ -88,10 +88,12 @@ def search(df: DataFrame, features: list[str], grid: dict[str, list], fit=fit_pa
     if most is not None and most < len(settings):
         settings = random.Random(seed).sample(settings, most)
     df = df.persist()
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
     found = []
     for s in settings:
         oof, _ = cross_validated(df, features, lambda d, f, s=s: fit(d, f, **s), fold)
-        found.append((str(s), metrics.ndcg(oof, k).first()[0]))
+        each = [metrics.ndcg(oof.filter(F.col(fold) == i), k) for i in folds]
+        found.append((str(s), reduce(DataFrame.unionAll, each).agg(F.avg(f"ndcg_{k}")).first()[0]))
     df.unpersist()
     return df.sparkSession.createDataFrame(found, "setting string, ndcg double").orderBy(F.desc("ndcg"), "setting")
 
@@ -104,18 +106,18 @@ def importance(model: PipelineModel, features: list[str], most: int = 30) -> Dat
     return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(most)
 
 
-def permutation_importance(df: DataFrame, model: PipelineModel, features: list[str], k: int = 3, seed: int = 42) -> DataFrame:
+def permutation_importance(df: DataFrame, model: PipelineModel, features: list[str], k: int = 3, seed: int = 42, min_size: int = metrics.MIN_SIZE) -> DataFrame:
     """(feature, drop): how much hit rate at k falls when a column's values are dealt to other rows.
 
     Values move within hash buckets of rows, so nothing is sorted in one task.
     """
-    base = metrics.hit_rate(scored(df, model, features), k).first()[0]
+    base = metrics.hit_rate(scored(df, model, features), k, min_size).first()[0]
     found = []
     for c in features:
         bucket = F.pmod(F.xxhash64(F.col(ITEM), F.lit(seed)), F.lit(64))
         w = Window.partitionBy("__b").orderBy(key_hash(ITEM, f"{seed}{c}"), ITEM)
         shuffled = df.withColumn("__b", bucket).withColumn(c, F.coalesce(F.lag(c).over(w), F.last(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).drop("__b")
-        found.append((c, base - metrics.hit_rate(scored(shuffled, model, features), k).first()[0]))
+        found.append((c, base - metrics.hit_rate(scored(shuffled, model, features), k, min_size).first()[0]))
     return df.sparkSession.createDataFrame(found, "feature string, drop double").orderBy(F.desc("drop"), "feature")
 
 

@@ -8,6 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankloom.operators.ordered import quantiles
 from rankloom.sessions import GROUP, ITEM, LABEL
 
 PERCENTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -59,14 +60,13 @@ def missing_percent(df: DataFrame) -> DataFrame:
 
 
 def outlier_profile(df: DataFrame, columns: list[str], exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """Per column p1 to p99, min, max: one pass. Exact percentiles are values of the column."""
-    aggs = []
-    for c in columns:
-        numbers = [F.expr(f"percentile_disc({p}) within group (order by `{c}`)") if exact else F.percentile_approx(c, p, accuracy) for p in PERCENTS]
-        fields = [x.cast("double").alias(f"p{round(100 * p)}") for x, p in zip(numbers, PERCENTS, strict=True)]
-        aggs.append(F.struct(F.lit(c).alias("column"), *fields, F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(f"_{c}"))
-    one = df.agg(*aggs)
-    return one.select(F.inline(F.array(*(F.col(f"_{c}") for c in columns))))
+    """Per column p1 to p99, min, max. Exact percentiles are values of the column; approximate ones take one pass over all columns."""
+    ends = df.agg(*(F.struct(F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), *([] if exact else [F.percentile_approx(c, list(PERCENTS), accuracy).cast("array<double>").alias("q")])).alias(f"_{c}") for c in columns))
+    if exact:
+        ends = reduce(lambda a, b: a.join(b, F.lit(True)), [ends, *(quantiles(df, c, list(PERCENTS), discrete=True, name=f"q_{c}") for c in columns)])  # one row each
+    found = lambda c: F.col(f"q_{c}") if exact else F.col(f"_{c}.q")
+    rows = [F.struct(F.lit(c).alias("column"), *(F.get(found(c), F.lit(k)).alias(f"p{round(100 * p)}") for k, p in enumerate(PERCENTS)), F.col(f"_{c}.min").alias("min"), F.col(f"_{c}.max").alias("max")) for c in columns]
+    return ends.select(F.inline(F.array(*rows)))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -90,8 +90,10 @@ def high_variance(df: DataFrame, columns: list[str], threshold: float = 0.01) ->
 
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: count, mean, std, min, median, max."""
-    aggs = [F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.median(c).alias("median"), F.max(c).cast("double").alias("max")).alias(f"_{c}") for c in columns]
-    return df.agg(*aggs).select(F.inline(F.array(*(F.col(f"_{c}") for c in columns))))
+    one = df.agg(*(F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(f"_{c}") for c in columns))
+    one = reduce(lambda a, b: a.join(b, F.lit(True)), [one, *(quantiles(df, c, [0.5], name=f"q_{c}") for c in columns)])  # one row each
+    rows = [F.struct(F.lit(c).alias("column"), *(F.col(f"_{c}.{x}").alias(x) for x in ("n", "mean", "std", "min")), F.get(f"q_{c}", F.lit(0)).alias("median"), F.col(f"_{c}.max").alias("max")) for c in columns]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def value_counts(df: DataFrame, column: str, most: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators.ordered import running
 from rankloom.sessions import GROUP, LABEL
 
 #: Aggregates that a fold's share can be taken out of.
@@ -23,7 +24,7 @@ def key_hash(key: str | Column, seed: int | str = 42) -> Column:
     return F.conv(F.substring(F.md5(F.concat(c.cast("string"), F.lit(f"|{seed}"))), 1, 15), 16, 10).cast("long")
 
 
-def _place(keys: DataFrame, group: str, seed: int | str, buckets: int = 256) -> DataFrame:
+def _place(keys: DataFrame, group: str, seed: int | str, buckets: int = 4096) -> DataFrame:
     """Distinct keys with their 0-based place in hash order.
 
     Keys are numbered within ranges of the hash; the sizes of the ranges, at most
@@ -70,8 +71,7 @@ def temporal_split(df: DataFrame, date: str, ratio: float = 0.8, tie: str = "Id"
     Counts per date are summed up over dates; only the border date's rows are numbered.
     """
     counts = df.groupBy(F.col(date).alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
-    summed = counts.select("__d", F.sum("__n").over(Window.orderBy(F.col("__d").asc_nulls_last())).alias("__upto"), "__n", F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__all"))
-    border = summed.withColumn("__take", F.least(F.greatest(F.floor(F.col("__all") * ratio) - (F.col("__upto") - F.col("__n")), F.lit(0)), F.col("__n")))
+    border = running(counts, "__d", "__n").withColumn("__take", F.least(F.greatest(F.floor(F.col("__all") * ratio) - (F.col("__upto") - F.col("__n")), F.lit(0)), F.col("__n")))
     joined = df.join(border.select("__d", "__take", "__n"), F.col(date).eqNullSafe(F.col("__d")))
     place = F.row_number().over(Window.partitionBy(date).orderBy(tie))
     split = joined.filter((F.col("__take") > 0) & (F.col("__take") < F.col("__n"))).withColumn("__in", place <= F.col("__take"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from rankloom.operators import documents, encode, features, learn, metrics, qual
 from rankloom.operators import windows as W
 from rankloom.sessions import SESSIONS_SQL, order_sessions, read_table
 from rankloom.sources import tables
+from rankloom.storage import scratch
 from rankloom.streaming import ingest
 
 QUERIES: dict = {}
@@ -36,12 +36,6 @@ def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select([F.round(F.col(c).cast("double"), digits).alias(c) if t in ("double", "float") or t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder for files that a query writes: beside the checkpoints where the session names a place for them."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rankloom-")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 # -- windows and features -----------------------------------------------------
 
 
@@ -336,10 +330,10 @@ def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return train.select("Id", F.lit(True).alias("in_train")).unionByName(rest.select("Id", F.lit(False).alias("in_train")))
 
 
-@_query("select distinct ranker_id from sessions where fold = 0 intersect select distinct ranker_id from sessions where requestDate < timestamp '1995-01-01'")
+@_query("select distinct ranker_id from sessions where fold = 0 intersect select distinct ranker_id from sessions where requestDate < timestamp '2000-01-01'")
 def shared_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = order_sessions(spark, sf_dir)
-    return splits.shared_groups(df.filter("fold = 0"), df.filter("requestDate < timestamp_ntz '1995-01-01'"))
+    return splits.shared_groups(df.filter("fold = 0"), df.filter("requestDate < timestamp_ntz '2000-01-01'"))
 
 
 @_query("""
@@ -399,7 +393,12 @@ def order_documents(spark: SparkSession, sf_dir: str, wrapped: bool = True) -> D
     pricing = F.struct(F.col("l_linenumber").cast("string").alias("id"), F.col("l_extendedprice").cast("double").alias("totalPrice"), F.array(zero, rule(31, "l_tax"), rule(33, "l_discount")).alias("miniRules"), F.array(info).alias("pricingInfo"))
     options = items.groupBy(F.col("l_orderkey").cast("string").alias("ranker_id")).agg(F.collect_list(F.struct(F.col("l_partkey").cast("string").alias("id"), F.array(pricing).alias("pricings"))).alias("values"))
     data = F.struct(F.col("values").alias("$values")) if wrapped else F.col("values")
-    return options.select(F.concat("ranker_id", F.lit(".json")).alias("file"), F.to_json(F.struct("ranker_id", data.alias("data"))).alias("value"))
+    key = F.col("ranker_id").cast("long")
+    person = F.struct((1940 + key % 60).cast("int").alias("yearOfBirth"), (key % 2 == 0).alias("hasAssistant"), F.when(key % 5 != 0, key % 3 == 0).alias("isGlobal"))
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), (key % n).cast("int")).cast("string")
+    route = F.struct(day(300).alias("requestDepartureDate"), F.when(key % 4 != 0, day(365)).alias("requestReturnDate"))
+    head = ["ranker_id", F.concat(day(200), F.lit("T10:20:30")).alias("request_time"), F.when(key % 7 != 0, person).alias("personalData"), route.alias("routeData")]
+    return options.select(F.concat("ranker_id", F.lit(".json")).alias("file"), F.to_json(F.struct(*head, data.alias("data"))).alias("value"))
 
 
 @_query("""
@@ -421,9 +420,15 @@ def document_pricings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(documents.pricings(order_documents(spark, sf_dir, wrapped=False)))
 
 
-@_query("select cast(l_orderkey as varchar) as ranker_id, cast(count(*) as int) as n_options from lineitem group by 1", raw=True)
+@_query("""
+with d as (select l_orderkey as k, count(*) as n, date '2024-01-01' as t from lineitem group by 1)
+select cast(k as varchar) as ranker_id, cast(t + cast(k % 200 as int) as varchar) || 'T10:20:30' as request_time, case when k % 7 <> 0 then cast(1940 + k % 60 as int) end as year_of_birth,
+  case when k % 7 <> 0 then k % 2 = 0 end as has_assistant, case when k % 7 <> 0 and k % 5 <> 0 then k % 3 = 0 end as is_global,
+  cast(t + cast(k % 300 as int) as varchar) as request_departure_date, case when k % 4 <> 0 then cast(t + cast(k % 365 as int) as varchar) end as request_return_date,
+  cast(n as int) as n_options, cast(case when k % 7 <> 0 then 2024 - (1940 + k % 60) end as int) as traveller_age from d""", raw=True)
 def document_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.headers(order_documents(spark, sf_dir)).select("ranker_id", "n_options")
+    """What a document says of its session, and the traveller's age by it."""
+    return reports.traveller_age(documents.headers(order_documents(spark, sf_dir)))
 
 
 @_query("""
@@ -441,7 +446,7 @@ def document_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 select 'k' as key_path, round(100.0 * count(*) filter (where json_exists(props, '$.k')) / count(*), 2) as percentage_present from events""", raw=True)
 def key_path_census(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = read_table(spark, sf_dir, "events").select("event_id", F.col("props").alias("value"))
-    return documents.key_paths(events, "event_id", depth=4)
+    return documents.key_paths(events, "event_id")
 
 
 @_query("""
@@ -454,10 +459,11 @@ def joined_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-p as (select o_custkey as g, o_orderkey as k, round(o_totalprice, 2) as price from orders where o_orderkey % 2 = 0)
+p as (select o_custkey as g, o_orderkey as k, round(o_totalprice + o_orderkey % 2, 2) as price from orders)
 select Id, k is not null as priced from sessions left join p on g = ranker_id and k = Id and price = round(totalPrice, 2)""")
 def joined_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    priced = read_table(spark, sf_dir, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_custkey").cast("string").alias("ranker_id"), F.col("o_orderkey").cast("string").alias("flight_id"), F.col("o_totalprice").alias("total_price_json"))
+    price = F.col("o_totalprice") + F.col("o_orderkey") % 2  # that of every other option is another one
+    priced = read_table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("ranker_id"), F.col("o_orderkey").cast("string").alias("flight_id"), price.alias("total_price_json"))
     joined = documents.join_prices(order_sessions(spark, sf_dir), priced, digits=2)
     return joined.select("Id", F.col("total_price_json").isNotNull().alias("priced"))
 
@@ -564,15 +570,16 @@ def written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_by_extension(spark, f"{path}/out.csv", "event_id long, value double")
 
 
-@_query()
+@_query("""
+select cast(l_orderkey as varchar) as ranker_id, count(*) as n_prices, round(sum(l_extendedprice), 4) as total from lineitem group by 1""", raw=True)
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Session documents as files, taken in by a stream that remembers them: a second run adds nothing."""
+    """Session documents in JSON files, taken in by a stream that remembers them: a second run adds nothing."""
     path = scratch(spark)
-    read_table(spark, sf_dir, "pages").select("html").repartition(8).write.text(f"{path}/in")
-    extract = lambda df: df.select("file", F.length("value").alias("n_chars"))
+    order_documents(spark, sf_dir).select("value").write.option("maxRecordsPerFile", 10_000).text(f"{path}/in")
     for _ in range(2):
-        ingest.ingest(spark, f"{path}/in", f"{path}/out", f"{path}/state", extract, pattern="part-*")
-    return spark.read.parquet(f"{path}/out")
+        ingest.ingest(spark, f"{path}/in", f"{path}/out", f"{path}/state", documents.pricings, pattern="part-*", lines=True)
+    found = spark.read.parquet(f"{path}/out").groupBy("ranker_id")
+    return _rounded(found.agg(F.count(F.lit(1)).alias("n_prices"), F.sum("total_price_json").alias("total")), 4)
 
 
 # -- learning -----------------------------------------------------------------
@@ -614,12 +621,12 @@ def feature_copies_and_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("""
 a as (select o_custkey as k, avg(l_extendedprice) as p, avg(cast(l_returnflag = 'N' as int)) as c from orders join lineitem on l_orderkey = o_orderkey group by 1)
 select count(*) as n_rows, count(distinct ranker_id) as n_groups, round(avg(totalPrice / nullif(p, 0)), 6) as mean_ratio, round(avg(cast(pricingInfo_isAccessTP as int) * c), 6) as mean_compliance
-from sessions left join a on k = ranker_id where "profileId" in (1, 2, 3)""")
+from sessions left join a on k = ranker_id""")
 def training_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan, join of session aggregates, all features, some profiles, key columns first."""
+    """Scan, join of session aggregates, all features, key columns first."""
     items = read_table(spark, sf_dir, "lineitem").join(read_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     aggregates = items.groupBy(F.col("o_custkey").alias("ranker_id")).agg(F.avg("l_extendedprice").alias("avg_total_price"), F.avg((F.col("l_returnflag") == "N").cast("int")).alias("avg_policy_compliant"))
-    df = features.training_frame(order_sessions(spark, sf_dir), aggregates, [1, 2, 3])
+    df = features.training_frame(order_sessions(spark, sf_dir), aggregates)
     return _rounded(df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("ranker_id").alias("n_groups"), F.avg("price_vs_avg_search_price").alias("mean_ratio"), F.avg("policy_compliance_interaction").alias("mean_compliance")))
 
 
@@ -683,3 +690,109 @@ def search_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking_summary(spark, sf_dir)
 
+
+
+# -- sources, sinks and features not met above ---------------------------------
+
+
+@_query("select l_orderkey, l_linenumber, l_quantity from lineitem where l_returnflag = 'R'", raw=True)
+def projected_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three columns of a table, and a filter that the scan takes."""
+    return tables.scan(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]).filter("l_returnflag = 'R'").drop("l_returnflag")
+
+
+@_query("select o_orderkey from orders limit 100", raw=True)
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred rows of a file: the feature is the limit."""
+    return tables.first_rows(spark, f"{sf_dir}/orders.parquet", 100).select("o_orderkey")
+
+
+@_query("select o_orderkey, o_totalprice, o_orderstatus from orders", raw=True)
+def split_and_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training table written in parts that are appended, and read as a split."""
+    path = scratch(spark)
+    orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    for status in ("F", "O", "P"):
+        tables.append_parquet(orders.filter(F.col("o_orderstatus") == status), f"{path}/train.parquet")
+    return tables.load_split(spark, path, "train")
+
+
+@_query("select o_orderstatus, count(*) as n, round(sum(o_totalprice), 2) as total from orders group by 1", raw=True)
+def small_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A small result as one CSV file, read and written again as JSON lines."""
+    path = scratch(spark)
+    found = read_table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("o_totalprice").cast("double")), 2).alias("total"))
+    tables.write_small_csv(found, f"{path}/report.csv")
+    tables.write_report(tables.read_by_extension(spark, f"{path}/report.csv", "o_orderstatus string, n long, total double"), f"{path}/report.json")
+    return spark.read.schema("o_orderstatus string, n long, total double").json(f"{path}/report.json")
+
+
+@_query("select cast(event_id as varchar) as key, length(props) as n from events", raw=True)
+def documents_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small JSON files, one for each document, by the names that Spark gave them: keys come from the text."""
+    path = scratch(spark)
+    read_table(spark, sf_dir, "events").select(F.to_json(F.struct("event_id", "props")).alias("value")).repartition(64).write.text(f"{path}/a/b")
+    files = spark.read.option("recursiveFileLookup", True).text(path)
+    found = files.select(F.from_json("value", "event_id long, props string").alias("d")).select("d.*")
+    return found.select(F.col("event_id").cast("string").alias("key"), F.length("props").alias("n"))
+
+
+@_query("select Id, cast(pricingInfo_isAccessTP as int) as \"pricingInfo_isAccessTP\", cast(epoch_us(requestDate) as bigint) as \"requestDate\", \"searchRoute\" from sessions")
+def learner_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns as a learner takes them."""
+    return S.typed_for_learning(order_sessions(spark, sf_dir).select("Id", "pricingInfo_isAccessTP", "requestDate", "searchRoute"))
+
+
+@_query("""
+x as (select *, cast(legs0_departureAt as timestamp) as dep, cast(legs0_arrivalAt as timestamp) + to_hours(Id % 11 - 3) as nxt, requestDate + to_days(cast(Id % 40 as int)) as back from sessions)
+select Id, 1 + cast(legs0_segments1_departureFrom_airport_iata is not null as int) as num_segments, cast(60 * (Id % 11 - 3) as int) as layover_duration_minutes,
+  cast(trunc(date_diff('second', dep, back) / 86400) as bigint) as trip_duration_days, cast(trunc(date_diff('second', requestDate, dep) / 86400) as bigint) as booking_window_days,
+  cast(hour(dep) >= 22 and hour(cast(legs0_arrivalAt as timestamp)) <= 5 as int) as is_red_eye_flight from x""")
+def layovers_and_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The time features of tables that hold second segments and return dates."""
+    df = order_sessions(spark, sf_dir)
+    wait = F.make_dt_interval(F.lit(0), (F.col("Id") % 11 - 3).cast("int"))
+    df = df.withColumns({
+        "legs0_segments0_arrivalAt": F.col("legs0_arrivalAt"), "legs0_segments1_departureAt": (F.col("legs0_arrivalAt").cast("timestamp_ntz") + wait).cast("string"),
+        "requestReturnDate": F.col("requestDate") + F.make_dt_interval((F.col("Id") % 40).cast("int")),
+    })
+    out = features.all_features(df)
+    return out.select("Id", "num_segments", "layover_duration_minutes", "trip_duration_days", "booking_window_days", "is_red_eye_flight")
+
+
+@_query("""
+s as (select Id, ranker_id, case when Id % 50 = 0 then 1 else row_number() over (partition by ranker_id order by predicted_score desc, Id) end as r from sessions where Id % 97 <> 0),
+g as (select min(r) = 1 and max(r) = count(*) and count(distinct r) = count(*) as ok from s group by ranker_id)
+select true as has_columns, (select count(*) from s) = (select count(*) from sessions) as same_rows, (select count(*) from sessions where Id not in (select Id from s)) = 0 as same_ids,
+  (select bool_and(ok) from g) as valid_ranks, false as valid""")
+def spoilt_submission_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A submission that lacks rows and repeats ranks."""
+    df = order_sessions(spark, sf_dir)
+    spoilt = submission.submission(df).filter("Id % 97 <> 0").withColumn("selected", F.when(F.col("Id") % 50 == 0, 1).otherwise(F.col("selected")))
+    return submission.validated(spoilt, df)
+
+
+@_query("""
+with c as (select split_part(p_name, ' ', 1) as v, count(*) as n from part group by 1)
+select p_partkey, case when n < 20 then 'other' else v end as word, round(p_size * 1.0, 6) as size from part join c on v = split_part(p_name, ' ', 1)""", raw=True)
+def rare_levels_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two blocks of a feature map, rare levels of the text one collapsed, joined in turn."""
+    raw = read_table(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ")[0].alias("word"), F.col("p_size").cast("string").alias("size"))
+    wanted = [{"path": "w", "name": "word", "dtype": "str"}, {"path": "s", "name": "size", "dtype": "float"}]
+    blocks = documents.feature_blocks(raw, wanted, least=20, join_key="p_partkey")
+    return _rounded(documents.join_blocks(raw.select("p_partkey"), list(blocks.values()), group="p_partkey"))
+
+
+@_query("select unnest(['ranker_id', 'data', 'data.$values', 'data.$values.pricings.miniRules.category', 'data.$values.pricings.pricingInfo.faresInfo.baggageAllowance.quantity']) as key_path, round(100.0 * count(distinct l_orderkey) / count(distinct l_orderkey), 2) as percentage_present from lineitem", raw=True)
+def document_key_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The census of nested documents, some of its paths."""
+    wanted = ["ranker_id", "data", "data.$values", "data.$values.pricings.miniRules.category", "data.$values.pricings.pricingInfo.faresInfo.baggageAllowance.quantity"]
+    return documents.key_paths(order_documents(spark, sf_dir), "file").filter(F.col("key_path").isin(wanted))
+
+
+@_query("select fold, count(*) as n, count(distinct ranker_id) as n_groups from sessions group by 1")
+def out_of_fold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every option is scored once, by the model that has not seen its fold."""
+    df = features.all_features(order_sessions(spark, sf_dir))
+    oof, _ = learn.cross_validated(df, ["totalPrice", "price_rank"], learn.fit_pairwise)
+    return oof.filter(F.col("predicted_score").isNotNull()).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ranker_id").alias("n_groups"))

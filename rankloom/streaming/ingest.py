@@ -1,6 +1,7 @@
 """Incremental ingest of session documents: each file once, whatever stops in between.
 
-The checkpoint remembers which files are done, by path; a second run reads only
+A file is one document, or (``lines``) one document a line: many small documents are
+best kept so. The checkpoint remembers which files are done, by path; a second run reads only
 new ones.
 """
 
@@ -15,15 +16,15 @@ from pyspark.sql.streaming import StreamingQuery
 DOCUMENT = "value string"
 
 
-def document_stream(spark: SparkSession, root: str, files_per_batch: int = 1000, pattern: str = "*.json") -> DataFrame:
-    """A stream of (file, value), one row per file."""
-    reader = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
-    return reader.schema(DOCUMENT).text(root, wholetext=True).select(F.col("_metadata.file_name").alias("file"), "value")
+def document_stream(spark: SparkSession, root: str, files_per_batch: int = 1000, pattern: str = "*.json", lines: bool = False) -> DataFrame:
+    """A stream of (file, value), one row per document."""
+    reader = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch)
+    return reader.schema(DOCUMENT).text(root, wholetext=not lines).select(F.col("_metadata.file_name").alias("file"), "value")
 
 
-def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame], files_per_batch: int = 1000, pattern: str = "*.json") -> StreamingQuery:
+def ingest(spark: SparkSession, root: str, out: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame], files_per_batch: int = 1000, pattern: str = "*.json", lines: bool = False) -> StreamingQuery:
     """Appends ``extract`` of the new documents to the Parquet folder ``out``, then stops."""
-    rows = extract(document_stream(spark, root, files_per_batch, pattern))
+    rows = extract(document_stream(spark, root, files_per_batch, pattern, lines))
     query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return query

@@ -59,13 +59,16 @@ def test_durations_and_days(spark):
     assert [tuple(r) for r in got] == [(90, 1), (None, None)]
 
 
-def test_hit_rate_of_known_sessions(spark):
-    rows = [("A", 1, 0.9, 0), ("A", 2, 0.7, 1), ("A", 3, 0.3, 0), ("B", 4, 0.8, 1), ("B", 5, 0.6, 0), ("B", 6, 0.4, 0)]
+def test_metrics_of_small_sessions(spark):
+    """Sessions of unlike sizes: a tie that the id breaks, a positive at the end, none at all, one option."""
+    rows = [("x", k, s, y) for k, s, y in ((10, 5.0, 0), (11, 5.0, 1), (12, -2.0, 0), (13, 0.5, 0))]
+    rows += [("y", 20 + k, -float(k), int(k == 5)) for k in range(6)] + [("z", 30, 1.0, 0), ("z", 31, 2.0, 0), ("w", 40, 0.0, 1)]
     df = spark.createDataFrame(rows, "ranker_id string, Id long, predicted_score double, selected int")
-    assert metrics.hit_rate(df, 3, 1).first()[0] == 1.0
-    assert metrics.hit_rate(df, 1, 1).first()[0] == 0.5
-    assert metrics.reciprocal_rank(df, 1).first()[0] == 0.75
-    assert metrics.hit_rate(df, 3, 11).first()[0] == 0.0
+    ranks = {"x": 2, "y": 6, "w": 1}  # none in z
+    for k in (1, 2, 5, 6):
+        assert metrics.hit_rate(df, k, 1).first()[0] == sum(r <= k for r in ranks.values()) / 4
+    assert metrics.reciprocal_rank(df, 1).first()[0] == pytest.approx(sum(1 / r for r in ranks.values()) / 4)
+    assert metrics.hit_rate(df, 6, 5).first()[0] == 1.0 and metrics.hit_rate(df, 3, 7).first()[0] == 0.0
     with pytest.raises(ValueError):
         metrics.hit_rate(df.drop("selected"), 3)
 
@@ -230,7 +233,8 @@ def test_ranker_learns_and_is_saved(spark, tmp_path):
     assert learn.importance(model, ["good", "noise"]).first()["feature"] == "good"
     both = learn.averaged(df, [model, model], ["good", "noise"])
     assert metrics.hit_rate(both, 1, 1).first()[0] == 1.0
-    assert learn.permutation_importance(df.withColumn("predicted_score", F.lit(0.0)), model, ["good"], k=1).first()["drop"] == 0.0
+    drops = {r["feature"]: r["drop"] for r in learn.permutation_importance(df, model, ["good", "noise"], k=1, min_size=5).collect()}
+    assert drops["good"] > 0.4 and abs(drops["noise"]) < 0.2
 
 
 def _norm(v):
