@@ -62,8 +62,28 @@ def test_run_hands_each_stage_the_rows_of_the_one_before(spark, monkeypatch):
     assert corpus_pipeline.run(spark, SF).agg(F.sum("doc_id")).first()[0] == before[0] + 3 * before[1]
 
 
-def test_odd_rows_pass_through(spark):
-    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the cat is on the mat and that is it", None, None, 5), (3, "the cat is on the mat", "en", "s", 21), (3, "the cat is on the mat", "en", "s", 21), (4, "x" * 50_000, None, "t", 50_000)]
-    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size string")
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, docs, SF).count() <= 3 * len(rows)
+def test_run_equals_the_stages(spark, stages):
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()), key=str) == sorted(map(tuple, stages[5].collect()), key=str)
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, SF)
+        assert out.count() == 0 and (k == 4 or out.columns == docs.columns)
+
+
+def test_odd_rows(spark):
+    """Nulls, empty and long texts, repeated rows and columns with names that the stages use, stage by stage."""
+    cat = "the cat is on the mat and that is it"
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, cat, None, None, 5), (3, cat + " x@y.zz", "en", "s", 21), (3, cat + " x@y.zz", "en", "s", 21), (4, "x" * 50_000, None, "t", 50_000)]
+    docs = spark.createDataFrame([(*r, "clash", k) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, size string, key long")
+    out = {name: stage(spark, docs, SF) for name, stage in corpus_pipeline.STAGES}
+    assert all(out[n].columns == docs.columns for n in list(out)[:-1])
+    known = {(r["doc_id"], r["text"]) for r in out["language_id"].collect()}
+    assert known <= {(r[0], r[1]) for r in rows if r[1]}
+    assert sorted(r["doc_id"] or 0 for r in out["ngram_join"].collect()) == [1, 3, 4]  # the text without an id is a near copy of 3
+    masked = sorted(((r["doc_id"], r["text"], r["n_chars"], r["key"]) for r in out["personal_data"].collect()), key=lambda r: r[3])
+    assert masked == [(1, None, None, 0), (2, "", 0, 1), (None, cat, len(cat), 2), *((3, cat + " [EMAIL]", len(cat) + 8, k) for k in (3, 4)), (4, "x" * 50_000, 50_000, 5)]
+    assert {r["doc_id"] for r in out["mixing"].collect()} <= {None, 3, 4} and out["mixing"].count() <= 3 * 4
+    assert {(r["doc_id"], r["n_tokens"] > 0) for r in out["byte_bpe"].collect()} == {(1, False), (2, False), (None, True), (3, True), (4, True)} and out["byte_bpe"].count() == 6
