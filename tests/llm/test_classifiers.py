@@ -1,9 +1,13 @@
 """Toxicity and language ID: held-out accuracy, the models' promises, edge cases."""
 
+import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from rankloom.llm import language_id, queries, toxicity
@@ -47,6 +51,49 @@ def test_toxicity_learns_a_word(spark, odd):
     assert min(scores[k] for k in range(0, 300, 3)) > max(scores[k] for k in range(300) if k % 3)
 
 
+def plain_ftrl(texts, labels, bits, epochs):
+    """(weights by place, bias): one coordinate after another."""
+    full = (1 << 64) - 1
+
+    def place(a, b, kind):
+        x = (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + kind) & full
+        x = ((x ^ x >> 29) * 0xBF58476D1CE4E5B9) & full
+        return (x ^ x >> 32) >> (64 - bits)
+
+    rows = []
+    for t in texts:
+        h = [xxhash.xxh64_intdigest(w.encode()) for w in re.findall(r"\w+", t.lower())]
+        rows.append({place(a, 0, 1) for a in h} | {place(a, b, 2) for a, b in zip(h, h[1:])} | {place(a, b, 3) for a, b in zip(h, h[2:])})
+    z, n, t = defaultdict(float), defaultdict(float), toxicity
+
+    def weight(k):
+        return 0.0 if abs(z[k]) <= t.L1 else -(z[k] - np.sign(z[k]) * t.L1) / ((t.BETA + n[k] ** 0.5) / t.ALPHA + t.L2)
+
+    rate = min(max(sum(labels) / len(labels), 1e-3), 1 - 1e-3)
+    bias, squares = np.log(rate / (1 - rate)), 0.0
+    for _ in range(epochs):
+        for row, y in zip(rows, labels, strict=True):
+            w = {k: weight(k) for k in row}
+            g = 1 / (1 + np.exp(-(bias + sum(w.values())))) - y
+            for k in row:
+                z[k] += g - ((n[k] + g * g) ** 0.5 - n[k] ** 0.5) / t.ALPHA * w[k]
+                n[k] += g * g
+            squares += g * g
+            bias -= 0.05 * g / (1 + squares**0.5)
+    return {k: weight(k) for k in z if weight(k)}, bias
+
+
+def test_ftrl_against_loops(monkeypatch):
+    """All weights of some dozens of rows, with a smaller L1 so that many are not zero."""
+    monkeypatch.setattr(toxicity, "L1", 0.5)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["good", "bad", "awful", "nice", "day", "you", "are"]) for _ in range(rng.randrange(9))) for _ in range(60)]
+    labels = [int("awful" in t and "you" in t) for t in texts]
+    places, weights, bias = toxicity._trained(texts, np.array(labels, float), 16, 3)
+    expected, due = plain_ftrl(texts, labels, 16, 3)
+    assert len(expected) > 20 and dict(zip(places.tolist(), weights, strict=True)) == pytest.approx(expected) and bias == pytest.approx(due)
+
+
 def test_toxicity_without_labels(spark, odd):
     model = toxicity.train(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["score"] for r in toxicity.score(odd, model).collect()} == {0.0}
@@ -61,17 +108,64 @@ def test_languages_of_held_out_rows(spark):
     assert sum(r["rejected"] for r in got) / len(got) <= 0.01
 
 
-def test_kneser_ney_sums_to_one():
-    model = language_id.kneser_ney({"\x02\x02\x02a": 3, "\x02\x02ab": 2, "\x02\x02a\x03": 1, "\x02ab\x03": 2}, 4)
-    letters = "ab\x03"
-    for context in ("\x02\x02\x02", "\x02\x02a", "zzz"):
-        total = 0.0
-        for c in letters:
-            text = np.frombuffer((context + c).encode("utf-32-le"), np.uint32).astype(np.uint64)
-            hashes = [language_id._gram_hashes(text, k) for k in range(1, 5)]
-            before = [np.zeros(4, np.uint64), *(np.roll(h, 1) for h in hashes[:-1])]
-            total += float(np.exp(model.score([h[3:] for h in hashes], [h[3:] for h in before]))[0])
-        assert 0.7 < total <= 1.0 + 1e-6  # the rest is for unseen letters
+def plain_kneser_ney(words, order):
+    """p(letter, the letters before it) of the interpolated model, by recursion over counts of all orders."""
+    tops = Counter()
+    for w in words:
+        framed = "\x02" * (order - 1) + w + "\x03"
+        tops.update(framed[k : k + order] for k in range(len(w) + 1))
+    counts = {order: dict(tops)}
+    for k in range(order - 1, 0, -1):
+        counts[k] = {}
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    discount = {}
+    for k, c in counts.items():
+        one, two = (sum(v == i for v in c.values()) for i in (1, 2))
+        discount[k] = min(0.95, max(0.05, one / max(1, one + 2 * two)))
+
+    def p(letter, before):
+        k = len(before) + 1
+        lower = p(letter, before[1:]) if before else 1 / (len(counts[1]) + 1)
+        after = [v for g, v in counts[k].items() if g[:-1] == before]
+        if not after:
+            return lower
+        return (max(0, counts[k].get(before + letter, 0) - discount[k]) + discount[k] * len(after) * lower) / sum(after)
+
+    return p, dict(tops)
+
+
+def model_p(model, letter, before):
+    text = np.frombuffer((before + letter).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    hashes = [language_id._gram_hashes(text, k) for k in range(1, 5)]
+    context = [np.zeros(4, np.uint64), *(np.roll(h, 1) for h in hashes[:-1])]
+    return float(np.exp(model.score([h[3:] for h in hashes], [h[3:] for h in context]))[0])
+
+
+def test_kneser_ney_against_recursion():
+    """Every seen and many unseen letters after seen and unseen contexts; with the share of one unseen letter they sum to one."""
+    words = ["the", "then", "that", "hat", "the", "a", "nat", "tan", "ten", "ten", "een"]
+    p, tops = plain_kneser_ney(words, 4)
+    model = language_id.kneser_ney(tops, 4)
+    letters = sorted({g[-1] for g in tops})
+    contexts = sorted({g[:-1] for g in tops}) + ["\x02\x02z", "zzz", "zth", "zze"]
+    for before in contexts:
+        found = [model_p(model, x, before) for x in [*letters, "q"]]
+        assert found == pytest.approx([p(x, before) for x in [*letters, "q"]], rel=1e-5)
+        assert sum(found) == pytest.approx(1.0, abs=1e-5)
+
+
+def test_word_costs_against_recursion():
+    words = ["the", "then", "that", "hat", "the", "a", "nat"]
+    p, tops = plain_kneser_ney(words, 4)
+    texts = ["the hat", "THEN nothing", "a", "", "12"]
+    found = language_id._Scorer([language_id.kneser_ney(tops, 4)]).entropies(texts)[:, 0]
+    for text, got in zip(texts, found, strict=True):
+        letters = [(x, ("\x02\x02\x02" + w)[k : k + 3]) for w in re.findall("[a-z]+", text.lower()) for k, x in enumerate(w + "\x03")]
+        if not letters:
+            assert np.isnan(got)
+            continue
+        assert got == pytest.approx(-sum(np.log(p(x, before)) for x, before in letters) / len(letters), rel=1e-5)
 
 
 def test_language_edges(spark, odd):
