@@ -33,7 +33,8 @@ from .common import in_small_batches
 #: always end a match: only the start of a match may be a space.
 SAFE = re.compile(r"(?<=\S)(?= \S)")
 BATCH_BYTES = 1 << 18
-MEMO = 300_000
+#: Pieces that a worker remembers, and their characters.
+MEMO, MEMO_CHARS = 300_000, 32 << 20
 
 
 @functools.cache
@@ -64,11 +65,12 @@ def _by_bytes(texts: list[str], most: int) -> Iterator[list[str]]:
     """Runs of texts of about equal bytes; a longer text stands alone."""
     held, size = [], 0
     for text in texts:
-        if held and size + len(text) > most:
+        n = len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
+        if held and size + n > most:
             yield held
             held, size = [], 0
         held.append(text)
-        size += len(text)
+        size += n
     if held:
         yield held
 
@@ -78,11 +80,10 @@ class _Counter:
 
     def __init__(self, path: str, batch_bytes: int, memo: int):
         self.lengths_of, self.cuts = _encoder(path)
-        self.batch_bytes, self.most, self.memo = batch_bytes, memo, {}
+        self.batch_bytes, self.most, self.memo, self.held = batch_bytes, memo, {}, 0
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.memo) + len(pieces) > self.most:
-            self.memo.clear()
+        self.held += sum(map(len, pieces))
         for run in _by_bytes(pieces, self.batch_bytes):
             self.memo.update(zip(run, self.lengths_of(run), strict=True))
 
@@ -96,8 +97,9 @@ class _Counter:
         for run in _by_bytes(texts, 16 * self.batch_bytes):
             cut = [SAFE.split(x) for x in run]
             new = list({p for pieces in cut for p in pieces}.difference(self.memo))
-            if len(self.memo) + len(new) > self.most:
+            if len(self.memo) + len(new) > self.most or self.held > MEMO_CHARS:
                 self.memo.clear()
+                self.held = 0
                 new = list({p for pieces in cut for p in pieces})
             self._learn(new)
             get = self.memo.__getitem__

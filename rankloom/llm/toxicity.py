@@ -37,7 +37,8 @@ SHARD_ROWS = 10_000
 EPOCHS = 6
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 10.0, 1.0
 WORDS = re.compile(r"\w+")
-MEMO = 500_000
+#: Words that a worker remembers; longer ones than LONG_WORD characters are hashed anew.
+MEMO, LONG_WORD = 500_000, 64
 CHUNK_WORDS = 1 << 20
 
 
@@ -47,7 +48,9 @@ class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        self[word] = h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= LONG_WORD:
+            self[word] = h
         return h
 
 
