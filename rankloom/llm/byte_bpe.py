@@ -38,14 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_small_batches
+from .common import freeing, in_small_batches
 
 #: Words that a worker remembers, and their bytes.
 MEMO, MEMO_BYTES = 300_000, 32 << 20
 CHUNK_CHARS = 1 << 21
 WINDOW = 64
 #: The squares of the lengths of the words of one query add up to so many at most (or it has one word): they bound its rows.
-QUERY_ROWS = 1 << 22
+QUERY_ROWS = 1 << 20
 
 #: start: (word, pos, nxt, tok), nxt the position of the word's next token or -1; each
 #: round keeps the rows of words that had a pair. key is a * 65536 + b, best is
@@ -96,7 +96,7 @@ def _engine(ranks_path: str):
 
     ranks = read_ranks(ranks_path)
     spill = os.path.join(tempfile.gettempdir(), f"rankloom-duckdb-{os.getpid()}")
-    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "300MB", "temp_directory": spill})
+    con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "200MB", "temp_directory": spill})
     merges = merge_table(ranks)
     vocabulary = pa.table({"id": pa.array(list(ranks.values()), pa.int64()), "hex": pa.array([t.hex() for t in ranks])})
     con.register("merges_in", merges)
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_column: str = "
             if digests and count:
                 yield _rows(batch.column(0), count, a, b, digests, id_column, names)
 
-    return in_small_batches(docs.select(docs[id_column], F.coalesce(docs[text_column], F.lit("")).alias("text"))).mapInArrow(run, schema)
+    return in_small_batches(docs.select(docs[id_column], F.coalesce(docs[text_column], F.lit("")).alias("text"))).mapInArrow(freeing(run), schema)
 
 
 def _rows(ids, count, a, b, digests, id_column, names) -> pa.RecordBatch:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_small_batches
+from .common import freeing, in_small_batches
 
 ORDER = 4
 PER_LANGUAGE = 2000
@@ -193,7 +193,7 @@ def _entropies(rows: DataFrame, models: list[CharModel], keep: str) -> DataFrame
             flat = pa.array(found.ravel(), pa.float64(), from_pandas=True)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), flat)], names=[keep, "entropies"])
 
-    return in_small_batches(rows.select(keep, "text")).mapInArrow(run, schema)
+    return in_small_batches(rows.select(keep, "text")).mapInArrow(freeing(run), schema)
 
 
 def train(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
@@ -262,7 +262,7 @@ def identify(docs: DataFrame, model: Model, *, id_column: str = "doc_id", text_c
             best, score, entropy, rejected = _judged(batch.column(1).to_pylist(), scorer, model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[best], pa.string()), pa.array(score), pa.array(entropy, from_pandas=True), pa.array(rejected)], names=schema.names)
 
-    return in_small_batches(docs.select(F.col(id_column), F.col(text_column).alias("text"))).mapInArrow(run, schema)
+    return in_small_batches(docs.select(F.col(id_column), F.col(text_column).alias("text"))).mapInArrow(freeing(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model, *, text_column: str = "text") -> DataFrame:
@@ -276,4 +276,4 @@ def accepted(docs: DataFrame, model: Model, *, text_column: str = "text") -> Dat
         for batch in batches:
             yield batch.filter(pa.array(~_judged(batch.column(at).to_pylist(), scorer, model)[3]))
 
-    return in_small_batches(docs).mapInArrow(run, docs.schema)
+    return in_small_batches(docs).mapInArrow(freeing(run), docs.schema)

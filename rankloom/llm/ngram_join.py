@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_small_batches, stored, text_of
+from .common import checkpointed, freeing, in_small_batches, stored, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -69,7 +69,7 @@ BLOCK = 1024
 BROADCAST_ROWS = 500_000
 MOST_LEVELS = 40
 #: Words that a worker remembers; longer ones than LONG_WORD characters are hashed anew.
-MEMO, LONG_WORD = 400_000, 64
+MEMO, LONG_WORD = 150_000, 64
 
 _BLANK = re.compile(r"[\x20\x09-\x0D]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -163,7 +163,7 @@ def _signed(texts: DataFrame) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * COORDINATES), flat)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, bits), lists], names=["id", "mark", "key", "n", *_SKETCH, "tokens"])
 
-    return in_small_batches(texts).mapInArrow(run, f"id {texts.schema['id'].dataType.simpleString()}, mark long, key long, n long, {', '.join(f'{s} long' for s in _SKETCH)}, tokens array<int>")
+    return in_small_batches(texts).mapInArrow(freeing(run), f"id {texts.schema['id'].dataType.simpleString()}, mark long, key long, n long, {', '.join(f'{s} long' for s in _SKETCH)}, tokens array<int>")
 
 
 # -- chosen paths -------------------------------------------------------------
@@ -424,7 +424,7 @@ def _checked(members: DataFrame, threshold: float) -> DataFrame:
             at = pa.array([k for k, _ in rows], pa.int64())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(4)), pa.array([s for _, s in rows], pa.list_(pa.int64()))], names=["comp", "parts", "key", "copies", "grams"])
 
-    sets = in_small_batches(members.select("comp", "parts", "key", "copies", "text")).mapInArrow(read, "comp long, parts int, key long, copies long, grams array<long>")
+    sets = in_small_batches(members.select("comp", "parts", "key", "copies", "text")).mapInArrow(freeing(read), "comp long, parts int, key long, copies long, grams array<long>")
     packs = max(1, members.count() // BLOCK)
     own = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
