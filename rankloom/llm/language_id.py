@@ -10,7 +10,7 @@ calibrated: a text whose cross-entropy is above it is marked ``rejected``.
 
 Counting runs in Spark, on a bounded sample: about ``per_language`` documents of
 each language, chosen by a hash of the id. Scoring is one pass of Arrow batches;
-each worker remembers the scores of up to ``MEMO`` words.
+each worker remembers the scores of up to ``MEMO`` words, of ``MEMO_CHARS`` characters.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.0
 and is rejected; so is every text where nothing could be learned; equal
@@ -34,7 +34,8 @@ from .common import freeing, in_small_batches
 
 ORDER = 4
 PER_LANGUAGE = 2000
-MEMO = 300_000
+#: Words whose scores a worker remembers, and their characters.
+MEMO, MEMO_CHARS = 300_000, 32 << 20
 CHUNK_CHARS = 1 << 21
 #: A table of at most so many languages and their row counts is broadcast.
 BROADCAST_LANGUAGES = 10_000
@@ -133,6 +134,7 @@ class _Scorer:
 
     def clear(self) -> None:
         self.codes: dict[str, int] = {}
+        self.held = 0
         self.costs, self.sizes = np.zeros((0, len(self.models)), np.float32), np.zeros(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
@@ -149,7 +151,7 @@ class _Scorer:
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Cross-entropy per letter of each text in each language; NaN without a letter."""
-        if len(self.codes) > MEMO:
+        if len(self.codes) > MEMO or self.held > MEMO_CHARS:
             self.clear()
         codes, had = self.codes, len(self.codes)
         found = []
@@ -158,6 +160,7 @@ class _Scorer:
             for w in words:
                 if w not in codes:
                     codes[w] = len(codes)
+                    self.held += len(w)
             found.append(np.fromiter(map(codes.__getitem__, words), np.int64, len(words)))
         if len(codes) > had:
             self._learn(list(codes)[had:])
@@ -208,7 +211,8 @@ def train(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
     framed = F.concat(F.lit(START * (ORDER - 1)), F.col("word"), F.lit(END))
     grams = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda k: framed.substr(k, F.lit(ORDER)))).alias("gram"))
     counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for lang, gram, n in grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select("lang", "gram", "n").toLocalIterator():  # bounded by the sample
+    found = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select("lang", "gram", "n").coalesce(8)  # bounded by the sample; a job for each partition
+    for lang, gram, n in found.toLocalIterator():
         counts[lang][gram] = n
     languages = sorted(counts)
     models = [kneser_ney(counts[x]) for x in languages]
