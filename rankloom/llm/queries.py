@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, byte_bpe, fingerprints, language_id, mixing, ngram_join, personal_data, token_counts, toxicity, warc
-from .common import table
+from . import audio, byte_bpe, fingerprints, language_id, mixing, ngram_join, periodic_runs, personal_data, token_counts, toxicity, warc
+from .common import table, text_of, words_of
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,28 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_copies(table(spark, sf_dir, "documents"))
 
 
+def _tail_repeated(docs: DataFrame) -> DataFrame:
+    """``docs``, every tenth one (by the CRC-32 of its id) with its words from one place on replaced by repeats of the first few of them; null ids stay as they are."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = words_of(text_of())
+    n, g = F.size("w"), F.floor(h / 10)
+    start = F.pmod(g, n)
+    period = 1 + F.floor((n - start) / (3 + F.pmod(g, F.lit(8))))
+    place = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("w", F.when(i < start, i).otherwise(start + F.pmod(i - start, period)).cast("int")))
+    return docs.select("doc_id", F.when(h % 10 == 0, words).alias("w"), "text").select("doc_id", F.when(F.size("w") > 0, F.array_join(place, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_tail_repeated(table(spark, sf_dir, "documents")))
+    line = lambda r: F.concat_ws("", F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    top = F.col("top")
+    return found.withColumn("top", periodic_runs.top_run(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), (-top["shorter"]).alias("length"), top["period"].alias("period"),
+        F.floor(-1000 * top["shorter"] / top["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -80,8 +102,12 @@ QUERIES = {
     "op8_personal_data": op8_personal_data,
     "op9_audio": op9_audio,
     "op10_ngram_join": op10_ngram_join,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
+#: The CRC-32 of a text, byte by byte, its reversed polynomial applied eight times for each.
+_CRC32 = "xor(list_reduce([4294967295] || [cast('0x' || substr(hex(encode({text})), 2 * k + 1, 2) as bigint) for k in range(octet_length(encode({text})))], lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+
 ORACLE_SQL = {
     "op4_warc": """
 with p as (
@@ -118,5 +144,33 @@ with recursive w as (
 select c.doc_id, c.class_id, coalesce(d.n_links, 0) as n_links
 from (select a as doc_id, min(b) as class_id from reached group by a) c
 left join (select a, count(*) as n_links from linked group by a) d on d.a = c.doc_id
+""",
+    "op11_periodic_runs": rf"""
+with e as (
+    select doc_id, {_CRC32.format(text="cast(doc_id as varchar)")} as h, [x for x in regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') if x <> ''] as w from documents
+), b as (
+    select *, h // 10 % len(w) as a, h // 10 % 8 as more from e
+), d as (
+    select doc_id, case when h % 10 = 0 and len(w) > 0 then [w[1 + case when i < a then i else a + (i - a) % (1 + (len(w) - a) // (3 + more)) end] for i in range(len(w))] else w end as w from b
+), s as (
+    select doc_id, unnest(range(len(w) - 3)) as i, unnest([array_to_string(w[i + 1:i + 4], ' ') for i in range(len(w) - 3)]) as gram from d where len(w) >= 12
+), m as (
+    select x.doc_id, y.i - x.i as q, x.i from s x join s y on x.doc_id = y.doc_id and x.gram = y.gram and x.i < y.i
+), z as (
+    select doc_id, q, min(i) as first, max(i) + 4 + q as after from (select *, i - row_number() over (partition by doc_id, q order by i) as island from m) group by doc_id, q, island
+), r as (
+    select doc_id, first, after, min(q) as q from z where after - first >= greatest(12, 2 * q) group by doc_id, first, after
+), top as (
+    select doc_id, count(*) as n_runs, arg_min(first, (first - after, first, q)) as "start", max(after - first) as "length", arg_min(q, (first - after, first, q)) as period,
+           string_agg(first || ',' || (after - first) || ',' || q || chr(10), '' order by first, q) as runs
+    from r group by doc_id
+), repeated as (
+    select distinct doc_id, unnest(range(first + q, after)) as i from r
+), kept as (
+    select x.doc_id, string_agg(x.word, ' ' order by x.i) as text from (select doc_id, unnest(range(len(w))) as i, unnest(w) as word from d) x anti join repeated using (doc_id, i) group by x.doc_id
+)
+select d.doc_id, coalesce(n_runs, 0) as n_runs, "start", "length", period, 1000 * "length" // period as exponent_milli,
+       sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
+from d left join top using (doc_id) left join kept on kept.doc_id = d.doc_id
 """,
 }
