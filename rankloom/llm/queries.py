@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, byte_bpe, fingerprints, language_id, mixing, ngram_join, periodic_runs, personal_data, token_counts, toxicity, warc
+from . import audio, byte_bpe, fingerprints, language_id, mixing, ngram_join, periodic_runs, personal_data, spelling_variants, token_counts, toxicity, warc
 from .common import table, text_of, words_of
 
 
@@ -91,6 +91,23 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A run of Latin letters.
+LETTERS = r"[A-Za-z\u00C0-\u00FF]+"
+
+
+def _words_with_errors(docs: DataFrame) -> DataFrame:
+    """(word, n): the runs of letters of all texts, A-Z in lower case, one letter taken out of those whose document and run hash to a multiple of 199; of at least 6 letters and 5 occurrences."""
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(F.translate(text_of(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(LETTERS), 0)).alias("run"))
+    h, size = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("run"))), F.length("run")
+    gone = F.pmod(h, size)
+    word = F.when(h % 199 == 0, F.concat(F.substring("run", F.lit(1), gone), F.substring("run", gone + 2, size))).otherwise(F.col("run"))
+    return runs.filter(size >= 6).select(word.alias("word")).filter(F.length("word") >= 6).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 5")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.grouped(_words_with_errors(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_mixing": op2_mixing,
@@ -103,6 +120,7 @@ QUERIES = {
     "op9_audio": op9_audio,
     "op10_ngram_join": op10_ngram_join,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: The CRC-32 of a text, byte by byte, its reversed polynomial applied eight times for each.
@@ -172,5 +190,35 @@ with e as (
 select d.doc_id, coalesce(n_runs, 0) as n_runs, "start", "length", period, 1000 * "length" // period as exponent_milli,
        sha256(coalesce(runs, '')) as runs_sha256, sha256(coalesce(kept.text, '')) as collapsed_sha256
 from d left join top using (doc_id) left join kept on kept.doc_id = d.doc_id
+""",
+    "op13_spelling_variants": rf"""
+with recursive o as (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) as run from documents
+), h as (
+    select *, {_CRC32.format(text="doc_id || ':' || run")} as h from o where length(run) >= 6
+), v as (
+    select word, count(*) as n
+    from (select case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word from h)
+    where length(word) >= 6 group by word having count(*) >= 5
+), p as (
+    select word, n, unnest([substr(word, 1, i - 1) || '*' || substr(word, i + 1) for i in range(1, length(word) + 1)]) as replaced,
+           unnest([substr(word, 1, i - 1) || substr(word, i + 1) for i in range(1, length(word) + 1)]) as deleted from v
+), near as (
+    select x.word as a, y.word as b, x.n as n_a, y.n as n_b from p x join p y on x.replaced = y.replaced and x.word <> y.word
+  union
+    select p.word, v.word, p.n, v.n from p join v on p.deleted = v.word
+  union
+    select v.word, p.word, v.n, p.n from p join v on p.deleted = v.word
+), f as (
+    select a as word, count(*) as n_near, arg_min(b, (-n_b, b)) as form, arg_min(n_b, (-n_b, b)) as form_n, any_value(n_a) as n from near group by a
+), g as (
+    select v.word, v.n, coalesce(n_near, 0) as n_near, case when form_n >= 5 * v.n then form end as form, case when form_n >= 5 * v.n then form_n end as form_n
+    from v left join f on f.word = v.word
+), r as (
+    select word, word as root, 0 as k from g
+  union all
+    select r.word, g.form, k + 1 from r join g on g.word = r.root where g.form is not null
+)
+select g.word, g.form, r.root, g.n, g.n_near, g.form_n from g join (select word, arg_max(root, k) as root from r group by word) r on r.word = g.word
 """,
 }
