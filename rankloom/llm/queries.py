@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, byte_bpe, fingerprints, language_id, mixing, ngram_join, periodic_runs, personal_data, spelling_variants, token_counts, toxicity, warc
+from . import audio, byte_bpe, fingerprints, language_id, mixing, ngram_join, periodic_runs, personal_data, spelling_variants, token_counts, toxicity, warc, wrappers
 from .common import table, text_of, words_of
 
 
@@ -91,6 +91,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = wrappers.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 #: A run of Latin letters.
 LETTERS = r"[A-Za-z\u00C0-\u00FF]+"
 
@@ -120,6 +125,7 @@ QUERIES = {
     "op9_audio": op9_audio,
     "op10_ngram_join": op10_ngram_join,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_main_text": op12_main_text,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
