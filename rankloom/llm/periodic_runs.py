@@ -177,17 +177,19 @@ def periodic_runs(docs: DataFrame, *, text_column: str = "text", shortest: int =
         raise ValueError("runs of two words hold no seed")
     new = [f.name.lower() for f in NEW]
     rest = [c for c in docs.columns if c.lower() not in new]
-    given = docs.select(*(docs[f"`{c}`"] for c in rest), docs[f"`{text_column}`"].alias("__text"))
-    schema = T.StructType([*(docs.schema[c] for c in rest), *NEW])
+    plain = [f"c{k}" for k in range(len(rest))]  # by place: names of the input are its own
+    given = docs.select(*(docs[f"`{c}`"].alias(p) for c, p in zip(rest, plain, strict=True)), docs[f"`{text_column}`"].alias("read"))
+    schema = T.StructType([*(T.StructField(p, docs.schema[c].dataType) for c, p in zip(rest, plain, strict=True)), *NEW])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([pa.field(x, pa.int64(), False) for x in RUN.names]))
         for batch in batches:
             rows = [_row(x.as_py(), shortest) for x in batch.column(len(rest))]
             new = [pa.array([r[0] for r in rows], pa.int64()), pa.array([[dict(zip(RUN.names, x, strict=True)) for x in r[1]] for r in rows], kind), pa.array([r[2] for r in rows], pa.string())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *new], names=[*rest, *(f.name for f in NEW)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *new], names=[*plain, *(f.name for f in NEW)])
 
-    return in_small_batches(given).mapInArrow(freeing(run), schema)
+    found = in_small_batches(given).mapInArrow(freeing(run), schema)
+    return found.select(*(F.col(p).alias(c) for c, p in zip(rest, plain, strict=True)), *(f.name for f in NEW))
 
 
 def top_run(runs: Column) -> Column:

@@ -284,6 +284,14 @@ def _grouped_like(items: list, other: list) -> list:
 # -- slots --------------------------------------------------------------------
 
 
+def _inside(element: list) -> list:
+    return [x for x in element[1] if not (isinstance(x, str) and x.isspace())]
+
+
+def _name_of(x: str | list) -> str:
+    return TEXT if isinstance(x, str) else x[0]
+
+
 class _Node:
     """An element of a wrapper, ready to parse by."""
 
@@ -323,27 +331,44 @@ class _Node:
             nullable = nullable and none
         return first, last, nullable
 
-    def places(self, names: list[str]) -> list[int | None]:
-        """The item that each of a page's names at this place is parsed by."""
+    def places(self, inside: list, fits: dict) -> list[int | None]:
+        """The item that each text and element at this place of a page is parsed by; None for those of no item."""
+        names = list(map(_name_of, inside))
         if all(len(self.at.get(x, ())) == 1 for x in set(names)):
             return [self.at[x][0] for x in names]
-        back: list[dict[int, int | None]] = []
-        for i, x in enumerate(names):
-            here = {}
-            for k in self.at.get(x, ()):
-                before = [None] if not i and k in self.first else [q for q in back[-1] if k in self.follow[q]] if i else []
-                if before:
-                    here[k] = before[0]
-            back.append(here)
-            if not here:  # not of this wrapper: the first item of that name
-                return [self.at[y][0] if y in self.at else None for y in names]
-        at = next((k for k in back[-1] if k in self.last), next(iter(back[-1])))
+        steps = self._steps(inside, names, fits)
+        at = next((k for k in steps[-1] if k in self.last), None) if len(steps) == len(inside) else None
+        if at is None:  # not of this wrapper: the first item of the name
+            return [self.at[x][0] if x in self.at else None for x in names]
         out = []
-        for here in back[::-1]:
+        for here in steps[::-1]:
             out.append(at)
             at = here[at]
         return out[::-1]
 
+    def _steps(self, inside: list, names: list[str], fits: dict) -> list[dict]:
+        """For each place the items that may parse it, with an item before; fewer places where it ends in none."""
+        steps: list[dict] = []
+        for i, (x, name) in enumerate(zip(inside, names, strict=True)):
+            here = {}
+            for k in self.at.get(name, ()):
+                before = [None] if not i and k in self.first else [q for q in steps[-1] if k in self.follow[q]] if i else []
+                if before and (name == TEXT or self.leaves[k].accepts(x, fits)):
+                    here[k] = before[0]
+            if not here:
+                break
+            steps.append(here)
+        return steps
+
+    def accepts(self, element: list, fits: dict) -> bool:
+        """Whether the expression accepts what is in an element; ``fits`` holds what is known of the page."""
+        key = id(element), id(self)
+        if key not in fits:
+            inside = _inside(element)
+            steps = self._steps(inside, list(map(_name_of, inside)), fits)
+            fits[key] = not self.last.isdisjoint(steps[-1]) if inside and len(steps) == len(inside) else not inside and self.nullable
+        return fits[key]
+
     def chars(self) -> int:
         """Characters of the texts in it, links and marked parts aside."""
         if not hasattr(self, "_chars"):
@@ -386,18 +411,17 @@ class Wrapper:
             node = top
 
     def text(self, page: str) -> str:
-        tree = parse(page)
+        tree, fits = parse(page), {}
         for region, densest in self.regions:
             blocks: list[list[str]] = [[]]
-            if self._walk(tree, self.root, region, densest, id(self.root) in region, blocks):
+            if self._walk(tree, self.root, region, densest, id(self.root) in region, blocks, fits):
                 return "\n\n".join(y for x in blocks if (y := " ".join(references.unescape("".join(x)).split())))
         return ""
 
-    def _walk(self, element: list, node: _Node, region: set, densest: bool, within: bool, blocks: list) -> bool:
+    def _walk(self, element: list, node: _Node, region: set, densest: bool, within: bool, blocks: list, fits: dict) -> bool:
         """Adds the texts in the region's slots to ``blocks``; whether the page has the region."""
-        inside = [x for x in element[1] if not (isinstance(x, str) and x.isspace())]
-        names = [TEXT if isinstance(x, str) else x[0] for x in inside]
-        item = dict(zip(map(id, inside), node.places(names), strict=True))
+        inside = _inside(element)
+        item = dict(zip(map(id, inside), node.places(inside, fits), strict=True))
         seen = within
         for x in element[1]:
             k = item.get(id(x))
@@ -418,7 +442,7 @@ class Wrapper:
                 continue
             if tag not in INLINE:
                 blocks.append([])
-            seen = self._walk(x, leaf, region, densest, within or chosen, blocks) or seen
+            seen = self._walk(x, leaf, region, densest, within or chosen, blocks, fits) or seen
             if tag not in INLINE:
                 blocks.append([])
         return seen
