@@ -12,11 +12,13 @@ rank, and ends when no word has a pair left. Decoding is an ordered aggregation
 of the tokens' bytes. Memo and chunk sizes bound the memory of a worker.
 
 A query takes as many rounds as its longest word has contractions, so a word of more
-than ``WINDOW`` bytes goes in as windows that overlap by half. Tokens stand beside
-each other in an encoding exactly if the encoding of the two together is these two;
-so two windows are joined at a token that both have at the same place, and the
-result is that of the whole word. Where windows share no token they are made twice
-as wide, at last as wide as the word. The work for a word thus grows with its length.
+than ``WINDOW`` bytes goes in as windows that overlap by half, equal windows once. Tokens
+stand beside each other in an encoding exactly if the encoding of the two together is these
+two; so two windows are joined at a token that both have at the same place, and the
+result is that of the whole word. Windows of text that repeats may be out of step and
+share no token: then the next one starts where a token of the last one does, about its
+middle; where that one shares none either (tokens as long as the window) the last one is made
+twice as wide, and joined anew. The work for a word thus grows with its length, whatever it repeats.
 
 Defined results: a null text is the empty text (0 tokens, digests of nothing);
 repeated rows each get their row; null ids stay null; an empty table gives an
@@ -30,7 +32,8 @@ import functools
 import hashlib
 import os
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +51,7 @@ WINDOW = 64
 QUERY_ROWS = 1 << 20
 
 #: start: (word, pos, nxt, tok), nxt the position of the word's next token or -1; each
-#: round keeps the rows of words that had a pair. key is a * 65536 + b, best is
+#: round keeps the rows of words that had a pair. key is a * 2^32 + b, best is
 #: rank * 2^32 + pos: its minimum is the leftmost pair of minimum rank.
 ENCODE = """
 with recursive steps(word, round, pos, nxt, tok) as (
@@ -60,7 +63,7 @@ with recursive steps(word, round, pos, nxt, tok) as (
     from steps p join (
         select word, min(best) as best, arg_min(pos, best) as pos, arg_min(gone, best) as gone, arg_min(after, best) as after
         from (select n.word, n.pos, n.nxt as gone, x.nxt as after, m.rank * 4294967296 + n.pos as best
-              from steps n join steps x on x.pos = n.nxt join merges m on m.key = n.tok * 65536 + x.tok)
+              from steps n join steps x on x.pos = n.nxt join merges m on m.key = n.tok * 4294967296 + x.tok)
         group by word
     ) c on c.word = p.word
     where p.pos <> c.gone
@@ -83,9 +86,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge_table(ranks: dict[bytes, int]) -> pa.Table:
     """Every pair of tokens whose join is a token: (key, rank); the rank is also the id of the join."""
-    if max(ranks.values()) >= 1 << 16:
-        raise ValueError("ids of 65,536 and more do not fit the key of a pair")
-    rows = [(ranks[t[:k]] << 16 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+    rows = [(ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
     return pa.table({"key": pa.array([k for k, _ in rows], pa.int64()), "rank": pa.array([r for _, r in rows], pa.int64())})
 
 
@@ -133,38 +134,82 @@ def _contracted(words: list[bytes], ranks_path: str) -> list[np.ndarray]:
     return out
 
 
-def _joined(windows: list[np.ndarray], step: int, size: np.ndarray) -> np.ndarray | None:
-    """The ids of a word from those of its windows, which start ``step`` bytes apart; None where two share no token."""
-    out, ids, at, begun = [], windows[0], np.cumsum(size[windows[0]]) - size[windows[0]], 0
-    for k, other in enumerate(windows[1:], 1):
-        place = np.cumsum(size[other]) - size[other] + k * step
-        _, a, b = np.intersect1d(at, place, assume_unique=True, return_indices=True)
-        same = np.flatnonzero(ids[a] == other[b])
-        if not len(same):
-            return None
-        out.append(ids[begun : a[same[0]]])
-        ids, at, begun = other, place, b[same[0]]
-    return np.concatenate([*out, ids[begun:]])
+@dataclass
+class _Window:
+    """Part of a word with its ids and their places, of which those from ``low`` up to ``high`` are the word's."""
+
+    start: int
+    width: int
+    ids: np.ndarray
+    at: np.ndarray
+    low: int = 0
+    high: int | None = None
+
+    def joined(self, other: _Window) -> bool:
+        """Whether the two have a token in common at one place; from the first such one on the word's ids are the other's."""
+        _, a, b = np.intersect1d(self.at[self.low :], other.at, assume_unique=True, return_indices=True)
+        same = np.flatnonzero(self.ids[self.low :][a] == other.ids[b])
+        if len(same):
+            self.high, other.low = int(a[same[0]]) + self.low, int(b[same[0]])
+        return len(same) > 0
+
+
+def _starts(word: bytes) -> range:
+    return range(0, max(1, len(word) - WINDOW // 2), WINDOW // 2)
+
+
+def _walk(word: bytes, known: dict[bytes, np.ndarray], size: np.ndarray) -> Generator[bytes, None, np.ndarray]:
+    """The ids of a word from those of its windows; yields windows whose ids it has yet to know."""
+
+    def window(start: int, width: int) -> Generator[bytes, None, _Window]:
+        piece = word[start : start + width]
+        if piece not in known:
+            yield piece
+        ids = known[piece]
+        return _Window(start, width, ids, np.cumsum(size[ids]) - size[ids] + start)
+
+    chain, step = [(yield from window(0, WINDOW))], WINDOW // 2
+    while (end := chain[-1].start + chain[-1].width) < len(word):
+        last = chain[-1]
+        own = int(last.at[last.low :][np.searchsorted(last.at[last.low :], (last.start + end) // 2) - 1])  # a token of the last window, about its middle
+        ahead = [(s, WINDOW) for s in range((end - 1) // step * step, last.start, -step) if s + WINDOW > end and word[s : s + WINDOW] in known]
+        here = [(own, max(WINDOW, last.width))] if own > last.start else []
+        for start, width in [*here, *ahead] if last.width > WINDOW else [*ahead, *here]:
+            following = yield from window(start, width)
+            if last.joined(following):
+                chain.append(following)
+                break
+        else:  # a wider last window, and where that does not fit what is before it, one in place of both
+            wider = 2 * last.width
+            while True:
+                last = chain.pop()
+                last = yield from window(last.start, max(wider, end + WINDOW - last.start))
+                if not chain or chain[-1].joined(last):
+                    chain.append(last)
+                    break
+    return np.concatenate([x.ids[x.low : x.high] for x in chain])
 
 
 def encode_words(words: list[bytes], ranks_path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all words one after another, how many each word has)."""
     _, ranks, _, size = _engine(ranks_path)
     out = [np.array([ranks[w]]) if w in ranks else np.zeros(0, np.int64) for w in words]
-    rest, width = [i for i, w in enumerate(words) if w and w not in ranks], WINDOW
-    while rest:
-        step = width // 2
-        starts = [range(0, max(1, len(words[i]) - step), step) if len(words[i]) > width else range(1) for i in rest]
-        found = _contracted([words[i][k : k + width] if len(words[i]) > width else words[i] for i, ks in zip(rest, starts, strict=True) for k in ks], ranks_path)
-        again, at = [], 0
-        for i, ks in zip(rest, starts, strict=True):
-            ids = _joined(found[at : at + len(ks)], step, size)
-            at += len(ks)
-            if ids is None:
-                again.append(i)
-            else:
-                out[i] = ids
-        rest, width = again, 2 * width
+    rest = [i for i, w in enumerate(words) if w and w not in ranks]
+    wanted = dict.fromkeys(words[i][k : k + WINDOW] if len(words[i]) > WINDOW else words[i] for i in rest for k in _starts(words[i]))
+    known: dict[bytes, np.ndarray] = {}
+    walks = {i: _walk(words[i], known, size) for i in rest if len(words[i]) > WINDOW}
+    while wanted:
+        known.update(zip(wanted, _contracted(list(wanted), ranks_path), strict=True))
+        wanted = {}
+        for i in list(walks):  # each as far as it comes
+            try:
+                wanted[next(walks[i])] = None
+            except StopIteration as done:
+                out[i] = done.value
+                del walks[i]
+    for i in rest:
+        if len(words[i]) <= WINDOW:
+            out[i] = known[words[i]]
     return np.concatenate([np.zeros(0, np.int64), *out]).astype(np.uint32), np.array([len(x) for x in out], np.int64)
 
 

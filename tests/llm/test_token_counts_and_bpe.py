@@ -1,8 +1,10 @@
 """Counts and ids against the libraries that define them."""
 
+import base64
 import hashlib
 import random
 import struct
+import time
 
 import numpy as np
 import public_tokenizers as P
@@ -104,3 +106,31 @@ def test_windows_of_any_width(library, monkeypatch):
         ids, counts = byte_bpe.encode_words([w.encode() for w in words], RANKS)
         got = np.split(ids, np.cumsum(counts)[:-1])
         assert [g.tolist() for g in got] == expected
+
+
+@pytest.mark.parametrize("unit", ["─", "★", "日", "😀", "é", "ab", "=-", "*", " ", "─━", "abc─", "x" * 37 + "日", "".join(random.Random(2).choice("ab─ é") for _ in range(700))])
+def test_words_that_repeat(library, unit):
+    """Windows out of step with what repeats: the ids of the library, in well under a second."""
+    words = [(unit * 30_000)[:n] for n in (63, 200, 5_000, 12_001)]
+    start = time.monotonic()
+    ids, counts = byte_bpe.encode_words([w.encode() for w in words], RANKS)
+    assert time.monotonic() - start < 5
+    for got, word in zip(np.split(ids, np.cumsum(counts)[:-1]), words, strict=True):
+        assert got.tolist() == library.encode_ordinary(word)
+
+
+def test_words_of_repeated_and_other_parts(library):
+    rng = random.Random(4)
+    parts = ["a", "b", "─", "é", "日", "=", "-", "the", "ing", "😀", " "]
+    words = ["".join((rng.choice(parts) * rng.choice([1, 1, 90]) if k % 3 else "".join(rng.choices(parts, k=4)) * rng.randrange(40)) for k in range(rng.randrange(1, 5))) for _ in range(400)]
+    ids, counts = byte_bpe.encode_words([w.encode() for w in words], RANKS)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode_ordinary(w) for w in words]
+
+
+def test_ids_beyond_two_bytes(tmp_path):
+    """A vocabulary whose ids need more than 16 bits."""
+    ranks = {bytes([i]): i for i in range(256)} | {b"ab": 70_000, b"abab": 70_001, b"ba": 2_000_000}
+    path = tmp_path / "wide.tiktoken"
+    path.write_text("".join(f"{base64.b64encode(k).decode()} {v}\n" for k, v in ranks.items()))
+    ids, counts = byte_bpe.encode_words([b"ababab", b"bab", b"bba"], str(path))
+    assert ids.tolist() == [70_001, 70_000, 98, 70_000, 98, 2_000_000] and counts.tolist() == [2, 2, 2]
