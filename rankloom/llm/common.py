@@ -39,6 +39,12 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores after it as make it none of ``df``'s columns."""
+    taken = {c.lower() for c in df.columns}
+    return [next(y for k in range(len(taken) + 1) if (y := name + "_" * k).lower() not in taken) for name in names]
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as the empty text."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -15,12 +15,15 @@ differ from its target by at most half of one document.
 Everything is DataFrame work. The text is read once, for its number of words;
 what follows handles narrow rows, kept by ``checkpoint()``. Chunks are dealt by
 a hash, so a source with a third of all rows is many chunks. Random numbers are
-hashes of ids, so reruns agree, however rows are partitioned.
+hashes of ids and texts, so reruns agree, however rows are partitioned. Rows alike in id,
+source and text are one unit, whose number of copies in all is rounded as one: they
+are dealt to its rows evenly, some rows one more than others.
 
 Defined results: a null text has size 0; a document of size 0 is taken 0 words
-and 0 copies; the null source is the last; rows that share id, source and size
-have one fate; an empty table gives an empty result; a source of size 0 has
-target 0. Other columns of the input are not read.
+and 0 copies; the null source is the last; null ids, equal ids and repeated rows are
+rows like others; which of the rows of a unit ``mixed`` takes once more than the others is not said
+(they differ in other columns only); an empty table gives an empty result; a source of size 0 has
+target 0. ``mix`` does not read other columns of the input, ``mixed`` hands them on.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, text_of
+from .common import WORD, checkpointed, free_names, text_of
 
 #: Documents that one fold handles at each node of the reduction tree.
 FAN_IN = 64
@@ -38,6 +41,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 CEILING = 3.0
 #: A table of at most so many sources (of a few hundred bytes each) is broadcast.
 BROADCAST_SOURCES = 20_000
+#: Rows of a unit that are written out at once.
+STRETCH = 4096
 #: A fraction this near 0 or 1 is rounding noise of the division.
 NOISE = 1e-12
 
@@ -145,34 +150,59 @@ def rounded(units: DataFrame, seed: int = 0, fan_in: int = FAN_IN) -> DataFrame:
     return reduce(DataFrame.unionAll, decided)
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, ceiling: float = CEILING, seed: int = 0, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
-    """Per row of ``docs``: id, size, source_size, target, copies, taken (copies times size)."""
-    size = F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long")
-    sized = docs.select(docs[id_column].alias("id"), docs[source_column].alias("source"), size.alias("size"))
-    # rows alike in all three have one fate: one unit of ``rows`` rows
-    units = checkpointed(sized.groupBy("id", "source", "size").agg(F.count(F.lit(1)).alias("rows")).withColumn("key", F.xxhash64("id", "source", "size")).withColumn("unit", F.monotonically_increasing_id()))
+def _units(docs: DataFrame, weights: tuple[float, ...], ceiling: float, seed: int, id_column: str, source_column: str, text_column: str) -> DataFrame:
+    """(id, source, size, mark, rows, source_size, target, whole, more) of the documents alike in id, source and text: ``whole`` copies of each of the rows, and one more of ``more`` of them."""
+    sized = docs.select(docs[id_column].alias("id"), docs[source_column].alias("source"), _size(text_column).alias("size"), F.xxhash64(docs[text_column]).alias("mark"))
+    units = checkpointed(sized.groupBy("id", "source", "size", "mark").agg(F.count(F.lit(1)).alias("rows")).withColumn("key", F.xxhash64("id", "source", "mark")).withColumn("unit", F.monotonically_increasing_id()))
     sources = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("n"))
     wanted = checkpointed(targets(sources, weights, ceiling).select(F.col("source").alias("of"), "source_size", "target"))
     few = wanted.count() <= BROADCAST_SOURCES
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    aimed = units.join(F.broadcast(wanted) if few else wanted, F.col("source").eqNullSafe(F.col("of"))).withColumn("rate", rate)
-    whole = F.floor(F.col("rate") + F.lit(NOISE)).cast("double")
-    aimed = checkpointed(aimed.withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - whole)).drop("of"))
-    open_ = (F.col("size") > 0) & (F.col("p") > NOISE)
-    done = rounded(aimed.filter(open_).select("source", "key", "unit", (F.col("size") * F.col("rows")).cast("double").alias("w"), "p"), seed)
+    rate = F.when((F.col("source_size") > 0) & (F.col("size") > 0), F.col("target") / F.col("source_size")).otherwise(0.0)
+    aimed = units.join(F.broadcast(wanted) if few else wanted, F.col("source").eqNullSafe(F.col("of"))).withColumn("all", rate * F.col("rows"))
+    sure = F.floor(F.col("all") + F.lit(NOISE)).cast("double")
+    aimed = checkpointed(aimed.withColumn("sure", sure).withColumn("p", F.greatest(F.lit(0.0), F.col("all") - sure)).drop("of", "all"))
+    done = rounded(aimed.filter(F.col("p") > NOISE).select("source", "key", "unit", F.col("size").cast("double").alias("w"), "p"), seed)
     extra = done.select(F.col("unit").alias("of"), F.col("p").alias("extra"))
-    joined = aimed.join(extra, F.col("unit") == F.col("of"), "left")
-    copies = F.when(F.col("size") > 0, F.col("whole") + F.coalesce(F.col("extra"), F.lit(0.0))).otherwise(0.0).cast("long")
-    out = joined.withColumn("copies", copies).withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    return out.select(F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", F.col("target").cast("double").alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    copies = (F.col("sure") + F.coalesce(F.col("extra"), F.lit(0.0))).cast("long")
+    joined = aimed.join(extra, F.col("unit") == F.col("of"), "left").withColumn("copies", copies)
+    return joined.select("id", "source", "size", "mark", "rows", "source_size", F.col("target").cast("double").alias("target"), F.floor(F.col("copies") / F.col("rows")).alias("whole"), F.pmod("copies", "rows").alias("more"))
+
+
+def _size(text_column: str) -> Column:
+    return F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long")
+
+
+def _repeated(df: DataFrame, times: Column, name: str) -> DataFrame:
+    """Every row as often as it says, numbered from 1, by arrays of bounded length."""
+    part = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / STRETCH)))
+    stretch = F.sequence(F.col(name) * STRETCH + 1, F.least(times, (F.col(name) + 1) * STRETCH))
+    return df.filter(times > 0).withColumn(name, part).withColumn(name, F.explode(stretch))
+
+
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, ceiling: float = CEILING, seed: int = 0, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text") -> DataFrame:
+    """Per row of ``docs``: id, size, source_size, target, copies, taken (copies times size)."""
+    units = _units(docs, weights, ceiling, seed, id_column, source_column, text_column)
+    copies = F.col("whole") + (F.col("row") <= F.col("more")).cast("long")
+    out = _repeated(units, F.col("rows"), "row").withColumn("copies", copies)
+    return out.select(F.col("id").alias(id_column), F.col("source").alias(source_column), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mixed(docs: DataFrame, *, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", broadcast_rows: int = 500_000, **options) -> DataFrame:
+def mixed(docs: DataFrame, *, weights: tuple[float, ...] = WEIGHTS, ceiling: float = CEILING, seed: int = 0, id_column: str = "doc_id", source_column: str = "source", text_column: str = "text", broadcast_rows: int = 500_000) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; documents without words are not taken."""
-    taken = mix(docs, id_column=id_column, source_column=source_column, text_column=text_column, **options).filter("copies > 0")
-    taken = checkpointed(taken.select(F.col(id_column).alias("__id"), F.col(source_column).alias("__source"), F.col("size").alias("__size"), "copies").distinct().withColumnRenamed("copies", "__copies"))
-    few = taken.limit(broadcast_rows + 1).count() <= broadcast_rows  # about 50 bytes a row
-    size = F.regexp_count(text_of(text_column), F.lit(WORD)).cast("long")
-    on = docs[id_column].eqNullSafe(F.col("__id")) & docs[source_column].eqNullSafe(F.col("__source")) & (size == F.col("__size"))
-    joined = docs.join(F.broadcast(taken) if few else taken, on)
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(docs.columns)
+    of_id, of_source, of_mark, whole, more, copy, one = free_names(docs, "of_id", "of_source", "of_mark", "whole", "more", "copy", "one")
+    units = _units(docs, weights, ceiling, seed, id_column, source_column, text_column).filter("whole > 0 or more > 0")
+    # a unit of one row has that row's copies; of a unit of more rows, each has the whole ones, and any row stands for the others' one more
+    copies, rest = F.when(F.col("rows") == 1, F.col("whole") + F.col("more")).otherwise(F.col("whole")), F.when(F.col("rows") == 1, 0).otherwise(F.col("more"))
+    units = checkpointed(units.select(F.col("id").alias(of_id), F.col("source").alias(of_source), F.col("mark").alias(of_mark), copies.alias(whole), rest.alias(more)))
+    on = docs[id_column].eqNullSafe(F.col(of_id)) & docs[source_column].eqNullSafe(F.col(of_source)) & (F.xxhash64(docs[text_column]) == F.col(of_mark))
+
+    def met(wanted: DataFrame) -> DataFrame:
+        few = wanted.limit(broadcast_rows + 1).count() <= broadcast_rows  # about 50 bytes a row
+        return docs.join(F.broadcast(wanted) if few else wanted, on)
+
+    out = _repeated(met(units.filter(F.col(whole) > 0)), F.col(whole), copy).select(docs.columns)
+    odd = units.filter(F.col(more) > 0)
+    if odd.isEmpty():
+        return out
+    rows = met(odd).groupBy(of_id, of_source, of_mark).agg(F.first(F.struct(*(docs[f"`{c}`"] for c in docs.columns))).alias(one), F.first(more).alias(more))
+    return out.unionAll(_repeated(rows, F.col(more), copy).select(f"{one}.*"))

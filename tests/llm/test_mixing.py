@@ -86,3 +86,25 @@ def test_empty_and_mixed_rows(spark, uneven):
 def test_no_text_at_all(spark):
     df = spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")
     assert [tuple(r)[2:] for r in mixing.mix(df).orderBy("doc_id").collect()] == [(0, 0, 0.0, 0, 0), (0, 0, 0.0, 0, 0)]
+
+
+def test_rows_alike(spark):
+    """Null ids, equal sizes and equal texts: each source within half a document of its target, no row above three times."""
+    rows = [(None, "w x y z", "ab"[k % 2] if k < 2000 else "c", k) for k in range(2500)] + [(7, "one two three", "c", k) for k in range(9001)]
+    rows += [(None, f"w x {k} z", "ab"[k % 2], k) for k in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and max(r.taken / r.size for r in got) <= 3
+    taken, target = defaultdict(int), {}
+    for r in got:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 2 for s in "abc")
+    out = mixing.mixed(docs).groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("n")).collect()
+    assert {r.source: r.n for r in out} == dict(taken)
+
+
+def test_names_of_the_input_are_its_own(spark):
+    clash = ["of_id", "of_source", "of_mark", "whole", "more", "copy", "one", "size", "rows", "__id", "__source", "__copies", "OF_ID_"]
+    docs = spark.createDataFrame([(k, "a b c", "s" if k % 3 else "t", *range(len(clash))) for k in range(30)] + [(3, "a b c", "t", *range(len(clash)))] * 7, ["doc_id", "text", "source", *clash])
+    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() > 0
