@@ -9,7 +9,8 @@ apart from the counts; on the same rows each language's rejection threshold is
 calibrated: a text whose cross-entropy is above it is marked ``rejected``.
 
 Counting runs in Spark, on a bounded sample: about ``per_language`` documents of
-each language, chosen by a hash of the id. Scoring is one pass of Arrow batches;
+each language, chosen by a hash of id and text; rows alike in both count once, so null or
+equal ids, and copies however many, are rows like others. Scoring is one pass of Arrow batches;
 each worker remembers the scores of up to ``MEMO`` words, of ``MEMO_CHARS`` characters.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.0
@@ -201,12 +202,13 @@ def _entropies(rows: DataFrame, models: list[CharModel], keep: str) -> DataFrame
 
 def train(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model of the languages that occur, from about ``per_language`` documents of each."""
-    rows = docs.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
-    sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))
-    chance = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = docs.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.xxhash64(id_column, text_column).alias("row"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
+    sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("row", 0.02).alias("n"))
+    chance = F.pmod(F.xxhash64("row", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES  # else texts are shuffled
     sample = rows.join(F.broadcast(sizes) if few else sizes, F.col("lang") == F.col("of")).filter(chance < F.lit(float(per_language)) / F.col("n"))
-    apart = F.pmod(F.xxhash64("id", F.lit(23)), F.lit(5)) == 0
+    sample = sample.dropDuplicates(["lang", "row"])  # rows that repeat are drawn together, and learned from once
+    apart = F.pmod(F.xxhash64("row", F.lit(23)), F.lit(5)) == 0
     words = sample.filter(~apart).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     framed = F.concat(F.lit(START * (ORDER - 1)), F.col("word"), F.lit(END))
     grams = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda k: framed.substr(k, F.lit(ORDER)))).alias("gram"))

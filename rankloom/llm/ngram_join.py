@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, freeing, in_small_batches, stored, text_of
+from .common import checkpointed, free_names, freeing, in_small_batches, stored, text_of
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -467,15 +467,16 @@ def deduplicated(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     Of rows alike in id and text one stays.
     """
     classes = checkpointed(_classes(docs, threshold, recall, id_column, text_column).select("id", "mark", "stays"))
-    pairs = classes.groupBy(F.col("id").alias("__id"), F.col("mark").alias("__mark")).agg(F.bool_and("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    of_id, of_mark = free_names(docs, "of_id", "of_mark")
+    pairs = classes.groupBy(F.col("id").alias(of_id), F.col("mark").alias(of_mark)).agg(F.bool_and("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     mark = F.xxhash64(docs[text_column])
-    same = docs[id_column].eqNullSafe(F.col("__id")) & (mark == F.col("__mark"))
-    gone, twice = (checkpointed(pairs.filter(x).select("__id", "__mark")) for x in ("not stays", "stays and n > 1"))
+    same = docs[id_column].eqNullSafe(F.col(of_id)) & (mark == F.col(of_mark))
+    gone, twice = (checkpointed(pairs.filter(x).select(of_id, of_mark)) for x in ("not stays", "stays and n > 1"))
     n, n_twice = gone.count(), twice.count()
     kept = docs.join(_near(gone, n), same, "left_anti")
     if not n_twice:
         return kept
-    one = docs.join(_near(twice, n_twice), same, "left_semi").withColumn("__mark", mark).dropDuplicates([id_column, "__mark"]).drop("__mark")
+    one = docs.join(_near(twice, n_twice), same, "left_semi").withColumn(of_mark, mark).dropDuplicates([id_column, of_mark]).drop(of_mark)
     return kept.join(_near(twice, n_twice), same, "left_anti").unionAll(one)
 
 

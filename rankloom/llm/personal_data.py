@@ -33,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, stored, text_of
+from .common import checkpointed, free_names, stored, text_of
 from .fingerprints import let
 
 KINDS = ("email", "ip", "card", "phone")
@@ -283,16 +283,17 @@ def find(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text
 def masked(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in brackets; spans that overlap become one."""
     scanned = checkpointed(scan(docs, id_column=id_column, text_column=text_column))
-    every = all_spans(scanned).filter(F.size("every") > 0).groupBy("id", "mark").agg(F.first("every").alias("__spans"))
-    every = checkpointed(every.select(F.col("id").alias("__of"), F.col("mark").alias("__as"), "__spans"))
+    of_id, of_mark, spans = free_names(docs, "of_id", "of_mark", "spans")
+    every = all_spans(scanned).filter(F.size("every") > 0).groupBy(F.col("id").alias(of_id), F.col("mark").alias(of_mark)).agg(F.first("every").alias(spans))
+    every = checkpointed(every)
     few = every.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     text = text_of(text_column)
-    joined = docs.join(F.broadcast(every) if few else every, docs[id_column].eqNullSafe(F.col("__of")) & (F.xxhash64(text) == F.col("__as")), "left")
+    joined = docs.join(F.broadcast(every) if few else every, docs[id_column].eqNullSafe(F.col(of_id)) & (F.xxhash64(text) == F.col(of_mark)), "left")
 
     def step(state: Column, s: Column) -> Column:
         fresh = F.struct(F.concat(state["out"], text.substr(state["at"] + 1, s["start"] - state["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"), s["end"].alias("at"))
         return F.when(s["start"] < state["at"], F.struct(state["out"].alias("out"), F.greatest(state["at"], s["end"]).alias("at"))).otherwise(fresh)
 
-    ordered = F.array_sort("__spans", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
+    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
     out = F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
-    return joined.withColumn(text_column, F.when(F.col("__spans").isNull(), docs[text_column]).otherwise(out)).drop("__of", "__as", "__spans")
+    return joined.withColumn(text_column, F.when(F.col(spans).isNull(), docs[text_column]).otherwise(out)).drop(of_id, of_mark, spans)

@@ -12,7 +12,8 @@ Scoring is one pass of Arrow batches over all texts.
 
 Defined results: a null or empty text has the score of the bias alone; rows
 without a label are not learned from; where a document has several labels, the
-highest counts; without any labelled row every score is 0.0; repeated rows each
+highest counts, where several documents share an id, the least text (so training has at most
+``most`` texts); without any labelled row every score is 0.0; repeated rows each
 get their score; other columns are not read.
 """
 
@@ -136,7 +137,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     marked = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(F.col(label_column)).cast("int").alias("y"))
     sample = marked.withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(most)  # ids and labels alone: a bounded table
     texts = docs.select(F.col(id_column).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
-    joined = texts.join(F.broadcast(sample), F.col("key") == F.col("id")).select("order", "text", "y", F.pmod("order", F.lit(max(1, -(-sample.count() // shard_rows)))).cast("int").alias("shard"))
+    met = texts.join(F.broadcast(sample), F.col("key") == F.col("id"))
+    one = met.groupBy("id", "order", "y").agg(F.min("text").alias("text"))  # of rows that repeat an id the least text
+    joined = one.select("order", "text", "y", F.pmod("order", F.lit(max(1, -(-sample.count() // shard_rows)))).cast("int").alias("shard"))
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["order", "text"], kind="stable")

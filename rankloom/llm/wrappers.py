@@ -420,11 +420,10 @@ class Wrapper:
 
     def _walk(self, element: list, node: _Node, region: set, densest: bool, within: bool, blocks: list, fits: dict) -> bool:
         """Adds the texts in the region's slots to ``blocks``; whether the page has the region."""
-        inside = _inside(element)
-        item = dict(zip(map(id, inside), node.places(inside, fits), strict=True))
+        places = iter(node.places(_inside(element), fits))
         seen = within
         for x in element[1]:
-            k = item.get(id(x))
+            k = None if isinstance(x, str) and x.isspace() else next(places)
             leaf = node.leaves[k] if k is not None else None
             if isinstance(x, str):
                 if within and not (densest and leaf and leaf[LITERAL] is not None and self.pages >= TEMPLATE):

@@ -10,7 +10,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankloom.llm import byte_bpe
+from rankloom.llm import byte_bpe, language_id
 
 SF = "/root/testdata/sf0.001"
 
@@ -87,3 +87,21 @@ def test_odd_rows(spark):
     assert masked == [(1, None, None, 0), (2, "", 0, 1), (None, cat, len(cat), 2), *((3, cat + " [EMAIL]", len(cat) + 8, k) for k in (3, 4)), (4, "x" * 50_000, 50_000, 5)]
     assert {r["doc_id"] for r in out["mixing"].collect()} <= {None, 3, 4} and out["mixing"].count() <= 3 * 4
     assert {(r["doc_id"], r["n_tokens"] > 0) for r in out["byte_bpe"].collect()} == {(1, False), (2, False), (None, True), (3, True), (4, True)} and out["byte_bpe"].count() == 6
+
+
+def test_any_names_of_columns(spark):
+    names = ["__id", "__mark", "__of", "__spans", "__source", "__copies", "of_id", "of_mark", "OF_MARK_", "spans", "copy", "row", "host", "mark"]
+    rows = [(k, "the cat is on the mat and that is it " * 3 + str(k // 2) + " a@b.cd", "en", "s", 5, *names) for k in range(8)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() > 0, name
+
+
+def test_no_ids(spark):
+    """All ids null: every language learned, and no document lost for it."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    known = language_id.train(docs.withColumn("doc_id", F.lit(None).cast("long")), per_language=100)
+    assert known.languages == sorted(r[0] for r in docs.select("lang").filter("lang is not null").distinct().collect())
+    kept = corpus_pipeline.known_languages(spark, docs.withColumn("doc_id", F.lit(None).cast("long")), SF).count()
+    assert kept >= 0.98 * docs.filter(F.col("text").rlike(r"\p{L}")).count()
