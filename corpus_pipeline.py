@@ -54,7 +54,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents as often as the mix takes them: rows that are taken twice stand twice.
 
     Documents without a word (null texts too) are taken 0 times and go; the null source is
-    the last one; rows that share id, source and size have one fate.
+    the last one; rows alike in id, source and text are taken so often together, any of them once more.
     """
     return mixing.mixed(docs)
 
