@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankloom.operators.ordered import running
+from rankloom.storage import stored
 
 #: A table of at most so many levels is broadcast.
 BROADCAST_LEVELS = 100_000
@@ -31,7 +32,7 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
 def ordinal(df: DataFrame, column: str) -> DataFrame:
     """``{column}_encoded``: 0-based place of the level in sorted order; null for null."""
     levels = df.select(F.col(column).alias("__level")).filter(F.col("__level").isNotNull()).distinct()
-    placed = running(levels.withColumn("__one", F.lit(1)), "__level", "__one", "__place")
+    placed = running(stored(levels.withColumn("__one", F.lit(1))), [], "__level", "__one", "__place")
     numbered = placed.select("__level", (F.col("__place") - 1).cast("int").alias(f"{column}_encoded"))
     return df.join(_small(numbered), F.col(column) == F.col("__level"), "left").drop("__level")
 

@@ -8,7 +8,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.operators.ordered import quantiles
+from rankloom.operators.ordered import counted, quantiles_of
 from rankloom.sessions import GROUP, ITEM, LABEL
 
 PERCENTS = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)
@@ -60,13 +60,20 @@ def missing_percent(df: DataFrame) -> DataFrame:
 
 
 def outlier_profile(df: DataFrame, columns: list[str], exact: bool = True, accuracy: int = 10_000) -> DataFrame:
-    """Per column p1 to p99, min, max. Exact percentiles are values of the column; approximate ones take one pass over all columns."""
-    ends = df.agg(*(F.struct(F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), *([] if exact else [F.percentile_approx(c, list(PERCENTS), accuracy).cast("array<double>").alias("q")])).alias(f"_{c}") for c in columns))
+    """Per column p1 to p99, min, max, in one pass over all columns. Exact percentiles are values of the column, from counted values; approximate ones come from sketches."""
     if exact:
-        ends = reduce(lambda a, b: a.join(b, F.lit(True)), [ends, *(quantiles(df, c, list(PERCENTS), discrete=True, name=f"q_{c}") for c in columns)])  # one row each
-    found = lambda c: F.col(f"q_{c}") if exact else F.col(f"_{c}.q")
-    rows = [F.struct(F.lit(c).alias("column"), *(F.get(found(c), F.lit(k)).alias(f"p{round(100 * p)}") for k, p in enumerate(PERCENTS)), F.col(f"_{c}.min").alias("min"), F.col(f"_{c}.max").alias("max")) for c in columns]
-    return ends.select(F.inline(F.array(*rows)))
+        counts = counted(df, columns)
+        found = quantiles_of(counts, ["__column"], "__value", "__n", list(PERCENTS), discrete=True).withColumnRenamed("__column", "column")
+        ends = counts.groupBy(F.col("__column").alias("column")).agg(F.min("__value").alias("min"), F.max("__value").alias("max"))
+        found = _every(df, columns).join(F.broadcast(ends), "column", "left").join(F.broadcast(found), "column", "left")  # a row for each column
+    else:
+        one = df.agg(*(F.struct(F.lit(c).alias("column"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.percentile_approx(c, list(PERCENTS), accuracy).cast("array<double>").alias("quantiles")).alias(f"_{k}") for k, c in enumerate(columns)))
+        found = one.select(F.inline(F.array(*(F.col(f"_{k}") for k in range(len(columns))))))
+    return found.select("column", *(F.get("quantiles", F.lit(k)).alias(f"p{round(100 * p)}") for k, p in enumerate(PERCENTS)), "min", "max")
+
+
+def _every(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -89,11 +96,11 @@ def high_variance(df: DataFrame, columns: list[str], threshold: float = 0.01) ->
 
 
 def described(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Per column: count, mean, std, min, median, max."""
-    one = df.agg(*(F.struct(F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(f"_{c}") for c in columns))
-    one = reduce(lambda a, b: a.join(b, F.lit(True)), [one, *(quantiles(df, c, [0.5], name=f"q_{c}") for c in columns)])  # one row each
-    rows = [F.struct(F.lit(c).alias("column"), *(F.col(f"_{c}.{x}").alias(x) for x in ("n", "mean", "std", "min")), F.get(f"q_{c}", F.lit(0)).alias("median"), F.col(f"_{c}.max").alias("max")) for c in columns]
-    return one.select(F.inline(F.array(*rows)))
+    """Per column: count, mean, std, min, median, max; one pass for the medians, one for the rest, over all columns."""
+    medians = quantiles_of(counted(df, columns), ["__column"], "__value", "__n", [0.5]).withColumnRenamed("__column", "column")
+    one = df.agg(*(F.struct(F.lit(c).alias("column"), F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max")).alias(f"_{k}") for k, c in enumerate(columns)))
+    rows = one.select(F.inline(F.array(*(F.col(f"_{k}") for k in range(len(columns))))))
+    return rows.join(F.broadcast(medians), "column", "left").select("column", "n", "mean", "std", "min", F.get("quantiles", F.lit(0)).alias("median"), "max")  # a row for each column
 
 
 def value_counts(df: DataFrame, column: str, most: int | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rankloom.functions import scalars as S
 from rankloom.operators import windows as W
 from rankloom.operators.metrics import ranked
-from rankloom.operators.ordered import quantiles
+from rankloom.operators.ordered import counted, quantiles_of
 from rankloom.sessions import GROUP, LABEL
 
 CARRIER = "legs0_segments0_marketingCarrier_code"
@@ -95,11 +95,12 @@ def pareto(df: DataFrame, price: str = "totalPrice", duration: str = "duration")
 
 
 def drift(a: DataFrame, b: DataFrame, column: str, bins: int = 10) -> DataFrame:
-    """Population stability index of a column between two tables, over quantile bins of the first."""
-    cuts = F.broadcast(quantiles(a, column, [k / bins for k in range(1, bins)], name="__cuts"))  # one row
-    place = F.size(F.filter("__cuts", lambda at: F.col(column) > at))  # equal cuts are passed together
-    counted = lambda df, name: df.filter(F.col(column).isNotNull()).select(column).join(cuts, F.lit(True)).groupBy(place.alias("bin")).agg(F.count(F.lit(1)).alias(name))
-    both = counted(a, "n_a").join(counted(b, "n_b").withColumnRenamed("bin", "__bin"), F.col("bin") == F.col("__bin"), "full").select(F.coalesce("bin", "__bin").alias("bin"), F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
+    """Population stability index of a column between two tables, over quantile bins of the first; each is read once, for its counted values."""
+    counts = [counted(df, [column]) for df in (a, b)]
+    cuts = F.broadcast(quantiles_of(counts[0], [], "__value", "__n", [k / bins for k in range(1, bins)]))  # one row
+    place = F.size(F.filter("quantiles", lambda at: F.col("__value") > at))  # equal cuts are passed together
+    binned = lambda df, name: df.join(cuts, F.lit(True)).groupBy(place.alias("bin")).agg(F.sum("__n").alias(name))
+    both = binned(counts[0], "n_a").join(binned(counts[1], "n_b").withColumnRenamed("bin", "__bin"), F.col("bin") == F.col("__bin"), "full").select(F.coalesce("bin", "__bin").alias("bin"), F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
     total = both.agg(F.sum("n_a").alias("all_a"), F.sum("n_b").alias("all_b"), F.count(F.lit(1)).alias("n"))
     share = lambda n, all_: (F.col(n) + 0.5) / (F.col(all_) + 0.5 * F.col("n"))
     p, q = share("n_a", "all_a"), share("n_b", "all_b")

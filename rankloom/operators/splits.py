@@ -11,11 +11,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.operators.ordered import running
+from rankloom.operators.ordered import at_places, counted, quantiles_of
 from rankloom.sessions import GROUP, LABEL
+from rankloom.storage import stored
 
-#: Aggregates that a fold's share can be taken out of.
-SUBTRACTABLE = ("sum", "count", "mean", "avg")
+#: Aggregates that have an out-of-fold form.
+OUT_OF_FOLD = ("sum", "count", "mean", "avg", "var", "min", "max", "median")
 
 
 def key_hash(key: str | Column, seed: int | str = 42) -> Column:
@@ -66,19 +67,42 @@ def stratified_folds(df: DataFrame, group: str = "profileId", label: str = LABEL
 
 
 def temporal_split(df: DataFrame, date: str, ratio: float = 0.8, tie: str = "Id") -> tuple[DataFrame, DataFrame]:
-    """(first ``floor(rows * ratio)`` rows by date, the rest). Rows of the date on the border go by ``tie``.
+    """(first ``floor(rows * ratio)`` rows by date, the rest). Rows of the date on the border go by ``tie``, then by a hash of the row; null dates come last, null ties first.
 
-    Counts per date are summed up over dates; only the border date's rows are numbered.
+    The border is found by counted values: of the dates, then of the ties of the border date,
+    then of the hashes of rows alike in both. The sides are filters of ``df`` by it, which
+    a scan can take; nothing is numbered or shuffled for them. Only where the border goes
+    through rows that are the same in all columns are these counted and written out again.
     """
-    counts = df.groupBy(F.col(date).alias("__d")).agg(F.count(F.lit(1)).alias("__n"))
-    border = running(counts, "__d", "__n").withColumn("__take", F.least(F.greatest(F.floor(F.col("__all") * ratio) - (F.col("__upto") - F.col("__n")), F.lit(0)), F.col("__n")))
-    joined = df.join(border.select("__d", "__take", "__n"), F.col(date).eqNullSafe(F.col("__d")))
-    place = F.row_number().over(Window.partitionBy(date).orderBy(tie))
-    split = joined.filter((F.col("__take") > 0) & (F.col("__take") < F.col("__n"))).withColumn("__in", place <= F.col("__take"))
-    whole = joined.filter((F.col("__take") == 0) | (F.col("__take") == F.col("__n"))).withColumn("__in", F.col("__take") > 0)
-    both = whole.unionByName(split)
-    drop = ("__d", "__take", "__n", "__in")
-    return both.filter("__in").drop(*drop), both.filter("not __in").drop(*drop)
+    left = int(df.count() * ratio)
+    before, there = F.lit(False), F.lit(True)  # rows before the border, and those on it as far as it is known
+    hashed = F.xxhash64(*(c for c, t in df.dtypes if not t.startswith("map")))
+    for key, nulls_first in ((F.col(date), False), (F.col(tie), True), (hashed, True)):
+        counts = stored(df.filter(there).groupBy(key.alias("value")).agg(F.count(F.lit(1)).alias("n")))
+        known, missing = counts.agg(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.sum(F.when(F.col("value").isNull(), F.col("n")))).first()
+        known, missing = known or 0, missing or 0
+        skipped = missing if nulls_first else 0
+        if left < skipped or left - skipped >= known:  # the border is among the nulls, or after all
+            on = key.isNull()
+            first, size = (0, missing) if nulls_first else (known, missing)
+            earlier = F.lit(False) if nulls_first else key.isNotNull()
+            if not missing:  # nothing is left to be cut
+                return df.filter(before | there), df.filter(~(before | there))
+        else:
+            row = at_places(counts, [], "value", "n", F.array(F.lit(left - skipped))).first()
+            border = F.lit(row["__at"])
+            on, first, size = key.eqNullSafe(border), row["__first"] + skipped, row["__many"]
+            earlier = (key < border) | (key.isNull() if nulls_first else F.lit(False))
+        before = before | (there & F.coalesce(earlier, F.lit(False)))
+        there = there & on
+        left -= first
+        if not left:
+            return df.filter(before), df.filter(~before)
+        if left == size:
+            return df.filter(before | there), df.filter(~(before | there))
+    same = df.filter(there).groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    copies = lambda n: same.select(*df.columns, F.explode(F.sequence(F.lit(1), n))).drop("col")
+    return df.filter(before).unionAll(copies(F.lit(left))), df.filter(~before & ~there).unionAll(copies((F.col("__n") - left).cast("int")))
 
 
 def shared_groups(a: DataFrame, b: DataFrame, group: str = GROUP) -> DataFrame:
@@ -95,32 +119,70 @@ def assert_no_shared_groups(a: DataFrame, b: DataFrame, group: str = GROUP) -> N
 def fold_aware(df: DataFrame, keys: list[str], wanted: dict[str, list[str]], fold: str = "fold") -> DataFrame:
     """Per row, statistics of the row's keys over the *other* folds, as ``{column}_{function}``.
 
-    sum, count and mean are totals less the fold's own share. Others (min, max,
-    median, ...) are computed over the other folds' rows, one aggregate for each
-    fold. Null where no other fold has the key; null keys match null keys.
+    Whatever the number of folds, one aggregate over (keys, fold) and one join. sum, count,
+    mean (avg) and var (sample variance) are totals less the fold's own share; min and max are those of the folds before
+    and after, in the order of folds; median comes from counted values less the fold's own. Null where
+    no other fold has the key; null keys match null keys; rows of a null fold get nulls.
     """
-    plain = {c: [f for f in fns if f in SUBTRACTABLE] for c, fns in wanted.items()}
-    other = {c: [f for f in fns if f not in SUBTRACTABLE] for c, fns in wanted.items()}
-    parts = [x for c, fns in plain.items() if fns for x in (F.sum(c).alias(f"__s_{c}"), F.count(c).alias(f"__n_{c}"))]
-    states = df.groupBy(*keys, fold).agg(*parts, F.count(F.lit(1)).alias("__rows"))
-    w = Window.partitionBy(*keys)
+    for c, fns in wanted.items():
+        if unknown := set(fns) - set(OUT_OF_FOLD):
+            raise ValueError(f"no out-of-fold form of {sorted(unknown)} of {c}")
+    known = df.filter(F.col(fold).isNotNull())
+    parts = []
+    for k, (c, fns) in enumerate(wanted.items()):
+        x = F.col(c).cast("double")
+        parts += [F.sum(c).alias(f"__s{k}"), F.count(c).alias(f"__n{k}")] if set(fns) & {"sum", "count", "mean", "avg", "var"} else []
+        parts += [F.var_pop(x).alias(f"__v{k}")] if "var" in fns else []
+        parts += [getattr(F, f)(c).alias(f"__{f}{k}") for f in ("min", "max") if f in fns]
+    states = known.groupBy(*keys, fold).agg(F.count(F.lit(1)).alias("__rows"), *parts)
+    every = Window.partitionBy(*keys)
+    before, after = every.orderBy(fold).rowsBetween(Window.unboundedPreceding, -1), every.orderBy(fold).rowsBetween(1, Window.unboundedFollowing)
     out = []
-    for c, fns in plain.items():
-        if not fns:
-            continue
-        n = F.sum(f"__n_{c}").over(w) - F.col(f"__n_{c}")
-        s = F.when(n > 0, F.sum(F.coalesce(f"__s_{c}", F.lit(0))).over(w) - F.coalesce(f"__s_{c}", F.lit(0)))
+    for k, (c, fns) in enumerate(wanted.items()):
+        own_s, own_n = F.coalesce(f"__s{k}", F.lit(0)), F.col(f"__n{k}")
+        n = F.sum(f"__n{k}").over(every) - own_n
+        s = F.when(n > 0, F.sum(own_s).over(every) - own_s)
+        mean = F.try_divide(s.cast("double"), n.cast("double"))
+        forms = {
+            "sum": lambda s=s: s, "count": lambda n=n: n, "mean": lambda mean=mean: mean, "avg": lambda mean=mean: mean,
+            "min": lambda k=k: F.least(F.min(f"__min{k}").over(before), F.min(f"__min{k}").over(after)), "max": lambda k=k: F.greatest(F.max(f"__max{k}").over(before), F.max(f"__max{k}").over(after)),
+        }
         for fn in fns:
-            out.append((n if fn == "count" else s if fn == "sum" else F.try_divide(s.cast("double"), n.cast("double"))).alias(f"{c}_{fn}"))
+            if fn in forms:
+                out.append(forms[fn]().alias(f"{c}_{fn}"))
+            elif fn == "var":
+                folds = F.collect_list(F.struct(F.col(fold).alias("f"), own_n.cast("double").alias("n"), own_s.cast("double").alias("s"), F.coalesce(f"__v{k}", F.lit(0.0)).alias("v"))).over(every)
+                out.append(_pooled(F.filter(folds, lambda x: (x["f"] != F.col(fold)) & (x["n"] > 0))).alias(f"{c}_var"))
     table = states.select(*keys, fold, *out)
-    if any(other.values()):
-        ids = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None)  # a handful of folds
-        aggs = [F.expr(f"{fn}(`{c}`)").alias(f"{c}_{fn}") for c, fns in other.items() for fn in fns]
-        rest = reduce(DataFrame.unionByName, [df.filter(F.col(fold) != i).groupBy(*keys).agg(*aggs).withColumn(fold, F.lit(i)) for i in ids])
+    medians = [c for c, fns in wanted.items() if "median" in fns]
+    if medians:
+        rest = _medians_elsewhere(known, keys, medians, fold)
         table = _null_safe(table, rest, [*keys, fold])
     return _null_safe(df, table, [*keys, fold])
 
 
+def _pooled(folds: Column) -> Column:
+    """The sample variance of folds (n, sum s, population variance v) together; null below two rows."""
+    total = lambda f: F.aggregate(folds, F.lit(0.0), lambda a, x: a + f(x))
+    n = total(lambda x: x["n"])
+    mean = total(lambda x: x["s"]) / n
+    squares = total(lambda x: x["n"] * (x["v"] + (x["s"] / x["n"] - mean) * (x["s"] / x["n"] - mean)))
+    return F.when(n > 1, squares / (n - 1))
+
+
+def _medians_elsewhere(df: DataFrame, keys: list[str], columns: list[str], fold: str) -> DataFrame:
+    """(keys, fold, {column}_median): the medians of the key's values in the other folds, from the counts of values per key and fold."""
+    counts = counted(df, columns, [*keys, fold])
+    entry = F.struct(F.col(fold).alias("f"), F.col("__n").alias("n"))
+    values = counts.groupBy(*keys, "__column", "__value").agg(F.sum("__n").alias("__all_n"), F.map_from_entries(F.collect_list(entry)).alias("__own"))  # an entry for each fold
+    folds = df.groupBy(*keys).agg(F.collect_set(fold).alias("__folds"))
+    apart = _null_safe(values, folds, keys).select(*keys, "__column", "__value", "__all_n", "__own", F.explode("__folds").alias(fold))
+    left = stored(apart.select(*keys, fold, "__column", "__value", (F.col("__all_n") - F.coalesce(F.col("__own")[F.col(fold)], F.lit(0))).alias("__n")).filter("__n > 0"))
+    found = quantiles_of(left, [*keys, fold, "__column"], "__value", "__n", [0.5])
+    named = [F.max(F.when(F.col("__column") == c, F.col("quantiles")[0])).alias(f"{c}_median") for c in columns]
+    return found.groupBy(*keys, fold).agg(*named)
+
+
 def _null_safe(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on keys, nulls matching; keys once."""
     b = b.withColumnsRenamed({k: f"__r_{k}" for k in keys})

@@ -1,7 +1,8 @@
 """Session-relative columns. All windows share ``partitionBy(ranker_id)``: one shuffle.
 
 Windows without an order come first, then each order once. Ties are broken by an
-explicit key; null values get a null rank and come last.
+explicit key; null values get a null rank and come last. A window over a session is one
+task's work; ``session_ranks`` gives the ranks of tables whose sessions may be larger than that.
 """
 
 from __future__ import annotations
@@ -9,7 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.operators import ordered
 from rankloom.sessions import GROUP, ITEM, LABEL, SCORE
+from rankloom.storage import stored
+
+#: Rows from which a session counts as too large for a window, and how many salts its rows' joins have.
+GIANT, SALTS = 5_000_000, 32
+#: A table of at most so many values (of a giant session) is broadcast.
+BROADCAST_VALUES = 200_000
 
 
 def within(*keys: str) -> Window:
@@ -113,3 +121,47 @@ def top_k(df: DataFrame, k: int, score: str = SCORE, group: str = GROUP, tie: st
 def ranking_columns(df: DataFrame, value: str, group: str = GROUP) -> DataFrame:
     """``{value}_rank``, ``_dense_rank`` and ``_percentile`` within the session."""
     return df.withColumns({f"{value}_rank": average_rank(value, group), f"{value}_dense_rank": dense_rank(value, group), f"{value}_percentile": percentile_of(value, group)})
+
+
+def session_ranks(df: DataFrame, value: str, group: str = GROUP, tie: str = ITEM, giant: int = GIANT) -> DataFrame:
+    """``df`` with ``{value}_ordinal``, ``_rank``, ``_dense_rank``, ``_percentile``, ``_from_mean``, ``_from_min`` and ``_from_max`` within the session, whatever its size.
+
+    Sessions of at most ``giant`` rows have them by windows. Of larger ones, of which there are few,
+    the rows are cut into ranges of (value, tie): places within a range, plus the rows of the ranges before. Means
+    and extremes are one aggregate; average and dense ranks come from the session's
+    counted values. No task holds a giant session, nor all rows of a value in it.
+    """
+    v = F.col(value)
+    ends = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__rows"), F.count(v).alias("__known"), F.avg(v).alias("__mean"), F.min(v).alias("__least"), F.max(v).alias("__most"))
+    giants = stored(ends.filter(F.col("__rows") > giant))  # at most rows / giant of them
+    by_window = lambda x: x.withColumns({
+        f"{value}_ordinal": ordinal_rank(value, group, tie).cast("long"), f"{value}_rank": average_rank(value, group).cast("double"), f"{value}_dense_rank": dense_rank(value, group).cast("long"), f"{value}_percentile": percentile_of(value, group).cast("double"),
+        f"{value}_from_mean": from_mean(value, group), f"{value}_from_min": from_min(value, group), f"{value}_from_max": from_max(value, group),
+    })
+    if giants.isEmpty():
+        return by_window(df)
+    same = F.col(group).eqNullSafe(F.col("__g"))
+    small = by_window(df.join(F.broadcast(giants.select("__g")), same, "left_anti"))
+    rows = df.join(F.broadcast(giants), same).withColumn("__key", F.when(v.isNotNull(), F.struct(v.alias("v"), F.col(tie).alias("t"))))
+    narrow = stored(rows.filter(v.isNotNull()).select("__g", "__key"))
+    per_range = min(giant, ordered.PER_RANGE)
+    ranged = ordered.in_ranges(rows, ["__g"], "__key", per_range, narrow)
+    sizes = ordered.in_ranges(narrow, ["__g"], "__key", per_range).groupBy("__g", "__range").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select(F.col("__g").alias("__of"), F.col("__range").alias("__in"), (F.sum("__n").over(Window.partitionBy("__g").orderBy("__range")) - F.col("__n")).alias("__start"))  # a row for each range
+    placed = ranged.join(F.broadcast(starts), F.col("__g").eqNullSafe(F.col("__of")) & (F.col("__range") == F.col("__in")), "left").drop("__of", "__in")
+    placed = placed.withColumn("__ordinal", F.when(v.isNotNull(), F.row_number().over(Window.partitionBy("__g", "__range").orderBy(v, tie)) + F.col("__start")))
+    counts = stored(narrow.groupBy("__g", F.col("__key.v").alias("__v")).agg(F.count(F.lit(1)).alias("__n"), F.lit(1).alias("__one")))
+    counts = ordered.running(counts, ["__g"], "__v", "__n", "__upto", per_range).drop("__all")
+    counts = stored(ordered.running(stored(counts), ["__g"], "__v", "__one", "__dense", per_range).select(F.col("__g").alias("__of"), "__v", "__n", "__upto", "__dense"))
+    on = F.col("__g").eqNullSafe(F.col("__of")) & (v == F.col("__v"))
+    if counts.count() <= BROADCAST_VALUES:
+        joined = placed.join(F.broadcast(counts), on, "left")
+    else:  # a value may be that of most rows
+        salted = counts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = placed.withColumn("__own", F.pmod(F.xxhash64(tie), F.lit(SALTS)).cast("int")).join(salted, on & (F.col("__own") == F.col("__salt")), "left")
+    rank = F.col("__upto") - F.col("__n") + 1 + (F.col("__n") - 1) / 2.0
+    big = joined.select(
+        *df.columns, F.col("__ordinal").alias(f"{value}_ordinal"), rank.alias(f"{value}_rank"), F.col("__dense").alias(f"{value}_dense_rank"),
+        F.try_divide(rank - 1, (F.col("__known") - 1).cast("double")).alias(f"{value}_percentile"), (v - F.col("__mean")).alias(f"{value}_from_mean"), (v - F.col("__least")).alias(f"{value}_from_min"), (v - F.col("__most")).alias(f"{value}_from_max"),
+    )
+    return small.unionByName(big)

@@ -68,6 +68,20 @@ def window_kit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query("""
+x as (select case when ranker_id % 2 = 0 then 0 else ranker_id end as session, Id, cast(round(totalPrice, -4) as double) as price from sessions)
+select session, Id, row_number() over (partition by session order by price, Id) as price_ordinal,
+  rank() over (partition by session order by price) + (count(*) over (partition by session, price) - 1) / 2.0 as price_rank,
+  dense_rank() over (partition by session order by price) as price_dense_rank,
+  round((rank() over (partition by session order by price) + (count(*) over (partition by session, price) - 1) / 2.0 - 1) / nullif(count(price) over (partition by session) - 1, 0), 6) as price_percentile,
+  round(price - avg(price) over (partition by session), 4) as price_from_mean, round(price - min(price) over (partition by session), 4) as price_from_min, round(price - max(price) over (partition by session), 4) as price_from_max
+from x""")
+def giant_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks where one session holds half the rows, with many ties: it is cut into ranges, the others have windows."""
+    df = order_sessions(spark, sf_dir).select(F.when(F.col("ranker_id") % 2 == 0, 0).otherwise(F.col("ranker_id")).alias("session"), "Id", F.round(F.col("totalPrice"), -4).cast("double").alias("price"))
+    return _rounded(W.session_ranks(df, "price", "session", giant=1000)).select("session", "Id", "price_ordinal", "price_rank", "price_dense_rank", "price_percentile", *(F.round(f"price_from_{x}", 4).alias(f"price_from_{x}") for x in ("mean", "min", "max")))
+
+
 @_query("""
 select user_id, event_id,
   row_number() over (partition by user_id order by value, event_id) as value_ordinal,
@@ -348,6 +362,20 @@ def fold_aware_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("Id", F.round("totalPrice_mean", 4).alias("totalPrice_mean"), "totalPrice_count", "totalPrice_max")
 
 
+@_query("""
+v as (select distinct profileId as k, fold as f from sessions)
+select k as "profileId", f as fold, round(min(totalPrice), 4) as price_min, round(median(totalPrice), 4) as price_median, round(var_samp(totalPrice), 2) as price_var, round(min(miniRules0_monetaryAmount), 4) as fee_min,
+  round(median(miniRules0_monetaryAmount), 4) as fee_median, round(max(miniRules0_monetaryAmount), 4) as fee_max
+from v left join sessions on "profileId" = k and fold <> f group by 1, 2""")
+def medians_of_other_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians, extremes and variances of a traveller's prices and fees, for each fold from the others."""
+    wanted = {"totalPrice": ["min", "median", "var"], "miniRules0_monetaryAmount": ["min", "median", "max"]}
+    df = splits.fold_aware(order_sessions(spark, sf_dir), ["profileId"], wanted)
+    names = {f"totalPrice_{f}": f"price_{f}" for f in wanted["totalPrice"]} | {f"miniRules0_monetaryAmount_{f}": f"fee_{f}" for f in wanted["miniRules0_monetaryAmount"]}
+    once = df.groupBy("profileId", "fold").agg(*(F.first(a).alias(b) for a, b in names.items()))  # alike on all rows of a traveller and fold
+    return _rounded(once.select("profileId", "fold", *(F.round(c, 2 if c == "price_var" else 4).alias(c) for c in names.values())), 4)
+
+
 @_query("""
 t as (select legs0_segments0_marketingCarrier_code as k, fold, sum(selected) as s, count(*) as n from sessions group by 1, 2),
 a as (select k, sum(s) as s, sum(n) as n from t group by 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +22,10 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession) -> str:
     """A new folder for files that a query writes, in the shared one. It stays for as long as that is kept: results may be read from it later."""
     return f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` computed now, as a table in the shared folder: what reads it does not compute it again, nor does a lost executor."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
