@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import scalars as S
-from rankloom.operators import documents, encode, features, learn, metrics, quality, reports, splits, submission
+from rankloom.operators import documents, encode, features, learn, metrics, quality, reports, sketches, splits, submission
 from rankloom.operators import windows as W
 from rankloom.sessions import SESSIONS_SQL, order_sessions, read_table
 from rankloom.sources import tables
@@ -811,11 +811,21 @@ def rare_levels_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(documents.join_blocks(raw.select("p_partkey"), list(blocks.values()), group="p_partkey"))
 
 
-@_query("select unnest(['ranker_id', 'data', 'data.$values', 'data.$values.pricings.miniRules.category', 'data.$values.pricings.pricingInfo.faresInfo.baggageAllowance.quantity']) as key_path, round(100.0 * count(distinct l_orderkey) / count(distinct l_orderkey), 2) as percentage_present from lineitem", raw=True)
+_INFO = "data.$values.pricings.pricingInfo"
+#: Paths of the documents by the condition on the key that they occur under.
+_PATHS = {
+    "true": ["ranker_id", "request_time", "routeData", "routeData.requestDepartureDate", "data", "data.$values", *(f"data.$values.{x}" for x in ("id", "pricings", "pricings.id", "pricings.totalPrice", "pricings.miniRules", "pricings.miniRules.category", "pricings.miniRules.monetaryAmount")),
+             _INFO, f"{_INFO}.isAccessTP", f"{_INFO}.faresInfo", *(f"{_INFO}.faresInfo.{x}" for x in ("fareFamilyKey", "cabinClass", "seatsAvailable", "baggageAllowance", "baggageAllowance.quantity"))],
+    "l_orderkey % 7 <> 0": ["personalData", "personalData.yearOfBirth", "personalData.hasAssistant"],
+    "l_orderkey % 7 <> 0 and l_orderkey % 5 <> 0": ["personalData.isGlobal"],
+    "l_orderkey % 4 <> 0": ["routeData.requestReturnDate"],
+}
+
+
+@_query(" union all ".join(f"select unnest({paths}) as key_path, round(100.0 * count(distinct l_orderkey) filter (where {when}) / count(distinct l_orderkey), 2) as percentage_present from lineitem" for when, paths in _PATHS.items()), raw=True)
 def document_key_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The census of nested documents, some of its paths."""
-    wanted = ["ranker_id", "data", "data.$values", "data.$values.pricings.miniRules.category", "data.$values.pricings.pricingInfo.faresInfo.baggageAllowance.quantity"]
-    return documents.key_paths(order_documents(spark, sf_dir), "file").filter(F.col("key_path").isin(wanted))
+    """The census of nested documents: all paths, optional ones too."""
+    return documents.key_paths(order_documents(spark, sf_dir), "file")
 
 
 @_query("select fold, count(*) as n, count(distinct ranker_id) as n_groups from sessions group by 1")
@@ -824,3 +834,132 @@ def out_of_fold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = features.all_features(order_sessions(spark, sf_dir))
     oof, _ = learn.cross_validated(df, ["totalPrice", "price_rank"], learn.fit_pairwise)
     return oof.filter(F.col("predicted_score").isNotNull()).groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("ranker_id").alias("n_groups"))
+
+
+# -- files of many parts, bands, sketches, fixed models ---------------------------
+
+
+@_query("select o_orderkey from (select * from orders order by o_orderkey limit 5000)", raw=True)
+def first_orders_of_many_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rows of a folder whose files follow one another: the feature is the limit."""
+    path = scratch(spark)
+    read_table(spark, sf_dir, "orders").repartitionByRange(16, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    return tables.first_rows(spark, path, 5000).select("o_orderkey")
+
+
+@_query("""
+select cast(o_custkey as varchar) as ranker_id, count(*) as n_prices, round(sum(cast(o_totalprice as double)), 4) as total, max(o_orderpriority) as last_priority from orders group by 1""", raw=True)
+def documents_below_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON file for each customer, in folders by status; whole files are read, packed and taken apart."""
+    path = scratch(spark)
+    fares = F.array(F.struct(F.array(F.struct(F.col("o_orderstatus").alias("fareFamilyKey"))).alias("faresInfo")))
+    pricing = F.struct(F.col("o_orderkey").cast("string").alias("id"), F.col("o_totalprice").cast("double").alias("totalPrice"), fares.alias("pricingInfo"))
+    order = F.struct(F.col("o_orderpriority").alias("id"), F.array(pricing).alias("pricings"))
+    docs = read_table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").cast("string").alias("ranker_id")).agg(F.struct(F.collect_list(order).alias("$values")).alias("data"))
+    docs.withColumn("folder", F.col("ranker_id").cast("long") % 10).write.partitionBy("folder").option("maxRecordsPerFile", 1).json(f"{path}/in")
+    packed = tables.pack_documents(spark, f"{path}/in", f"{path}/packed", file_bytes=1 << 20)
+    found = documents.pricings(packed).groupBy("ranker_id")
+    return _rounded(found.agg(F.count(F.lit(1)).alias("n_prices"), F.sum("total_price_json").alias("total"), F.max("flight_id").alias("last_priority")), 4)
+
+
+@_query("""
+p as (select o_custkey as g, o_orderkey as k, o_totalprice + unnest([0.4, -0.3, 7.0, 0.5000001]) * (1 + o_orderkey % 3) as price from orders)
+select Id, (select arg_min(round(cast(price as double), 6), (abs(cast(totalPrice as double) - cast(price as double)), price)) from p where g = ranker_id and k = Id and abs(cast(totalPrice as double) - cast(price as double)) <= 0.75) as nearest from sessions""")
+def prices_within_a_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest price of each option that is at most 0.75 away."""
+    shift = F.explode(F.array(*(F.lit(x).cast("decimal(10,7)") for x in ("0.4", "-0.3", "7.0", "0.5000001")))).alias("shift")
+    shifted = read_table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", shift)
+    price = (F.col("o_totalprice") + F.col("shift") * (1 + F.col("o_orderkey") % 3)).cast("double")
+    priced = shifted.select(F.col("o_custkey").cast("string").alias("ranker_id"), F.col("o_orderkey").cast("string").alias("flight_id"), price.alias("total_price_json"))
+    return documents.join_prices_within(order_sessions(spark, sf_dir), priced, 0.75).select("Id", F.round("total_price_json", 6).alias("nearest"))
+
+
+_SKETCHED = ("totalPrice", "miniRules0_monetaryAmount", "ranker_id")
+
+
+@_query(" union all ".join(f"select '{c}' as \"column\", count(*) as n_rows, count(*) - count({c}) as n_null, round(cast(min({c}) as double), 4) as least, round(cast(max({c}) as double), 4) as greatest, true as distinct_near, true as quantiles_near from sessions" for c in _SKETCHED))
+def merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each fold, stored, read back and put together; their figures beside the exact ones: distinct within 3 %, quantiles' ranks within 2 %."""
+    df = order_sessions(spark, sf_dir)
+    path = scratch(spark)
+    sketches.sketched(df, list(_SKETCHED), ["fold"]).write.parquet(path)
+    found = sketches.read_off(sketches.merged(spark.read.parquet(path)), (0.25, 0.5, 0.95))
+    share = lambda c, p: F.struct(F.avg((F.col(c) < F.col(p)).cast("double")).alias("below"), F.avg((F.col(c) <= F.col(p)).cast("double")).alias("upto"))
+    out = []
+    for c in _SKETCHED:
+        one = found.filter(F.col("column") == c).select("n_distinct", "p25", "p50", "p95")
+        exact = df.select(F.col(c).cast("double").alias("x")).filter("x is not null").join(F.broadcast(one), F.lit(True))  # one row
+        held = exact.agg(F.count_distinct("x").alias("d"), F.first("n_distinct").alias("e"), *(share("x", p).alias(p) for p in ("p25", "p50", "p95")))
+        near = [(F.col(f"{p}.below") <= q + 0.02) & (F.col(f"{p}.upto") >= q - 0.02) for p, q in (("p25", 0.25), ("p50", 0.5), ("p95", 0.95))]
+        out.append(held.select(F.lit(c).alias("of"), (F.abs(F.col("d") - F.col("e")) <= 0.03 * F.col("d")).alias("distinct_near"), (near[0] & near[1] & near[2]).alias("quantiles_near")))
+    checks = out[0].unionAll(out[1]).unionAll(out[2])
+    return _rounded(found.join(F.broadcast(checks), F.col("column") == F.col("of")).select("column", "n_rows", "n_null", "least", "greatest", "distinct_near", "quantiles_near"), 4)
+
+
+@_query("""
+a as (select o_custkey as k, avg(l_extendedprice) as p from orders join lineitem on l_orderkey = o_orderkey group by 1)
+select Id, ranker_id, "profileId", selected, round(totalPrice / nullif(p, 0), 6) as price_vs_avg_search_price, count(*) over (partition by ranker_id) as group_size,
+  row_number() over (partition by ranker_id order by totalPrice, Id) as price_rank from sessions left join a on k = ranker_id where "profileId" in (1, 4, 9)""")
+def training_on_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training frame of chosen travellers."""
+    items = read_table(spark, sf_dir, "lineitem").join(read_table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    aggregates = items.groupBy(F.col("o_custkey").alias("ranker_id")).agg(F.avg("l_extendedprice").alias("avg_total_price"))
+    df = features.training_frame(order_sessions(spark, sf_dir), aggregates, profiles=[1, 4, 9])
+    return _rounded(df.select("Id", "ranker_id", "profileId", "selected", "price_vs_avg_search_price", "group_size", "price_rank"))
+
+
+@_query("""
+select Id, round((-0.001 * totalPrice + 2 * coalesce(miniRules0_monetaryAmount, 0) + 0.5 * row_number() over (partition by ranker_id order by totalPrice, Id)) / 2, 6) as predicted_score from sessions""")
+def averaged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of two rankers' scores, with given weights."""
+    df = order_sessions(spark, sf_dir).withColumns({"price_rank": W.ordinal_rank("totalPrice"), "fee": F.coalesce("miniRules0_monetaryAmount", F.lit(0.0))})
+    models = [learn.weighted({"totalPrice": -0.001, "fee": 2.0}), learn.weighted({"price_rank": 0.5})]
+    return learn.averaged(df, models, ["totalPrice", "fee", "price_rank"]).select("Id", F.round("predicted_score", 6).alias("predicted_score"))
+
+
+@_query(_RANKED + _KS + " from r group by ranker_id), f as (select fold, avg(g3) as g from s join (select distinct ranker_id, fold from sessions) using (ranker_id) where n >= 11 group by fold) select round(avg(g), 6) as ndcg_3 from f")
+def mean_over_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean of the folds' mean NDCG: every fold weighs the same."""
+    return _rounded(learn.mean_over_folds(order_sessions(spark, sf_dir), 3))
+
+
+@_query(f"""
+x as (select Id, ranker_id, selected, cast(totalPrice as double) / 100000 as a, row_number() over (partition by ranker_id order by totalPrice, Id) / 10.0 as b from sessions),
+e as (select *, exp(0.3 * b - 0.5 * a) as e, 0.3 * b - 0.5 * a as s from x),
+g as (select sum(e) as z, sum(s) filter (where selected = 1) as good, sum(e * a) as ea, sum(e * b) as eb, sum(a) filter (where selected = 1) as sa, sum(b) filter (where selected = 1) as sb from e group by ranker_id having sum(selected) > 0)
+select count(*) as n_groups, round(avg(ln(z) - good), 6) as loss, round(avg(ea / z - sa), 6) as slope_a, round(avg(eb / z - sb), 6) as slope_b from g""")
+def listwise_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss and gradient of the listwise ranker at given weights."""
+    df = order_sessions(spark, sf_dir).select("ranker_id", "selected", F.array(F.col("totalPrice").cast("double") / 100000, W.ordinal_rank("totalPrice") / 10.0).alias("x"))
+    found = learn.softmax_gradient(df, [-0.5, 0.3])
+    return _rounded(found.select("n_groups", "loss", F.get("gradient", F.lit(0)).alias("slope_a"), F.get("gradient", F.lit(1)).alias("slope_b")))
+
+
+@_query()
+def listwise_and_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NDCG at 3 of the two linear rankers, out of fold."""
+    df = order_sessions(spark, sf_dir).withColumns({"price_rank": W.ordinal_rank("totalPrice"), "hour": F.hour(F.col("legs0_departureAt").cast("timestamp")), "fold": F.col("fold") % 2})
+    out = []
+    for name, fit in (("pairwise", learn.fit_pairwise), ("listwise", learn.fit_listwise)):
+        oof, _ = learn.cross_validated(df, ["totalPrice", "price_rank", "hour"], fit)
+        out.append(learn.mean_over_folds(oof, 3).select(F.lit(name).alias("ranker"), "ndcg_3"))
+    return out[0].unionAll(out[1])
+
+
+@_query()
+def halved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of the pairwise ranker, halved on growing shares of the sessions."""
+    df = order_sessions(spark, sf_dir).withColumns({"price_rank": W.ordinal_rank("totalPrice"), "fold": F.col("fold") % 2})
+    return learn.halved(df, ["totalPrice", "price_rank"], {"reg": [0.001, 0.01, 0.1, 1.0]}, keep=2, rounds=2)
+
+
+@_query("""
+m as (select avg(totalPrice) as p, avg(coalesce(miniRules0_monetaryAmount, 0)) as f from sessions),
+w as (select Id, -0.001 * (cast(totalPrice as double) - p) as price, 2 * (coalesce(miniRules0_monetaryAmount, 0) - f) as fee from sessions, m where selected = 1)
+select Id, 'totalPrice' as feature, round(price, 4) as gain from w union all select Id, 'fee', round(fee, 4) from w""")
+def attributions_of_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapley values of the chosen options under a linear ranker: each weight times the distance from the mean."""
+    df = order_sessions(spark, sf_dir).withColumns({"fee": F.coalesce("miniRules0_monetaryAmount", F.lit(0.0)), "totalPrice": F.col("totalPrice").cast("double")})
+    base = df.agg(F.avg("totalPrice").alias("totalPrice"), F.avg("fee").alias("fee")).first().asDict()
+    found = learn.attributions(df.filter("selected = 1"), learn.weighted({"totalPrice": -0.001, "fee": 2.0}), ["totalPrice", "fee"], base, draws=3)
+    return _rounded(found, 4)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,10 +36,26 @@ def partitioned(spark: SparkSession, root: str, split: str, columns: list[str] |
     return df
 
 
+#: So many files are named to the reader one by one; beyond, rows meet the files' starts.
+MOST_NAMED = 1000
+
+
 def first_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """The first n rows of a file, in file order."""
+    """The first n rows of a file, or of a folder's files by name, each in file order.
+
+    Row counts come from the files' footers; files that start at row n or later are not read.
+    """
     df = spark.read.parquet(path)
-    return df.filter(F.col("_metadata.row_index") < n)
+    sizes = df.groupBy(F.col("_metadata.file_path").alias("__path")).agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.withColumn("__start", F.sum("__n").over(Window.orderBy("__path")) - F.col("__n")).filter(F.col("__start") < n)  # a row for each file
+    named = starts.limit(MOST_NAMED + 1).collect()
+    if len(named) <= MOST_NAMED:
+        if not named:
+            return df.limit(0)
+        df = spark.read.schema(df.schema).parquet(*(r["__path"] for r in named))
+        starts = spark.createDataFrame(named, starts.schema)
+    placed = df.select("*", F.col("_metadata.file_path").alias("__of"), F.col("_metadata.row_index").alias("__row")).join(F.broadcast(starts), F.col("__of") == F.col("__path"))
+    return placed.filter(F.col("__start") + F.col("__row") < n).select(df.columns)
 
 
 def schema_info(spark: SparkSession, path: str) -> DataFrame:
@@ -85,8 +101,17 @@ def write_parquet(df: DataFrame, path: str, rows_per_file: int = 64_000 * 16) ->
     df.write.mode("overwrite").option("compression", "snappy").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
-def append_parquet(df: DataFrame, path: str) -> None:
-    df.write.mode("append").option("compression", "snappy").parquet(path)
+def append_parquet(df: DataFrame, path: str, rows_per_group: int = 64_000) -> None:
+    """Adds files whose row groups hold at most so many rows each: a reader's, and the writer's buffer."""
+    df.write.mode("append").option("compression", "snappy").option("parquet.block.row.count.limit", rows_per_group).parquet(path)
+
+
+def pack_documents(spark: SparkSession, root: str, path: str, file_bytes: int = 128 << 20) -> DataFrame:
+    """The ``*.json`` files below root as a table (file, value) of files of about so many bytes: many small files are listed and opened once."""
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(root).agg(F.sum("length"))
+    total = sizes.first()[0] or 0
+    json_documents(spark, root).repartition(max(1, -(-total // file_bytes)), "file").write.mode("overwrite").option("compression", "zstd").parquet(path)
+    return spark.read.schema("file string, value string").parquet(path)
 
 
 def write_small_csv(df: DataFrame, path: str) -> None:
