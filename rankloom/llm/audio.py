@@ -1,7 +1,9 @@
 """Media columns: chroma audio fingerprints, and alignment of recordings by them.
 
-``fingerprints`` turns a column of recordings (PCM, 16 bit, mono, or WAV of it)
-into arrays of 32-bit integers. Short-time spectra are folded into twelve pitch
+``fingerprints`` turns a column of recordings (bare PCM, 16 bit, mono, at ``rate``; or WAV, PCM of 8
+to 32 bits or floats, of any rate and number of channels, which are brought to it)
+into arrays of 32-bit integers. A recording is read in pieces: beside its bytes a worker holds
+some 300 bytes for each frame of it. Short-time spectra are folded into twelve pitch
 classes per frame; an integral image over frames and classes gives the sum of any
 rectangle in four look-ups; sixteen rectangle filters, each quantised to two bits
 in Gray code, make the integer of a frame.
@@ -20,8 +22,8 @@ equal integers.
 such, cut, quieter and noisy, from recordings. ``melodies`` renders a column of numeric
 vectors as recordings, a note for each component, for tables that hold no audio.
 
-Defined results: a recording that is null, empty or shorter than one filter has
-an empty fingerprint and aligns with nothing; in ``align`` a recording does not match
+Defined results: a recording that is null, empty, shorter than one filter, or a WAV file of
+another format (compressed, damaged) has an empty fingerprint and aligns with nothing; in ``align`` a recording does not match
 itself (rows of the same id count as itself), in ``search`` ids of clips and recordings
 have nothing to do with each other; of equal errors the longer overlap, then
 the smaller id is best; null ids are no queries; an empty table gives an empty
@@ -31,6 +33,7 @@ result; other columns are not read.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -61,25 +64,75 @@ QUERIES = 4096
 #: Equal integers and cells of histograms that are held at a time.
 HITS = 1 << 22
 CLIPS = 64
+#: Samples of a piece of a recording, and frames whose spectra are held at a time.
+PIECE, FRAMES = 1 << 20, 4096
+#: WAV formats by kind and bits: how samples are stored, and their full scale over that of 16 bits.
+FORMATS = {(1, 8): (np.uint8, 1.0), (1, 16): ("<i2", 1.0), (1, 24): (None, 1 / 256), (1, 32): ("<i4", 1 / 65536), (3, 32): ("<f4", 32768.0), (3, 64): ("<f8", 32768.0)}
 
 
 # -- fingerprints -------------------------------------------------------------
 
 
-def _pcm(data: bytes | None) -> np.ndarray:
-    """Samples of 16-bit mono PCM, bare or in a WAV file."""
+def _opened(data: bytes | None) -> tuple[np.ndarray, int | None, float]:
+    """(frames by channels as they stand, samples a second, the value of full scale over that of 16 bits); no rate where the data is bare 16-bit mono PCM."""
     data = data or b""
-    if data[:4] == b"RIFF":
-        at = 12
-        while at + 8 <= len(data):
-            size = int.from_bytes(data[at + 4 : at + 8], "little")
-            if data[at : at + 4] == b"data":
-                data = data[at + 8 : at + 8 + size]
+    if data[:4] != b"RIFF":
+        return np.frombuffer(data, "<i2", len(data) // 2)[:, None], None, 1.0
+    at, form = 12, b""
+    while at + 8 <= len(data):
+        size = int.from_bytes(data[at + 4 : at + 8], "little")
+        if data[at : at + 4] == b"fmt ":
+            form = data[at + 8 : at + 8 + size]
+        if data[at : at + 4] == b"data" and len(form) >= 16:
+            kind, channels, rate, _, _, bits = struct.unpack("<HHIIHH", form[:16])
+            if kind == 0xFFFE and len(form) >= 26:  # the kind proper is in the extension
+                kind = struct.unpack("<H", form[24:26])[0]
+            found = FORMATS.get((kind, bits))
+            if not found or not channels or not rate:
                 break
-            at += 8 + size + size % 2
-        else:
-            data = b""
-    return np.frombuffer(data[: len(data) // 2 * 2], "<i2").astype(np.float32)
+            width, body = bits // 8 * channels, memoryview(data)[at + 8 : min(len(data), at + 8 + size)]
+            n = len(body) // width
+            if bits == 24:
+                bytes_ = np.frombuffer(body, np.uint8, n * width).reshape(n, channels, 3)
+                return bytes_, rate, 1 / 256
+            return np.frombuffer(body, found[0], n * channels).reshape(n, channels), rate, found[1]
+        at += 8 + size + size % 2
+    return np.zeros((0, 1), np.int16), None, 1.0
+
+
+def _pieces(data: bytes | None, rate: int) -> Iterator[np.ndarray]:
+    """The samples of a recording, channels averaged, at ``rate``, a bounded number at a time.
+
+    A file of another rate is brought to it by means over a sample's width (between samples where it is slower).
+    """
+    raw, own, scale = _opened(data)
+
+    def mono(first: int, last: int) -> np.ndarray:
+        part = raw[first:last]
+        if part.ndim == 3:  # 24 bits
+            wide = np.zeros((*part.shape[:2], 4), np.uint8)
+            wide[..., 1:] = part
+            part = wide.view("<i4")[..., 0] / 256
+        value = part.astype(np.float32).mean(axis=1)
+        return ((value - 128) * 256 if part.dtype == np.uint8 else value * np.float32(scale)).astype(np.float32)
+
+    if own is None or own == rate:
+        for at in range(0, len(raw), PIECE):
+            yield mono(at, at + PIECE)
+        return
+    ratio = own / rate
+    for at in range(0, int(len(raw) / ratio), PIECE):
+        middle = (np.arange(at, min(at + PIECE, int(len(raw) / ratio))) + 0.5) * ratio  # in samples of the file
+        half = max(1.0, ratio) / 2
+        low, high = np.clip(middle - half, 0, len(raw)), np.clip(middle + half, 0, len(raw))
+        first = int(low[0])
+        sums = np.concatenate([[0.0], np.cumsum(mono(first, int(np.ceil(high[-1])) + 1), dtype=np.float64)])
+        places = np.arange(len(sums), dtype=np.float64)
+        yield ((np.interp(high - first, places, sums) - np.interp(low - first, places, sums)) / np.maximum(high - low, 1e-9)).astype(np.float32)
+
+
+def _pcm(data: bytes | None, rate: int = RATE) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.float32), *_pieces(data, rate)])
 
 
 def _class_weights(rate: int) -> np.ndarray:
@@ -91,14 +144,20 @@ def _class_weights(rate: int) -> np.ndarray:
     return out
 
 
-def chroma(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """Frames by pitch classes, each frame of length one (or zero)."""
-    if len(samples) < FRAME:
-        return np.zeros((0, CLASSES), np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME).astype(np.float32), axis=1)).astype(np.float32) ** 2
-    found = np.sqrt(power @ _class_weights(rate))
-    return found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-6)
+def chroma(samples: np.ndarray | Iterator[np.ndarray], rate: int = RATE) -> np.ndarray:
+    """Frames by pitch classes, each frame of length one (or zero); of samples, whole or in pieces."""
+    weights, window, out, rest = _class_weights(rate), np.hanning(FRAME).astype(np.float32), [np.zeros((0, CLASSES), np.float32)], np.zeros(0, np.float32)
+    for piece in [samples] if isinstance(samples, np.ndarray) else samples:
+        rest = np.concatenate([rest, piece])
+        n = (len(rest) - FRAME) // HOP + 1 if len(rest) >= FRAME else 0
+        for k in range(0, n, FRAMES):
+            many = min(FRAMES, n - k)
+            frames = np.lib.stride_tricks.sliding_window_view(rest[k * HOP : (k + many - 1) * HOP + FRAME], FRAME)[::HOP]
+            power = np.abs(np.fft.rfft(frames * window, axis=1)).astype(np.float32) ** 2
+            found = np.sqrt(power @ weights)
+            out.append(found / np.maximum(np.linalg.norm(found, axis=1, keepdims=True), 1e-6))
+        rest = rest[n * HOP :]
+    return np.concatenate(out)
 
 
 def _rectangles() -> list[tuple[int, int, int, int]]:
@@ -143,7 +202,7 @@ def fingerprints(recordings: DataFrame, *, id_column: str, audio_column: str, ra
         for batch in batches:
             for at in range(0, batch.num_rows, CLIPS):
                 part = batch.slice(at, CLIPS)
-                made = [integers(chroma(_pcm(x.as_py()), rate)).view(np.int32) for x in part.column(1)]
+                made = [integers(chroma(_pieces(x.as_py(), rate), rate)).view(np.int32) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int32()))], names=[id_column, "print"])
 
     return recordings.select(F.col(id_column), F.col(audio_column)).mapInArrow(run, schema)

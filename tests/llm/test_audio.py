@@ -1,6 +1,7 @@
 """Audio fingerprints: shifts and noise, alignment against brute force, edge cases."""
 
 import io
+import struct
 import wave
 
 import numpy as np
@@ -163,3 +164,58 @@ def test_query(spark):
     n = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 20 = 0").count()
     assert len(got) == n and all(r["vec_id"] % 20 == 0 for r in got)
     assert sum(r["best_id"] == r["vec_id"] for r in got) >= 0.9 * n
+
+
+def wav(samples, channels=1, bits=16, rate=audio.RATE, kind=1):
+    """A WAV file of samples (frames by channels, of full scale 1)."""
+    x = np.asarray(samples, float).reshape(-1, channels)
+    if kind == 3:
+        body = x.astype(f"<f{bits // 8}").tobytes()
+    elif bits == 8:
+        body = (np.round(x * 127) + 128).astype(np.uint8).tobytes()
+    elif bits == 24:
+        body = np.round(x * (2**23 - 1)).astype("<i4").reshape(-1, 1).view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    else:
+        body = np.round(x * (2 ** (bits - 1) - 1)).astype(f"<i{bits // 8}").tobytes()
+    form = struct.pack("<HHIIHH", kind, channels, rate, rate * channels * bits // 8, channels * bits // 8, bits)
+    chunks = b"fmt " + struct.pack("<I", 16) + form + b"LIST" + struct.pack("<I", 3) + b"abc\0" + b"data" + struct.pack("<I", len(body)) + body
+    return b"RIFF" + struct.pack("<I", 4 + len(chunks)) + b"WAVE" + chunks
+
+
+def tune(rate, seconds=4):
+    t = np.arange(rate * seconds) / rate
+    return 0.4 * np.sin(2 * np.pi * 440 * 2 ** (np.floor(4 * t) % 7 / 12) * t) + 0.1 * np.sin(2 * np.pi * 220 * t)
+
+
+@pytest.mark.parametrize(("channels", "bits", "kind"), [(1, 8, 1), (2, 16, 1), (1, 24, 1), (3, 24, 1), (1, 32, 1), (2, 32, 3), (1, 64, 3)])
+def test_formats_of_wav_files(channels, bits, kind):
+    plain = tune(audio.RATE)
+    many = np.stack([plain * (k + 1) * 2 / (channels + 1) for k in range(channels)], axis=1)  # their mean is the plain one
+    got = audio._pcm(wav(many, channels, bits, kind=kind))
+    assert len(got) == len(plain) and np.abs(got / 32768 - plain).max() < (0.02 if bits == 8 else 1e-3)
+    errors = np.bitwise_count(audio.integers(audio.chroma(got)) ^ audio.integers(audio.chroma((plain * 32768).astype(np.float32)))).mean() / 32
+    assert errors < (0.1 if bits == 8 else 0.01)
+
+
+@pytest.mark.parametrize("rate", [8000, 44_100, 48_000, 2048])
+def test_other_rates(rate):
+    """A file of another rate is the same recording: its print agrees."""
+    want, got = (audio.integers(audio.chroma(audio._pcm(wav(tune(r), rate=r)))) for r in (audio.RATE, rate))
+    assert abs(len(want) - len(got)) <= 1
+    n = min(len(want), len(got))
+    assert np.bitwise_count(want[:n] ^ got[:n]).mean() / 32 < 0.12
+
+
+def test_pieces_make_no_difference(monkeypatch):
+    data = wav(tune(8000), rate=8000)
+    whole = audio._pcm(data), audio.chroma(audio._pieces(data, audio.RATE))
+    monkeypatch.setattr(audio, "PIECE", 777)
+    monkeypatch.setattr(audio, "FRAMES", 5)
+    assert np.allclose(audio._pcm(data), whole[0], atol=1e-2) and np.allclose(audio.chroma(audio._pieces(data, audio.RATE)), whole[1], atol=1e-3)
+
+
+def test_files_of_other_kinds_have_no_samples():
+    good = wav(tune(audio.RATE))
+    for data in (None, b"", b"R", b"RIFF", good[:30], wav([0.1] * 99, kind=7), good.replace(b"fmt ", b"xxxx")):
+        assert len(audio._pcm(data)) <= 1
+    assert len(audio._pcm(good[:5000])) == (5000 - len(wav([]))) // 2  # a file that was cut off
