@@ -6,14 +6,14 @@ and the L1 term keeps most weights at zero: the model is a short list of places
 and weights, which goes to every task.
 
 Training takes a bounded sample of the labelled rows (``most`` rows, those of
-smallest hash of id). It is cut into shards of ``shard_rows`` rows; each shard is
+smallest hash of id), hashed to features where it is read. It is cut into shards of ``shard_rows`` rows; each shard is
 trained by one Spark task, and the model is the mean of the shards' weights.
 Scoring is one pass of Arrow batches over all texts.
 
 Defined results: a null or empty text has the score of the bias alone; rows
 without a label are not learned from; where a document has several labels, the
-highest counts, where several documents share an id, the least text (so training has at most
-``most`` texts); without any labelled row every score is 0.0; repeated rows each
+highest counts, where several documents share an id, one of them does (so training has at most
+``most`` documents); without any labelled row every score is 0.0; repeated rows each
 get their score; other columns are not read.
 """
 
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_small_batches
+from .common import freeing, in_small_batches
 
 BITS = 20
 MOST_ROWS = 20_000
@@ -106,14 +106,19 @@ class Model:
         return out
 
 
-def _trained(texts: list[str], labels: np.ndarray, bits: int, epochs: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """(places, weights, bias) after FTRL-proximal passes in the given order."""
+def _places(texts: list[str], bits: int, hashes: _Hashes) -> list[np.ndarray]:
+    """The distinct places of each text's features, in order."""
     rows = []
-    for count, words, doc in _batches(texts, _Hashes()):
+    for count, words, doc in _batches(texts, hashes):
         docs, places = features(words, doc, bits)
         key = np.unique(docs << bits | places)
         ends = np.searchsorted(key >> bits, np.arange(count + 1))
         rows += [(key[ends[k] : ends[k + 1]] & ((1 << bits) - 1)).astype(np.int32) for k in range(count)]
+    return rows
+
+
+def _fitted(rows: list[np.ndarray], labels: np.ndarray, bits: int, epochs: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(places, weights, bias) after FTRL-proximal passes over rows of places in the given order."""
     z, n = np.zeros(1 << bits), np.zeros(1 << bits)
     rate = min(max(labels.mean(), 1e-3), 1 - 1e-3)
     bias, bias_n = float(np.log(rate / (1 - rate))), 0.0
@@ -132,18 +137,31 @@ def _trained(texts: list[str], labels: np.ndarray, bits: int, epochs: int) -> tu
     return places, w[places], bias
 
 
+def _hashed(rows: DataFrame, bits: int) -> DataFrame:
+    """(order, y, text) to (order, y, places): what is shuffled and gathered is numbers of features, not texts."""
+    schema = T.StructType([rows.schema["order"], rows.schema["y"], T.StructField("places", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            found = _places(batch.column(2).to_pylist(), bits, hashes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=schema.names)
+
+    return in_small_batches(rows).mapInArrow(freeing(run), schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", bits: int = BITS, most: int = MOST_ROWS, shard_rows: int = SHARD_ROWS, epochs: int = EPOCHS) -> Model:
     """A model of ``labels`` (id, label): learned from at most ``most`` labelled rows."""
     marked = labels.filter(F.col(label_column).isNotNull() & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(F.col(label_column)).cast("int").alias("y"))
     sample = marked.withColumn("order", F.xxhash64("id")).orderBy("order", "id").limit(most)  # ids and labels alone: a bounded table
     texts = docs.select(F.col(id_column).alias("key"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     met = texts.join(F.broadcast(sample), F.col("key") == F.col("id"))
-    one = met.groupBy("id", "order", "y").agg(F.min("text").alias("text"))  # of rows that repeat an id the least text
-    joined = one.select("order", "text", "y", F.pmod("order", F.lit(max(1, -(-sample.count() // shard_rows)))).cast("int").alias("shard"))
+    one = _hashed(met.select("order", "y", "text"), bits).groupBy("order", "y").agg(F.min("places").alias("places"))  # one of the rows that repeat an id
+    joined = one.select("order", "places", "y", F.pmod("order", F.lit(max(1, -(-sample.count() // shard_rows)))).cast("int").alias("shard"))
 
     def shard(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["order", "text"], kind="stable")
-        places, weights, bias = _trained(rows["text"].tolist(), rows["y"].to_numpy(float), bits, epochs)
+        rows = rows.sort_values("order", kind="stable")
+        places, weights, bias = _fitted([np.asarray(x, np.int32) for x in rows["places"]], rows["y"].to_numpy(float), bits, epochs)
         out = pd.DataFrame({"place": np.append(places, -1), "weight": np.append(weights, bias)})
         return out.assign(rows=len(rows))
 

@@ -89,7 +89,7 @@ def test_ftrl_against_loops(monkeypatch):
     rng = random.Random(4)
     texts = [" ".join(rng.choice(["good", "bad", "awful", "nice", "day", "you", "are"]) for _ in range(rng.randrange(9))) for _ in range(60)]
     labels = [int("awful" in t and "you" in t) for t in texts]
-    places, weights, bias = toxicity._trained(texts, np.array(labels, float), 16, 3)
+    places, weights, bias = toxicity._fitted(toxicity._places(texts, 16, toxicity._Hashes()), np.array(labels, float), 16, 3)
     expected, due = plain_ftrl(texts, labels, 16, 3)
     assert len(expected) > 20 and dict(zip(places.tolist(), weights, strict=True)) == pytest.approx(expected) and bias == pytest.approx(due)
 
