@@ -12,7 +12,7 @@ from rankloom.operators import documents, encode, features, learn, metrics, qual
 from rankloom.operators import windows as W
 from rankloom.sessions import SESSIONS_SQL, order_sessions, read_table
 from rankloom.sources import tables
-from rankloom.storage import scratch
+from rankloom.storage import scratch, stored
 from rankloom.streaming import ingest
 
 QUERIES: dict = {}
@@ -618,7 +618,7 @@ _FEATURES = ["totalPrice", "price_rank", "price_percentile", "departure_hour", "
 @_query()
 def out_of_fold_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairwise rankers over five group folds, and their ranking summary."""
-    df = features.all_features(order_sessions(spark, sf_dir)).persist()
+    df = stored(features.all_features(order_sessions(spark, sf_dir)))
     oof, _ = learn.cross_validated(df, _FEATURES, learn.fit_pairwise)
     return _rounded(metrics.summary(oof))
 
@@ -626,7 +626,7 @@ def out_of_fold_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def ranker_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a boosted pointwise ranker weighs."""
-    df = features.all_features(order_sessions(spark, sf_dir)).persist()
+    df = stored(features.all_features(order_sessions(spark, sf_dir)))
     return learn.importance(learn.fit_pointwise(df, _FEATURES, trees=5, depth=3), _FEATURES)
 
 
