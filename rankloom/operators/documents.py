@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rankloom.functions.scalars import flex_score
 from rankloom.operators.encode import collapse_rare
 from rankloom.sessions import GROUP
-from rankloom.storage import shared_dir
+from rankloom.storage import shared_dir, stored
 
 #: The rule categories of cancellation and exchange.
 CANCEL, EXCHANGE = 31, 33
@@ -123,30 +123,49 @@ def mapped(docs: DataFrame, feature_map: list[dict], key: Column, text: str = "v
     return rows.select(out)
 
 
-def key_paths(docs: DataFrame, document: str, text: str = "value") -> DataFrame:
-    """(key_path, percentage_present): in how many of the documents each dotted path occurs.
+def _shape(v: Column) -> Column:
+    """The type of a parsed document, null where lists mix kinds, so that the type doesn't tell all paths."""
+    found = F.schema_of_variant(v)
+    plain = F.when(F.contains(found, F.lit("`")), found).otherwise(F.regexp_replace(found, r"DECIMAL\(\d+,\d+\)", "DECIMAL"))
+    return F.when(~F.contains(found, F.lit("VARIANT")), plain)
 
-    Items of a list have their list's path. The walk goes down level by level until
-    a level is empty; each level is checkpointed, so none is parsed twice.
-    """
-    shared_dir(docs.sparkSession)
-    rows = docs.select(F.col(document).alias("d"), F.try_parse_json(text).alias("v")).filter(F.col("v").isNotNull())
-    total = rows.agg(F.count_distinct("d").alias("n"))
-    level = rows.select("d", F.lit(None).cast("string").alias("path"), F.to_json("v").alias("v"))
-    found = []
+
+def _walked(rows: DataFrame) -> DataFrame:
+    """Distinct (k, path) of ``rows`` (k, w: variant), level by level until a level is empty; each level is checkpointed, so none is taken apart twice."""
+    level, found = rows.select("k", F.lit(None).cast("string").alias("path"), "w"), []
     while True:
-        v = F.try_parse_json("v")
         fields = F.map_entries(F.try_variant_get("w", "$", "map<string, variant>"))
-        named = F.transform(fields, lambda e: F.struct(F.when(F.col("path").isNull(), e["key"]).otherwise(F.concat(F.col("path"), F.lit("."), e["key"])).alias("path"), e["value"].alias("v"), F.lit(True).alias("named")))
-        items = F.transform(F.try_variant_get("w", "$", "array<variant>"), lambda x: F.struct(F.col("path").alias("path"), x.alias("v"), F.lit(False).alias("named")))
-        below = level.withColumn("w", v).select("d", F.explode(F.coalesce(named, items)).alias("c")).select("d", "c.path", F.to_json("c.v").alias("v"), "c.named")
-        level = below.checkpoint()
+        named = F.transform(fields, lambda e: F.struct(F.when(F.col("path").isNull(), e["key"]).otherwise(F.concat(F.col("path"), F.lit("."), e["key"])).alias("path"), e["value"].alias("w"), F.lit(True).alias("named")))
+        items = F.transform(F.try_variant_get("w", "$", "array<variant>"), lambda x: F.struct(F.col("path").alias("path"), x.alias("w"), F.lit(False).alias("named")))
+        level = level.select("k", F.explode(F.coalesce(named, items)).alias("c")).select("k", "c.path", "c.w", "c.named").checkpoint()
         if level.isEmpty():
             break
-        found.append(level.filter("named").select("d", "path"))
-    if not found:
-        return rows.limit(0).select(F.lit("").alias("key_path"), F.lit(0.0).alias("percentage_present"))
-    each = reduce(DataFrame.unionAll, found).distinct().groupBy(F.col("path").alias("key_path")).agg(F.count(F.lit(1)).alias("n_docs"))
+        found.append(level.filter("named").select("k", "path"))
+    return reduce(DataFrame.unionAll, found).distinct() if found else rows.limit(0).select("k", F.lit("").alias("path"))
+
+
+def key_paths(docs: DataFrame, document: str, text: str = "value") -> DataFrame:
+    """(key_path, percentage_present): in how many of the documents each dotted path occurs.
+
+    Items of a list have their list's path. Documents of one type (that of the parsed
+    document) have the same paths, so one of each type is taken apart, and types are counted;
+    documents whose lists mix kinds are taken apart one by one. A document's text may
+    be spread over rows; text that is no JSON is left out.
+    """
+    shared_dir(docs.sparkSession)
+    parsed = docs.select(F.col(document).alias("d"), F.col(text).alias("t"), F.try_parse_json(text).alias("w")).filter(F.col("w").isNotNull())
+    own = F.concat(F.lit("d"), F.to_json(F.struct("d")))  # the key of a document of its own
+    kinds = parsed.select("d", F.xxhash64("t").alias("at"), _shape(F.col("w")).alias("shape"))
+    pairs = stored(kinds.groupBy("d", F.coalesce(F.concat(F.lit("s"), "shape"), own).alias("k")).agg(F.min("at").alias("at"), F.bool_or(F.col("shape").isNull()).alias("mixed")))
+    chosen = pairs.filter(~F.col("mixed")).groupBy(F.col("k").alias("of")).agg(F.min("at").alias("at"))
+    shaped = parsed.select("d", "t", F.xxhash64("t").alias("here"), _shape(F.col("w")).alias("shape")).join(chosen, F.col("here") == F.col("at"), "left")
+    texts = shaped.filter("at is not null or shape is null").select(F.coalesce(F.concat(F.lit("s"), "shape"), own).alias("k"), "t").dropDuplicates()
+    paths = stored(_walked(texts.select("k", F.try_parse_json("t").alias("w"))))
+    of = pairs.groupBy("d").agg(F.count(F.lit(1)).alias("m"), F.min("k").alias("k"))  # nearly every document has one type
+    single = of.filter("m = 1").groupBy("k").agg(F.count(F.lit(1)).alias("n")).join(paths, "k").groupBy("path").agg(F.sum("n").alias("n"))
+    several = pairs.select("d", "k").join(of.filter("m > 1").select("d"), "d", "left_semi").join(paths, "k").select("d", "path").distinct().groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    each = single.unionAll(several).groupBy(F.col("path").alias("key_path")).agg(F.sum("n").alias("n_docs"))
+    total = of.agg(F.count(F.lit(1)).alias("n"))
     return each.join(F.broadcast(total), F.lit(True)).select("key_path", F.round(100.0 * F.col("n_docs") / F.col("n"), 2).alias("percentage_present")).orderBy(F.desc("percentage_present"), "key_path")
 
 

@@ -23,6 +23,9 @@ from rankloom.operators.splits import key_hash
 from rankloom.sessions import GROUP, ITEM, LABEL, SCORE
 from rankloom.storage import stored
 
+#: Rows that one task deals a column's values among.
+BUCKET_ROWS = 100_000
+
 
 def _vectors(features: list[str]) -> list:
     filled = [f"__{c}" for c in features]
@@ -220,19 +223,33 @@ def importance(model: PipelineModel, features: list[str], most: int = 30) -> Dat
     return SparkSession.active().createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(most)
 
 
-def permutation_importance(df: DataFrame, model: PipelineModel, features: list[str], k: int = 3, seed: int = 42, min_size: int = metrics.MIN_SIZE) -> DataFrame:
+def permutation_importance(df: DataFrame, model: PipelineModel, features: list[str], k: int = 3, seed: int = 42, min_size: int = metrics.MIN_SIZE, most: int | None = None) -> DataFrame:
     """(feature, drop): how much hit rate at k falls when a column's values are dealt to other rows.
 
-    Values move within hash buckets of rows, so nothing is sorted in one task.
+    All columns are dealt over one exchange, within hash buckets of some ``BUCKET_ROWS`` rows, so nothing is
+    sorted in one task; the rows then go through the model once for each feature and once
+    as they are, in one pass. ``most``: about so many rows, in whole sessions chosen by a hash.
     """
-    base = metrics.hit_rate(scored(df, model, features), k, min_size).first()[0]
-    found = []
-    for c in features:
-        bucket = F.pmod(F.xxhash64(F.col(ITEM), F.lit(seed)), F.lit(64))
-        w = Window.partitionBy("__b").orderBy(key_hash(ITEM, f"{seed}{c}"), ITEM)
-        shuffled = df.withColumn("__b", bucket).withColumn(c, F.coalesce(F.lag(c).over(w), F.last(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).drop("__b")
-        found.append((c, base - metrics.hit_rate(scored(shuffled, model, features), k, min_size).first()[0]))
-    return df.sparkSession.createDataFrame(found, "feature string, drop double").orderBy(F.desc("drop"), "feature")
+    n = df.count()
+    if most is not None and n > most:
+        df = df.filter(F.pmod(key_hash(GROUP, f"{seed}p"), F.lit(1 << 20)) < F.lit(most / n * (1 << 20)))
+        n = most
+    bucket = F.pmod(F.xxhash64(F.col(ITEM), F.lit(seed)), F.lit(n // BUCKET_ROWS + 1))
+    rows = _doubles(df.select(GROUP, ITEM, LABEL, *features), features).withColumn("__b", bucket)
+    whole = Window.partitionBy("__b").orderBy
+    dealt = {}
+    for j, c in enumerate(features):
+        w = whole(key_hash(ITEM, f"{seed}{c}"), ITEM)
+        dealt[f"__d{j}"] = F.when(F.row_number().over(w) == 1, F.last(c).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).otherwise(F.lag(c).over(w))
+    each = rows.withColumns(dealt).withColumn("__which", F.explode(F.sequence(F.lit(-1), F.lit(len(features) - 1))))
+    mixed = each.withColumns({c: F.when(F.col("__which") == j, F.col(f"__d{j}")).otherwise(F.col(c)) for j, c in enumerate(features)}).drop("__b", *dealt)
+    ranked = metrics.ranked(scored(mixed, model, features).withColumn("__of", F.struct("__which", GROUP)), min_size, group="__of")
+    hits = F.count_if((F.col(LABEL) == 1) & (F.col("rank") <= k)).cast("double")
+    rates = ranked.groupBy("__which").agg(F.try_divide(hits, F.count_distinct("__of").cast("double")).alias("rate"))
+    base = F.first(F.when(F.col("__which") == -1, F.col("rate")), ignorenulls=True)
+    one = rates.agg(base.alias("base"), F.map_from_entries(F.collect_list(F.struct("__which", "rate"))).alias("of"))  # a row for each feature
+    gains = F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.coalesce(F.col("base") - F.try_element_at("of", F.lit(j)), F.lit(0.0)).alias("drop")) for j, c in enumerate(features)))).alias("x")
+    return one.select(gains).select("x.*").orderBy(F.desc("drop"), "feature")
 
 
 def save(model: PipelineModel, path: str) -> None:

@@ -703,9 +703,13 @@ def bucketed_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(spark.table(name).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
 
 
-@_query()
+_COLUMNS = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+
+
+@_query(" union all ".join(f"select '{c}' as \"column\", case typeof(any_value({c})) when 'VARCHAR' then 'string' when 'TIMESTAMP' then 'timestamp_ntz' when 'INTEGER' then 'int' else lower(typeof(any_value({c}))) end as type from orders" for c in _COLUMNS), raw=True)
 def table_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.schema_info(spark, f"{sf_dir}/orders.parquet")
+    """Names and types of some of the columns."""
+    return tables.schema_info(spark, f"{sf_dir}/orders.parquet").filter(F.col("column").isin(*_COLUMNS)).select("column", "type")
 
 
 @_query()
@@ -963,3 +967,80 @@ def attributions_of_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = df.agg(F.avg("totalPrice").alias("totalPrice"), F.avg("fee").alias("fee")).first().asDict()
     found = learn.attributions(df.filter("selected = 1"), learn.weighted({"totalPrice": -0.001, "fee": 2.0}), ["totalPrice", "fee"], base, draws=3)
     return _rounded(found, 4)
+
+
+# -- guards, and learning whose outcome is known ---------------------------------
+
+
+def _refused(check, *args) -> bool:
+    try:
+        check(*args)
+    except ValueError:
+        return True
+    return False
+
+
+@_query("""
+h as (select count(*) > 0 as met from (select ranker_id from sessions where Id % 2 = 0 intersect select ranker_id from sessions where Id % 2 = 1)),
+f as (select count(*) > 0 as met from (select ranker_id from sessions where fold = 0 intersect select ranker_id from sessions where fold <> 0))
+select 'sessions in both halves of the rows' as guard, met as refused from h union all select 'sessions in two folds', met from f
+union all select 'label among the columns', true union all select 'label dropped', false""")
+def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the checks of splits and test tables refuse."""
+    df = order_sessions(spark, sf_dir)
+    found = [
+        ("sessions in both halves of the rows", _refused(splits.assert_no_shared_groups, df.filter("Id % 2 = 0"), df.filter("Id % 2 = 1"))),
+        ("sessions in two folds", _refused(splits.assert_no_shared_groups, df.filter("fold = 0"), df.filter("fold <> 0"))),
+        ("label among the columns", _refused(quality.no_label, df)),
+        ("label dropped", _refused(quality.no_label, df.drop("selected"))),
+    ]
+    return spark.createDataFrame(found, "guard string, refused boolean")
+
+
+@_query("select ranker_id, count(*) as n, round(sum(totalPrice), 2) as total, round(avg(cast(legs0_segments0_seatsAvailable as double)), 6) as seats, 'legs9_duration' as lacking from sessions group by 1")
+def sums_of_chosen_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wanted columns, as far as the table has them; core columns that it lacks are named."""
+    df = order_sessions(spark, sf_dir)
+    wanted, lacking = features.chosen_features(df, ["totalPrice", "legs0_segments0_seatsAvailable", "no_such_column"], core=("totalPrice", "legs9_duration"))
+    price, seats = wanted  # the third is not there
+    found = df.groupBy("ranker_id").agg(F.count(F.lit(1)).alias("n"), F.sum(price).alias("total"), F.avg(seats).alias("seats"), F.lit(",".join(lacking)).alias("lacking"))
+    return found.select("ranker_id", "n", F.round(F.col("total").cast("double"), 2).alias("total"), F.round("seats", 6).alias("seats"), "lacking")
+
+
+@_query("select 'totalPrice' as feature, cast(count(*) filter (where totalPrice > 150000) > 0 as double) as importance from sessions union all select 'fee', cast(0 as double)")
+def importance_of_a_planted_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label that one column decides: a stump's gain is all that column's."""
+    df = order_sessions(spark, sf_dir).select("ranker_id", "Id", (F.col("totalPrice") > 150000).cast("int").alias("selected"), F.col("totalPrice").cast("double").alias("totalPrice"), F.coalesce("miniRules0_monetaryAmount", F.lit(0.0)).alias("fee"))
+    return _rounded(learn.importance(learn.fit_pointwise(df, ["totalPrice", "fee"], trees=1, depth=1), ["totalPrice", "fee"]))
+
+
+@_query("""
+g as (select count(*) as n from sessions group by ranker_id)
+select 'recency' as feature, count(*) filter (where n >= 11) > 0 as matters from g union all select 'totalPrice', false""")
+def permuted_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest option is the chosen one: a ranker by date loses when dates are dealt to other rows, and nothing by prices that it doesn't weigh."""
+    df = order_sessions(spark, sf_dir).withColumn("recency", F.datediff(F.col("requestDate").cast("date"), F.lit("1970-01-01").cast("date")).cast("double"))
+    found = learn.permutation_importance(df, learn.weighted({"recency": 1.0, "totalPrice": 0.0}), ["recency", "totalPrice"], k=1)
+    return found.select("feature", (F.col("drop") > 0.2).alias("matters"))
+
+
+@_query("select Id, round(-0.002 * cast(totalPrice as double) + 3 * coalesce(miniRules0_monetaryAmount, 0), 6) as predicted_score from sessions")
+def scores_of_a_loaded_ranker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ranker written to the shared folder and read again."""
+    path = f"{scratch(spark)}/ranker"
+    learn.save(learn.weighted({"totalPrice": -0.002, "miniRules0_monetaryAmount": 3.0}), path)
+    found = learn.scored(order_sessions(spark, sf_dir), learn.load(path), ["totalPrice", "miniRules0_monetaryAmount"])
+    return _rounded(found.select("Id", "predicted_score"))
+
+
+@_query("""
+r as (select *, count(*) over (partition by w, ranker_id) as n, row_number() over (partition by w, ranker_id order by w * cast(totalPrice as double) desc, Id) as rk,
+  row_number() over (partition by w, ranker_id order by selected desc, Id) as ideal from sessions, (values (-1.0), (1.0)) as t(w)),
+s as (select w, ranker_id, fold, any_value(n) as n,
+""" + _KS + """ from r group by w, ranker_id, fold),
+f as (select w, fold, avg(g3) as g from s where n >= 11 group by w, fold)
+select case when w < 0 then '{''weight'': -1.0}' else '{''weight'': 1.0}' end as setting, round(avg(g), 6) as ndcg from f group by w""")
+def search_of_given_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over rankers that have nothing to learn: the weight is the setting."""
+    given = lambda d, f, weight: learn.weighted({f[0]: weight})
+    return _rounded(learn.search(order_sessions(spark, sf_dir), ["totalPrice"], {"weight": [-1.0, 1.0]}, fit=given))

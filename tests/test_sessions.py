@@ -141,6 +141,25 @@ def test_feature_map_and_census(spark):
     assert census == {"y": 100.0, "x": 50.0, "x.p": 50.0, "x.p.n": 50.0, "x.q": 50.0, "x.q.n": 50.0, "l": 50.0, "l.m": 50.0}
 
 
+def test_key_paths_of_odd_documents(spark):
+    """Types that agree, lists that mix kinds, a document over two rows, a null key, names with marks, no JSON."""
+    rows = [("a", '{"a":null,"x":[1,{"b":1}]}'), ("b", '{"a":{}}'), ("c", '{"a":[1,"x",{"q":{"r":[]}}]}'), ("c", '{"z":1}'), ("d", '{"a":1.5}'), ("e", '{"a":22.25}'), ("f", "no"), (None, '{"a":7}'), ("g", '{"":{"y":1},"p q":2}')]
+    df = spark.createDataFrame(rows, "file string, value string")
+    held = {"a": "abcde?", "x": "a", "x.b": "a", "a.q": "c", "a.q.r": "c", "z": "c", "": "g", ".y": "g", "p q": "g"}
+    assert {r[0]: r[1] for r in documents.key_paths(df, "file").collect()} == {p: round(100 * len(d) / 7, 2) for p, d in held.items()}
+    assert documents.key_paths(df.limit(0), "file").collect() == []
+
+
+def test_permutation_importance_of_chosen_sessions(spark):
+    """A bounded number of rows in whole sessions, and no session at all."""
+    df = spark.range(4000).select((F.col("id") % 400).alias("ranker_id"), F.col("id").alias("Id"), (F.col("id") < 400).cast("int").alias("selected"), (-F.col("id")).alias("good"), F.rand(3).alias("idle"))
+    model = learn.weighted({"good": 1.0, "idle": 0.0})
+    for most in (None, 1000):
+        drops = {r["feature"]: r["drop"] for r in learn.permutation_importance(df, model, ["good", "idle"], k=1, min_size=5, most=most).collect()}
+        assert drops["good"] > 0.5 and drops["idle"] == 0.0
+    assert [r["drop"] for r in learn.permutation_importance(df, model, ["good", "idle"], min_size=50).collect()] == [0.0, 0.0]
+
+
 def test_blocks_must_have_unique_keys(spark, options):
     block = spark.createDataFrame([("a", 1), ("a", 2)], "ranker_id string, z int")
     with pytest.raises(ValueError):
