@@ -18,6 +18,9 @@ from rankloom.storage import stored
 #: Aggregates that have an out-of-fold form.
 OUT_OF_FOLD = ("sum", "count", "mean", "avg", "var", "min", "max", "median")
 
+#: Groups that one task orders; more groups take more ranges of the hash.
+RANGE_GROUPS = 100_000
+
 
 def key_hash(key: str | Column, seed: int | str = 42) -> Column:
     """The first 60 bits of MD5 of the key and the seed, as a number."""
@@ -25,13 +28,15 @@ def key_hash(key: str | Column, seed: int | str = 42) -> Column:
     return F.conv(F.substring(F.md5(F.concat(c.cast("string"), F.lit(f"|{seed}"))), 1, 15), 16, 10).cast("long")
 
 
-def _place(keys: DataFrame, group: str, seed: int | str, buckets: int = 4096) -> DataFrame:
+def _place(keys: DataFrame, group: str, seed: int | str) -> DataFrame:
     """Distinct keys with their 0-based place in hash order.
 
-    Keys are numbered within ranges of the hash; the sizes of the ranges, at most
-    ``buckets`` rows, give where each range starts. No task sees all keys.
+    Keys are numbered within ranges of the hash, of some ``RANGE_GROUPS`` keys each; the sizes
+    of the ranges, a row each, give where each range starts. No task sees all keys.
     """
-    hashed = keys.select(group).distinct().withColumn("__h", key_hash(group, seed)).withColumn("__b", F.floor(F.col("__h") / F.lit(2**60 // buckets)).cast("int"))
+    distinct = stored(keys.select(group).distinct())
+    ranges = distinct.count() // RANGE_GROUPS + 1
+    hashed = distinct.withColumn("__h", key_hash(group, seed)).withColumn("__b", F.floor(F.col("__h") / F.lit(2**60 // ranges)).cast("int"))
     within = F.row_number().over(Window.partitionBy("__b").orderBy("__h", group)) - 1
     sizes = hashed.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
     starts = sizes.select(F.col("__b").alias("__c"), (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__start"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__all"))
@@ -51,13 +56,15 @@ def group_folds(df: DataFrame, group: str = GROUP, folds: int = 5, seed: int = 4
     return df.join(ids, group)
 
 
-def stratified_folds(df: DataFrame, group: str = "profileId", label: str = LABEL, folds: int = 5, seed: int = 42, name: str = "fold", buckets: int = 64) -> DataFrame:
+def stratified_folds(df: DataFrame, group: str = "profileId", label: str = LABEL, folds: int = 5, seed: int = 42, name: str = "fold", least_buckets: int = 64) -> DataFrame:
     """Folds of whole groups with near equal positives: groups in order of positives are dealt back and forth.
 
     Groups are ordered within bands of similar numbers of positives (powers of two,
-    then a hash), so no task orders all groups.
+    then a hash into ``least_buckets`` or, with many groups, buckets of some
+    ``RANGE_GROUPS``), so no task orders all groups.
     """
-    sums = df.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("__pos"), F.count(F.lit(1)).alias("__rows"))
+    sums = stored(df.groupBy(group).agg(F.sum(F.col(label).cast("long")).alias("__pos"), F.count(F.lit(1)).alias("__rows")))
+    buckets = max(least_buckets, sums.count() // RANGE_GROUPS + 1)
     banded = sums.withColumn("__band", F.floor(F.log2(F.col("__pos") + 1.0)) * buckets + F.pmod(key_hash(group, f"{seed}b"), F.lit(buckets)))
     order = Window.partitionBy("__band").orderBy(F.desc("__pos"), F.desc("__rows"), key_hash(group, seed), group)
     k = F.row_number().over(order) - 1 + F.pmod(key_hash("__band", seed), F.lit(2 * folds))

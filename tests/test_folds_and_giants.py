@@ -62,3 +62,17 @@ def test_no_window_holds_a_giant_session(spark):
     assert sum("__range" in x for x in windows) == 1  # the other one is that of small sessions
     ordinals = [r["v_ordinal"] for r in ranked.orderBy("v", "Id").collect()]
     assert ordinals == list(range(1, 3001))
+
+
+def test_places_and_folds_over_many_ranges(spark, monkeypatch):
+    """Places don't depend on the number of ranges; folds over many buckets stay near equal."""
+    df = spark.range(6000).select((F.col("id") % 2000).alias("g"), (F.col("id") < 900).cast("int").alias("y"))
+    whole = {r["g"]: r["__place"] for r in splits._place(df, "g", 7).collect()}
+    assert sorted(whole.values()) == list(range(2000))
+    monkeypatch.setattr(splits, "RANGE_GROUPS", 10)
+    assert {r["g"]: r["__place"] for r in splits._place(df, "g", 7).collect()} == whole
+    out = splits.stratified_folds(df, "g", "y")
+    folds = out.groupBy("fold").agg(F.sum("y").alias("y"), F.count_distinct("g").alias("n")).collect()
+    assert len(folds) == 5 and sum(r["y"] for r in folds) == 900 and all(120 <= r["y"] <= 240 and 330 <= r["n"] <= 470 for r in folds)
+    assert out.groupBy("g").agg(F.count_distinct("fold").alias("k")).filter("k > 1").isEmpty()
+    assert splits._place(df.limit(0), "g", 7).collect() == [] and splits.stratified_folds(df.limit(0), "g", "y").collect() == []
