@@ -8,9 +8,11 @@ the softmax of negative cross-entropies at a temperature fitted on rows kept
 apart from the counts; on the same rows each language's rejection threshold is
 calibrated: a text whose cross-entropy is above it is marked ``rejected``.
 
-Counting runs in Spark, on a bounded sample: about ``per_language`` documents of
+Counting and fitting run in Spark, on a bounded sample: about ``per_language`` documents of
 each language, chosen by a hash of id and text; rows alike in both count once, so null or
-equal ids, and copies however many, are rows like others. Scoring is one pass of Arrow batches;
+equal ids, and copies however many, are rows like others. Where the sample has more than
+``MOST_GRAMS`` different grams it is halved until it has not, which bounds the models by a
+count whatever the number of languages and the length of texts. Scoring is one pass of Arrow batches;
 each worker remembers the scores of up to ``MEMO`` words, of ``MEMO_CHARS`` characters.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0.0
@@ -21,9 +23,9 @@ their row; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import freeing, in_small_batches
+from .common import freeing, in_small_batches, stored
 
 ORDER = 4
 PER_LANGUAGE = 2000
+#: Grams of ``ORDER`` letters of all languages together: what is held by the driver and by each worker is at most some 150 MB.
+MOST_GRAMS = 4_000_000
 #: Words whose scores a worker remembers, and their characters.
 MEMO, MEMO_CHARS = 300_000, 32 << 20
 CHUNK_CHARS = 1 << 21
@@ -83,37 +87,69 @@ class CharModel:
         return out
 
 
-def _hash_text(gram: str) -> int:
-    return int(_gram_hashes(np.frombuffer(gram.encode("utf-32-le"), np.uint32).astype(np.uint64), len(gram))[-1]) if gram else 0
-
-
-def kneser_ney(counts: dict[str, int], order: int = ORDER) -> CharModel:
-    """The interpolated model of the counts of all ``order``-grams."""
-    levels: list[dict[str, int]] = [counts]
-    for k in range(order - 1, 0, -1):  # below the top, the number of different letters before the gram
-        before: dict[str, int] = defaultdict(int)
-        for gram in levels[0]:
-            before[gram[1:]] += 1
-        levels.insert(0, before)
-    size = len(levels[0]) + 1
-    floor = float(-np.log(size))
-    grams, logps, contexts, backoffs = [], [], [], []
-    lower: dict[str, float] = {}
-    for level in levels:
-        ones, twos = sum(v == 1 for v in level.values()), sum(v == 2 for v in level.values())
-        d = min(0.95, max(0.05, ones / max(1, ones + 2 * twos)))
-        total, kinds = defaultdict(int), defaultdict(int)
-        for gram, v in level.items():
-            total[gram[:-1]] += v
-            kinds[gram[:-1]] += 1
-        rest = {c: d * kinds[c] / total[c] for c in total}
-        p = {g: (v - d) / total[g[:-1]] + rest[g[:-1]] * (lower[g[1:]] if len(g) > 1 else 1 / size) for g, v in level.items()}
-        lower = p
-        for table, hashes, values in ((p, grams, logps), (rest, contexts, backoffs)):
-            pairs = sorted((_hash_text(g), v) for g, v in table.items())
-            hashes.append(np.array([h for h, _ in pairs], np.uint64))
-            values.append(np.log(np.array([v for _, v in pairs])).astype(np.float32))
-    return CharModel(grams, logps, contexts, backoffs, floor)
+def _hashes_of(texts: list[str], size: int) -> np.ndarray:
+    """The hash of each text of ``size`` code points, as ``_gram_hashes`` has it; of the empty one 0."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64).reshape(len(texts), size)
+    h = np.zeros(len(texts), np.uint64)
+    for k in range(size):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + codes[:, k] + np.uint64(1)
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes, texts = batch.column("size").to_numpy(), np.array([*batch.column("gram").to_pylist(), None], object)[:-1]
+        out = np.zeros(len(texts), np.uint64)
+        for k in np.unique(sizes):
+            at = np.flatnonzero(sizes == k)
+            out[at] = _hashes_of(texts[at].tolist(), int(k))
+        yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in ("lang", "size", "context")), pa.array(out.view(np.int64)), batch.column("value")], names=["lang", "size", "context", "hash", "value"])
+
+
+def kneser_ney(grams: DataFrame) -> dict[str, CharModel]:
+    """The interpolated model of each language, of ``grams`` (lang, gram, n): all its grams of ``ORDER`` letters and how often they stand.
+
+    Counts, discounts and probabilities are aggregates and joins by language and gram. What
+    comes to the driver is a hash and a number for each gram and context: about three times
+    as many as ``grams`` has rows, which the caller bounds.
+    """
+    levels = [grams.select("lang", "gram", F.col("n").cast("long").alias("n"))]
+    for _ in range(ORDER - 1):  # below the top, the number of different letters before the gram
+        levels.insert(0, levels[0].groupBy("lang", F.expr("substring(gram, 2)").alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+    letters = levels[0].groupBy(F.col("lang").alias("of")).agg((1 / (F.count(F.lit(1)) + 1)).alias("lower"))
+    tables, lower = [], None
+    for k, level in enumerate(levels, 1):
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discounts = level.groupBy(F.col("lang").alias("in")).agg(F.least(F.lit(0.95), F.greatest(F.lit(0.05), ones / F.greatest(F.lit(1), ones + 2 * twos))).alias("d"))
+        before, total, kinds = F.expr(f"substring(gram, 1, {k - 1})"), F.sum("n"), F.count(F.lit(1))
+        sums = level.groupBy(F.col("lang").alias("by"), before.alias("before")).agg(total.alias("total"), kinds.alias("kinds"))
+        rows = level.join(discounts, F.col("lang") == F.col("in")).join(sums, (F.col("lang") == F.col("by")) & (before == F.col("before")))
+        if lower is None:
+            rows = rows.join(letters, F.col("lang") == F.col("of"))
+        else:  # every gram without its first letter is one of the level below
+            shorter = lower.select(F.col("lang").alias("of"), F.col("gram").alias("end"), F.col("p").alias("lower"))
+            rows = rows.join(shorter, (F.col("lang") == F.col("of")) & (F.expr("substring(gram, 2)") == F.col("end")))
+        rest = F.col("d") * F.col("kinds") / F.col("total")
+        lower = stored(rows.select("lang", "gram", "before", rest.alias("rest"), ((F.col("n") - F.col("d")) / F.col("total") + rest * F.col("lower")).alias("p")))
+        tables.append(lower.select("lang", F.lit(k).alias("size"), F.lit(False).alias("context"), "gram", F.col("p").alias("value")))
+        tables.append(lower.select("lang", F.lit(k - 1).alias("size"), F.lit(True).alias("context"), F.col("before").alias("gram"), F.col("rest").alias("value")).distinct())
+    found = reduce(DataFrame.unionAll, tables).mapInArrow(_hashed, "lang string, size int, context boolean, hash long, value double").toArrow()
+    coded = found.column("lang").combine_chunks().dictionary_encode()
+    lang, (size, context, value) = coded.indices.to_numpy(), (found.column(x).to_numpy() for x in ("size", "context", "value"))
+    hashes = found.column("hash").to_numpy().view(np.uint64)
+
+    def sorted_table(of: int, k: int, is_context: bool) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero((lang == of) & (size == k) & (context == is_context))
+        at = at[np.lexsort((value[at], hashes[at]))]
+        return hashes[at], np.log(value[at]).astype(np.float32)
+
+    models = {}
+    for of, name in enumerate(coded.dictionary.to_pylist()):
+        own = [sorted_table(of, k, False) for k in range(1, ORDER + 1)]
+        contexts = [sorted_table(of, k, True) for k in range(ORDER)]
+        models[name] = CharModel([h for h, _ in own], [v for _, v in own], [h for h, _ in contexts], [v for _, v in contexts], float(-np.log(len(own[0][0]) + 1)))
+    return models
 
 
 @dataclass
@@ -200,24 +236,33 @@ def _entropies(rows: DataFrame, models: list[CharModel], keep: str) -> DataFrame
     return in_small_batches(rows.select(keep, "text")).mapInArrow(freeing(run), schema)
 
 
+def _counted(sample: DataFrame) -> DataFrame:
+    """(lang, gram, n): the grams of ``ORDER`` letters of the words of ``sample`` (lang, text)."""
+    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    framed = F.concat(F.lit(START * (ORDER - 1)), F.col("word"), F.lit(END))
+    grams = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda k: framed.substr(k, F.lit(ORDER)))).alias("gram"))
+    return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
 def train(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """A model of the languages that occur, from about ``per_language`` documents of each."""
+    """A model of the languages that occur, from about ``per_language`` documents of each (fewer where they have more than ``MOST_GRAMS`` grams together)."""
     rows = docs.filter(F.col(lang_column).isNotNull() & F.col(text_column).isNotNull()).select(F.xxhash64(id_column, text_column).alias("row"), F.col(text_column).alias("text"), F.col(lang_column).alias("lang"))
     sizes = rows.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("row", 0.02).alias("n"))
     chance = F.pmod(F.xxhash64("row", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     few = sizes.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES  # else texts are shuffled
-    sample = rows.join(F.broadcast(sizes) if few else sizes, F.col("lang") == F.col("of")).filter(chance < F.lit(float(per_language)) / F.col("n"))
-    sample = sample.dropDuplicates(["lang", "row"])  # rows that repeat are drawn together, and learned from once
+    sized, share = rows.join(F.broadcast(sizes) if few else sizes, F.col("lang") == F.col("of")), 1.0
     apart = F.pmod(F.xxhash64("row", F.lit(23)), F.lit(5)) == 0
-    words = sample.filter(~apart).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
-    framed = F.concat(F.lit(START * (ORDER - 1)), F.col("word"), F.lit(END))
-    grams = words.select("lang", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("word") + 1), lambda k: framed.substr(k, F.lit(ORDER)))).alias("gram"))
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    found = grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).select("lang", "gram", "n").coalesce(8)  # bounded by the sample; a job for each partition
-    for lang, gram, n in found.toLocalIterator():
-        counts[lang][gram] = n
-    languages = sorted(counts)
-    models = [kneser_ney(counts[x]) for x in languages]
+    while True:
+        sample = sized.filter(chance < F.lit(share * per_language) / F.col("n"))
+        sample = sample.dropDuplicates(["lang", "row"])  # rows that repeat are drawn together, and learned from once
+        grams = stored(_counted(sample.filter(~apart)))
+        n = grams.count()
+        if n <= MOST_GRAMS:
+            break
+        share /= 2  # a smaller sample is part of the larger one
+    found = kneser_ney(grams) if n else {}
+    languages = sorted(found)
+    models = [found[x] for x in languages]
     if not models:
         return Model([], [], 1.0, np.zeros(0))
     kept = _entropies(sample.filter(apart).select("lang", "text"), models, "lang").toPandas()  # numbers of a bounded sample

@@ -142,11 +142,15 @@ def model_p(model, letter, before):
     return float(np.exp(model.score([h[3:] for h in hashes], [h[3:] for h in context]))[0])
 
 
-def test_kneser_ney_against_recursion():
+def fitted(spark, tops, lang="x"):
+    return language_id.kneser_ney(spark.createDataFrame([(lang, g, n) for g, n in tops.items()], "lang string, gram string, n long"))
+
+
+def test_kneser_ney_against_recursion(spark):
     """Every seen and many unseen letters after seen and unseen contexts; with the share of one unseen letter they sum to one."""
     words = ["the", "then", "that", "hat", "the", "a", "nat", "tan", "ten", "ten", "een"]
     p, tops = plain_kneser_ney(words, 4)
-    model = language_id.kneser_ney(tops, 4)
+    model = fitted(spark, tops)["x"]
     letters = sorted({g[-1] for g in tops})
     contexts = sorted({g[:-1] for g in tops}) + ["\x02\x02z", "zzz", "zth", "zze"]
     for before in contexts:
@@ -155,11 +159,11 @@ def test_kneser_ney_against_recursion():
         assert sum(found) == pytest.approx(1.0, abs=1e-5)
 
 
-def test_word_costs_against_recursion():
+def test_word_costs_against_recursion(spark):
     words = ["the", "then", "that", "hat", "the", "a", "nat"]
     p, tops = plain_kneser_ney(words, 4)
     texts = ["the hat", "THEN nothing", "a", "", "12"]
-    found = language_id._Scorer([language_id.kneser_ney(tops, 4)]).entropies(texts)[:, 0]
+    found = language_id._Scorer([fitted(spark, tops)["x"]]).entropies(texts)[:, 0]
     for text, got in zip(texts, found, strict=True):
         letters = [(x, ("\x02\x02\x02" + w)[k : k + 3]) for w in re.findall("[a-z]+", text.lower()) for k, x in enumerate(w + "\x03")]
         if not letters:
@@ -168,6 +172,31 @@ def test_word_costs_against_recursion():
         assert got == pytest.approx(-sum(np.log(p(x, before)) for x, before in letters) / len(letters), rel=1e-5)
 
 
+def test_languages_are_fitted_apart(spark):
+    """Two languages in one table, one with letters beyond 16 bits, have the models that each has alone."""
+    tops = [plain_kneser_ney(words, 4)[1] for words in (["the", "then", "hat", "hat"], ["\U00010400\U00010401", "hat", "\u00e9t\u00e9"])]
+    both = spark.createDataFrame([(lang, g, n) for lang, t in zip("xy", tops, strict=True) for g, n in t.items()], "lang string, gram string, n long")
+    got = language_id.kneser_ney(both)
+    assert sorted(got) == ["x", "y"]
+    for lang, t in zip("xy", tops, strict=True):
+        alone = fitted(spark, t)["x"]
+        assert got[lang].floor == alone.floor
+        for name in ("grams", "logp", "contexts", "backoff"):
+            assert all(np.array_equal(a, b) for a, b in zip(getattr(got[lang], name), getattr(alone, name), strict=True))
+    p, _ = plain_kneser_ney(["\U00010400\U00010401", "hat", "\u00e9t\u00e9"], 4)
+    assert model_p(got["y"], "\U00010401", "\x02\x02\U00010400") == pytest.approx(p("\U00010401", "\x02\x02\U00010400"), rel=1e-5)
+
+
+def test_models_are_bounded_by_their_grams(spark, monkeypatch):
+    """A sample with more grams than may be held is halved; all languages are still learned."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = language_id.train(docs)
+    sizes = lambda model: sum(len(m.grams[-1]) for m in model.models)
+    monkeypatch.setattr(language_id, "MOST_GRAMS", int(0.8 * sizes(whole)))
+    some = language_id.train(docs)
+    assert 0 < sizes(some) <= 0.8 * sizes(whole) and some.languages == whole.languages
+
+
 def test_language_edges(spark, odd):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     model = language_id.train(docs)
