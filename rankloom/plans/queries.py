@@ -646,6 +646,49 @@ def feature_copies_and_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(df.select("ranker_id", "Id", "total_price", "marketing_carrier", "profile_id", "cancellation_fee", "is_direct", "carrier_market_share", "price_rank", "price_rank_desc", "position", "duration_diff_from_mean", "combined_rank_score"))
 
 
+@_query("""
+a as (select o_custkey as k, avg(l_extendedprice) as p, avg(cast(l_returnflag = 'N' as int)) as c from orders join lineitem on l_orderkey = o_orderkey where o_custkey % 4 <> 0 group by 1),
+m as (select *, try_cast(legs0_departureAt as timestamp) as dep, try_cast(legs0_arrivalAt as timestamp) as arr, case when Id % 7 = 0 then null else (Id % 7) * 50.0 end as fee,
+  cast(split_part(legs0_duration, ':', 1) as int) * 60 + cast(split_part(legs0_duration, ':', 2) as int) as minutes from sessions left join a on k = ranker_id),
+r as (select *, rank() over (partition by ranker_id order by totalPrice) + (count(*) over (partition by ranker_id, totalPrice) - 1) / 2.0 as price_place,
+  case when minutes is not null then rank() over (partition by ranker_id order by minutes nulls last) + (count(minutes) over (partition by ranker_id, minutes) - 1) / 2.0 end as minutes_place from m)
+select ranker_id, Id, round(taxes, 4) as tax_amount, round(totalPrice - avg(totalPrice) over w, 6) as price_diff_from_mean, round(totalPrice - min(totalPrice) over w, 4) as price_diff_from_min,
+  round(totalPrice - max(totalPrice) over w, 4) as price_diff_from_max, round((price_place - 1) / nullif(count(*) over w - 1, 0), 6) as price_percentile,
+  cast(dep as varchar) as departure_datetime, cast(arr as varchar) as arrival_datetime, round((minutes_place - 1) / nullif(count(minutes) over w - 1, 0), 6) as duration_percentile,
+  searchRoute as search_route, case when Id % 2 = 0 then 'AAA' else 'BBB' end as origin_airport, concat('Z', cast(Id % 8 as varchar)) as destination_airport,
+  legs0_segments0_operatingCarrier_code as operating_carrier, cast(null as varchar) as aircraft_code, legs0_segments0_cabinClass as cabin_class, legs0_segments0_seatsAvailable as seats_available,
+  case when Id % 4 > 0 then Id % 4 end as baggage_quantity, corporateTariffCode as corporate_tariff, pricingInfo_isAccessTP as policy_compliant, companyID as company_id,
+  Id % 2 = 1 as user_gender, Id % 50 as user_nationality, case when Id % 3 > 0 then concat('P', cast(Id % 3 as varchar)) end as frequent_flyer_programs, isVip as is_vip, Id % 5 > 0 as books_by_self,
+  case when Id % 6 > 0 then Id % 2 end as can_cancel, Id % 3 as can_exchange, cast(fee as double) as exchange_fee, round(fee / nullif(totalPrice, 0), 8) as exchange_fee_rate,
+  round(totalPrice / nullif(p, 0), 6) as price_vs_avg_search_price, cast(totalPrice > p as int) as is_pricier_than_average, round(cast(pricingInfo_isAccessTP as int) * c, 6) as policy_compliance_interaction,
+  round(stddev_samp(totalPrice) over w, 4) as group_price_std, round(max(totalPrice) over w - min(totalPrice) over w, 4) as group_price_range,
+  cast(count(distinct legs0_segments0_marketingCarrier_code) over w as bigint) as unique_carriers_in_group, cast(count(distinct legs0_segments0_cabinClass) over w as bigint) as unique_cabin_classes_in_group,
+  cast(price_place as double) as price_position_in_group, cast(minutes_place as double) as duration_position_in_group
+from r window w as (partition by ranker_id)""")
+def other_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature columns that the other queries leave out, where the options hold the optional columns (but the aircraft) and some sessions have documents."""
+    items = read_table(spark, sf_dir, "lineitem").join(read_table(spark, sf_dir, "orders").filter("o_custkey % 4 <> 0"), F.col("l_orderkey") == F.col("o_orderkey"))
+    aggregates = items.groupBy(F.col("o_custkey").alias("ranker_id")).agg(F.avg("l_extendedprice").alias("avg_total_price"), F.avg((F.col("l_returnflag") == "N").cast("int")).alias("avg_policy_compliant"))
+    key = F.col("Id")
+    options = order_sessions(spark, sf_dir).withColumns({
+        "legs0_segments0_departureFrom_airport_iata": F.when(key % 2 == 0, "AAA").otherwise("BBB"), "legs0_segments0_arrivalTo_airport_iata": F.concat(F.lit("Z"), (key % 8).cast("string")),
+        "legs0_segments0_baggageAllowance_quantity": F.nullif(key % 4, F.lit(0)), "sex": key % 2 == 1, "nationality": key % 50, "frequentFlyer": F.when(key % 3 > 0, F.concat(F.lit("P"), (key % 3).cast("string"))),
+        "bySelf": key % 5 > 0, "miniRules0_statusInfos": F.when(key % 6 > 0, key % 2), "miniRules1_statusInfos": key % 3, "miniRules1_monetaryAmount": F.when(key % 7 > 0, key % 7 * 50.0),
+    })
+    df = features.training_frame(options, aggregates)
+    four = ("tax_amount", "price_diff_from_min", "price_diff_from_max", "group_price_std", "group_price_range")
+    six = ("price_diff_from_mean", "price_percentile", "duration_percentile", "price_vs_avg_search_price", "policy_compliance_interaction")
+    as_they_are = (
+        "search_route", "origin_airport", "destination_airport", "operating_carrier", "aircraft_code", "cabin_class", "seats_available", "baggage_quantity", "corporate_tariff", "policy_compliant", "company_id", "user_gender",
+        "user_nationality", "frequent_flyer_programs", "is_vip", "books_by_self", "can_cancel", "can_exchange", "exchange_fee", "is_pricier_than_average",
+    )
+    return df.select(
+        "ranker_id", "Id", *(F.round(F.col(c).cast("double"), 4).alias(c) for c in four), *(F.round(F.col(c).cast("double"), 6).alias(c) for c in six), F.round("exchange_fee_rate", 8).alias("exchange_fee_rate"),
+        *(F.col(c).cast("string").alias(c) for c in ("departure_datetime", "arrival_datetime")), *(F.col(c).cast("long").alias(c) for c in ("unique_carriers_in_group", "unique_cabin_classes_in_group")),
+        *(F.col(c).cast("double").alias(c) for c in ("price_position_in_group", "duration_position_in_group")), *as_they_are,
+    )
+
+
 @_query("""
 a as (select o_custkey as k, avg(l_extendedprice) as p, avg(cast(l_returnflag = 'N' as int)) as c from orders join lineitem on l_orderkey = o_orderkey group by 1)
 select count(*) as n_rows, count(distinct ranker_id) as n_groups, round(avg(totalPrice / nullif(p, 0)), 6) as mean_ratio, round(avg(cast(pricingInfo_isAccessTP as int) * c), 6) as mean_compliance

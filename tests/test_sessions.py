@@ -53,6 +53,19 @@ def test_all_features_on_an_empty_table(spark):
     assert features.all_features(order_sessions(spark, SF).limit(0)).count() == 0
 
 
+def test_every_feature_column_is_held_against_sql(spark):
+    """The columns that the steps make are all among the results of queries that have SQL."""
+    from rankloom.sessions import order_sessions
+
+    options = order_sessions(spark, SF)
+    made = set(features.all_features(options).columns) - set(options.columns) - {"avg_total_price", "avg_policy_compliant"}  # two that are joined
+    compared = set()
+    for name in ("all_features", "feature_copies_and_ranks", "layovers_and_trips", "other_features"):
+        assert name in ORACLE_SQL
+        compared |= set(QUERIES[name](spark, SF).columns)
+    assert len(made) >= 77 and made - compared == set()
+
+
 def test_durations_and_days(spark):
     df = spark.sql("select '01:30:00' d, timestamp_ntz '2020-01-01 23:00:00' a, timestamp_ntz '2020-01-03 22:00:00' b union all select 'x', null, null")
     got = df.select(S.duration_minutes(F.col("d")).alias("m"), S.whole_days(F.col("a"), F.col("b")).alias("n")).collect()
