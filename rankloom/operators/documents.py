@@ -196,14 +196,15 @@ def join_prices(options: DataFrame, priced: DataFrame, digits: int | None = None
     near = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: c)
     right = priced.withColumnRenamed(GROUP, "__g")
     on = (options[GROUP].cast("string") == F.col("__g")) & (options["Id"].cast("string") == F.col("flight_id")) & (near(options["totalPrice"]) == near(F.col("total_price_json")))
-    return options.join(right, on, "left").drop("__g", "flight_id")
+    return options.join(right.hint("merge"), on, "left").drop("__g", "flight_id")  # pricings are as many as options, whatever their files' sizes say
 
 
 def join_prices_within(options: DataFrame, priced: DataFrame, within: float) -> DataFrame:
     """Left join of pricings onto options by session, option and nearest price, at most ``within`` away (ties: the lower price, then the other columns in order).
 
-    A band join: a pricing goes to the bin of its price, as wide as the tolerance, and to
-    both neighbours, an option to its own, so that pairs meet by equal bins, those near a bin's border too.
+    A band join: an option goes to the bin of its price, as wide as the tolerance, and to
+    both neighbours, a pricing to its own, so that pairs meet by equal bins, those near a bin's border too.
+    Both joins are merges: the size of a table behind an explode is guessed too low to be broadcast by it.
     """
     if not within > 0:
         raise ValueError("the tolerance is above 0; use join_prices for equal prices")
@@ -211,10 +212,11 @@ def join_prices_within(options: DataFrame, priced: DataFrame, within: float) ->
     bin_of = lambda c: F.floor(c / F.lit(float(within)))
     rest = [c for c in priced.columns if c not in (GROUP, "flight_id")]
     found = priced.select(F.col(GROUP).alias("__g"), F.col("flight_id").alias("__o"), F.struct(cents("total_price_json").alias("__at"), *rest).alias("__found")).filter("__found.__at is not null")
-    near = found.withColumn("__bin", F.explode(F.array(*(bin_of(F.col("__found.__at")) + k for k in (-1, 0, 1)))))
+    near = found.withColumn("__bin", bin_of(F.col("__found.__at")))
     keys = options.select(F.col(GROUP).cast("string").alias("__kg"), F.col("Id").cast("string").alias("__ko"), cents("totalPrice").alias("__price")).distinct()
-    met = keys.withColumn("__own", bin_of(F.col("__price"))).join(near, (F.col("__kg") == F.col("__g")) & (F.col("__ko") == F.col("__o")) & (F.col("__own") == F.col("__bin")))
+    own = keys.withColumn("__own", F.explode(F.array(*(bin_of(F.col("__price")) + k for k in (-1, 0, 1)))))
+    met = own.join(near.hint("merge"), (F.col("__kg") == F.col("__g")) & (F.col("__ko") == F.col("__o")) & (F.col("__own") == F.col("__bin")))
     apart = F.abs(F.col("__price") - F.col("__found.__at"))
     best = met.filter(apart <= within).groupBy("__kg", "__ko", "__price").agg(F.min(F.struct(apart.alias("apart"), F.col("__found").alias("found"))).alias("__best"))
     on = (options[GROUP].cast("string") == F.col("__kg")) & (options["Id"].cast("string") == F.col("__ko")) & (options["totalPrice"].cast("double") == F.col("__price"))
-    return options.join(best, on, "left").select(*(options[c] for c in options.columns), *(F.col(f"__best.found.{c}").alias(c) for c in rest))
+    return options.join(best.hint("merge"), on, "left").select(*(options[c] for c in options.columns), *(F.col(f"__best.found.{c}").alias(c) for c in rest))

@@ -146,3 +146,13 @@ def test_attributions(spark, sessions):
     score = {r["Id"]: r["predicted_score"] for r in learn.scored(sessions.limit(10), trees, ["good", "noise"]).collect()}
     zero = learn.scored(spark.createDataFrame([(1, 0.5, 4.0)], "Id long, good double, noise double"), trees, ["good", "noise"]).first()["predicted_score"]
     assert all(sums[i] == pytest.approx(score[i] - zero) for i in score)
+
+
+def test_price_joins_broadcast_no_pricings(spark, tmp_path):
+    """Pricings are as many as options, and files tell little of their number: neither join may collect them."""
+    spark.range(50).select((F.col("id") % 5).alias("ranker_id"), F.col("id").alias("Id"), (F.col("id") * 1.5).alias("totalPrice")).write.parquet(f"{tmp_path}/o")
+    options = spark.read.parquet(f"{tmp_path}/o")
+    priced = options.select(F.col("ranker_id").cast("string").alias("ranker_id"), F.col("Id").cast("string").alias("flight_id"), (F.col("totalPrice") + 0.25).alias("total_price_json"))
+    for joined in (documents.join_prices_within(options, priced, 0.5), documents.join_prices(options, priced, 2)):
+        assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert documents.join_prices_within(options, priced, 0.5).filter("total_price_json - totalPrice = 0.25").count() == 50
