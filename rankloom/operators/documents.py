@@ -28,22 +28,33 @@ OPTION = f"struct<id: string, pricings: array<{PRICING}>>"
 HEADER = "struct<ranker_id: string, request_time: string, personalData: struct<yearOfBirth: int, hasAssistant: boolean, isGlobal: boolean>, routeData: struct<requestDepartureDate: string, requestReturnDate: string>>"
 
 
-def _options(variant: Column) -> Column:
+def _options(variant: Column, option: str = OPTION) -> Column:
     """The options of a document, whichever form ``data`` has; not-objects become null."""
     found = F.coalesce(F.try_variant_get(variant, '$.data["$values"]', "array<variant>"), F.try_variant_get(variant, "$.data", "array<variant>"))
-    return F.transform(found, lambda v: F.try_variant_get(v, "$", OPTION))
+    return F.transform(found, lambda v: F.try_variant_get(v, "$", option))
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once a row: as a generator's it is not copied into the filters (and the explodes) that read it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def _parsed(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with ``__doc`` (variant); documents that are no JSON go."""
+    return _once(docs, "__doc", F.try_parse_json(text)).filter(F.col("__doc").isNotNull())
 
 
 def parsed(docs: DataFrame, text: str = "value") -> DataFrame:
     """``docs`` with ``__doc`` (variant), ``__head``, ``__options``; documents that are no JSON go."""
-    out = docs.withColumn("__doc", F.try_parse_json(text)).filter(F.col("__doc").isNotNull())
-    return out.withColumns({"__head": F.try_variant_get("__doc", "$", HEADER), "__options": _options(F.col("__doc"))})
+    out = _once(_parsed(docs, text), "__options", _options(F.col("__doc")))
+    return out.withColumn("__head", F.try_variant_get("__doc", "$", HEADER))
 
 
 def headers(docs: DataFrame, text: str = "value") -> DataFrame:
     """One row per document: key, request time, traveller, dates, number of options."""
     h = "__head."
-    return parsed(docs, text).select(
+    rows = _parsed(docs, text).withColumns({"__head": F.try_variant_get("__doc", "$", HEADER), "__options": _options(F.col("__doc"), "struct<id: variant>")})
+    return rows.select(
         F.col(h + "ranker_id").alias(GROUP), F.col(h + "request_time").alias("request_time"), F.col(h + "personalData.yearOfBirth").alias("year_of_birth"),
         F.col(h + "personalData.hasAssistant").alias("has_assistant"), F.col(h + "personalData.isGlobal").alias("is_global"),
         F.col(h + "routeData.requestDepartureDate").alias("request_departure_date"), F.col(h + "routeData.requestReturnDate").alias("request_return_date"),
@@ -114,7 +125,7 @@ def mapped(docs: DataFrame, feature_map: list[dict], key: Column, text: str = "v
     object; several values are joined by commas; a value that its type does not
     take becomes null.
     """
-    rows = docs.withColumn("__doc", F.try_parse_json(text)).filter(F.col("__doc").isNotNull())
+    rows = _parsed(docs, text)
     out = [key.alias(join_key)]
     for x in feature_map:
         found = F.filter(F.transform(_values(F.col("__doc"), x["path"].split(".")), lambda v: v.try_cast("string")), lambda s: s.isNotNull())

@@ -163,6 +163,14 @@ def test_key_paths_of_odd_documents(spark):
     assert documents.key_paths(df.limit(0), "file").collect() == []
 
 
+@pytest.mark.parametrize("of", [documents.fares, documents.pricings, documents.headers, lambda d: documents.mapped(d, [{"path": "data.*.*.id", "name": "ids"}], F.col("file"))])
+def test_documents_are_written_and_parsed_once(spark, of):
+    """Neither the text nor its parse is copied into the filters of the explodes that read them."""
+    df = spark.range(9).select(F.col("id").alias("file"), F.to_json(F.struct(F.col("id").cast("string").alias("ranker_id"), F.array().alias("data"))).alias("value"))
+    plan = of(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("StructsToJsonEvaluator") == 1
+
+
 def test_permutation_importance_of_chosen_sessions(spark):
     """A bounded number of rows in whole sessions, and no session at all."""
     df = spark.range(4000).select((F.col("id") % 400).alias("ranker_id"), F.col("id").alias("Id"), (F.col("id") < 400).cast("int").alias("selected"), (-F.col("id")).alias("good"), F.rand(3).alias("idle"))
