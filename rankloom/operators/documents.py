@@ -161,16 +161,18 @@ def key_paths(docs: DataFrame, document: str, text: str = "value") -> DataFrame:
     Items of a list have their list's path. Documents of one type (that of the parsed
     document) have the same paths, so one of each type is taken apart, and types are counted;
     documents whose lists mix kinds are taken apart one by one. A document's text may
-    be spread over rows; text that is no JSON is left out.
+    be spread over rows; text that is no JSON is left out. The documents are read twice, and may be
+    written otherwise the second time (lists that a shuffle filled have no order of their own): one is
+    known by its key and type, not by its text.
     """
     shared_dir(docs.sparkSession)
-    parsed = docs.select(F.col(document).alias("d"), F.col(text).alias("t"), F.try_parse_json(text).alias("w")).filter(F.col("w").isNotNull())
+    parsed = _once(docs.select(F.col(document).alias("d"), F.col(text).alias("t")), "w", F.try_parse_json("t")).filter(F.col("w").isNotNull())
     own = F.concat(F.lit("d"), F.to_json(F.struct("d")))  # the key of a document of its own
-    kinds = parsed.select("d", F.xxhash64("t").alias("at"), _shape(F.col("w")).alias("shape"))
-    pairs = stored(kinds.groupBy("d", F.coalesce(F.concat(F.lit("s"), "shape"), own).alias("k")).agg(F.min("at").alias("at"), F.bool_or(F.col("shape").isNull()).alias("mixed")))
-    chosen = pairs.filter(~F.col("mixed")).groupBy(F.col("k").alias("of")).agg(F.min("at").alias("at"))
-    shaped = parsed.select("d", "t", F.xxhash64("t").alias("here"), _shape(F.col("w")).alias("shape")).join(chosen, F.col("here") == F.col("at"), "left")
-    texts = shaped.filter("at is not null or shape is null").select(F.coalesce(F.concat(F.lit("s"), "shape"), own).alias("k"), "t").dropDuplicates()
+    shaped = _once(parsed, "shape", _shape(F.col("w")))
+    pairs = stored(shaped.groupBy("d", F.coalesce(F.concat(F.lit("s"), "shape"), own).alias("k")).agg(F.bool_or(F.col("shape").isNull()).alias("mixed")))
+    chosen = pairs.filter(~F.col("mixed")).groupBy(F.col("k").alias("of")).agg(F.min(F.struct("d")).alias("by"))
+    same = F.struct("d").eqNullSafe(F.col("by")) & (F.concat(F.lit("s"), "shape") == F.col("of"))
+    texts = shaped.join(chosen, same, "left").filter("of is not null or shape is null").select(F.coalesce("of", own).alias("k"), "t").dropDuplicates()
     paths = stored(_walked(texts.select("k", F.try_parse_json("t").alias("w"))))
     of = pairs.groupBy("d").agg(F.count(F.lit(1)).alias("m"), F.min("k").alias("k"))  # nearly every document has one type
     single = of.filter("m = 1").groupBy("k").agg(F.count(F.lit(1)).alias("n")).join(paths, "k").groupBy("path").agg(F.sum("n").alias("n"))

@@ -2,6 +2,7 @@
 
 import decimal
 import os
+import random
 
 import duckdb
 import pytest
@@ -163,6 +164,13 @@ def test_key_paths_of_odd_documents(spark):
     assert documents.key_paths(df.limit(0), "file").collect() == []
 
 
+def test_key_paths_of_documents_written_otherwise_at_each_read(spark):
+    """Lists that a shuffle filled have another order, and so the text another hash, when they are read again."""
+    text = F.udf(lambda k: '{"a": %s, "b": {"c": %d}}' % (random.SystemRandom().sample(range(100), 50), k), "string").asNondeterministic()
+    df = spark.range(30, numPartitions=3).select(F.col("id").alias("file"), text("id").alias("value"))
+    assert {r[0]: r[1] for r in documents.key_paths(df, "file").collect()} == {"a": 100.0, "b": 100.0, "b.c": 100.0}
+
+
 @pytest.mark.parametrize("of", [documents.fares, documents.pricings, documents.headers, lambda d: documents.mapped(d, [{"path": "data.*.*.id", "name": "ids"}], F.col("file"))])
 def test_documents_are_written_and_parsed_once(spark, of):
     """Neither the text nor its parse is copied into the filters of the explodes that read them."""
