@@ -13,7 +13,9 @@ from rankloom.functions import scalars as S
 from rankloom.operators import documents, encode, features, learn, metrics, quality, reports, splits, submission
 from rankloom.operators import windows as W
 from rankloom.plans.queries import ORACLE_SQL, QUERIES
+from rankloom.sessions import order_sessions
 from rankloom.sources import tables
+from rankloom.storage import stored
 from rankloom.streaming import ingest
 
 SF = "/root/testdata/sf0.001"
@@ -179,6 +181,30 @@ def test_documents_are_written_and_parsed_once(spark, of):
     assert plan.count("parseJson") == 1 and plan.count("StructsToJsonEvaluator") == 1
 
 
+def test_chosen_feature_columns_cost_no_bins(spark):
+    """Breaks of the price bins take a count of all prices: not where no bin is wanted; the columns are the same."""
+    df = order_sessions(spark, SF)
+    made = []
+    held, S.quantile_bins = S.quantile_bins, lambda *a: made.append(a) or held(*a)
+    try:
+        few = features.all_features(df, ["Id", "price_rank", "carrier_market_share"])
+        assert not made and few.columns == ["Id", "price_rank", "carrier_market_share"]
+        whole = features.all_features(df)
+        assert len(made) == 1
+    finally:
+        S.quantile_bins = held
+    assert few.exceptAll(whole.select(few.columns)).isEmpty() and few.count() == whole.count()
+
+
+def test_folds_read_a_stored_table(spark, monkeypatch):
+    """The fits of the folds read their rows several times each: they are computed once."""
+    kept = []
+    monkeypatch.setattr(learn, "stored", lambda df: kept.append(df) or stored(df))
+    df = spark.range(40).selectExpr("id % 4 as ranker_id", "id as Id", "id % 2 as fold", "cast(id < 4 as int) as selected", "id * 1.0 as x")
+    oof, _ = learn.cross_validated(df, ["x"], lambda d, f: learn.weighted({"x": 1.0}))
+    assert len(kept) == 1 and oof.count() == 40
+
+
 def test_permutation_importance_of_chosen_sessions(spark):
     """A bounded number of rows in whole sessions, and no session at all."""
     df = spark.range(4000).select((F.col("id") % 400).alias("ranker_id"), F.col("id").alias("Id"), (F.col("id") < 400).cast("int").alias("selected"), (-F.col("id")).alias("good"), F.rand(3).alias("idle"))
