@@ -2,13 +2,16 @@
 
 import math
 import random
+from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import documents, learn, metrics, sketches
-from rankloom.sources import tables
+from rankloom.plans import queries
+from rankloom.sources import files, tables
+from rankloom.storage import shared_dir
 
 
 def test_first_rows_of_a_folder(spark, tmp_path, monkeypatch):
@@ -44,6 +47,45 @@ def test_packed_documents(spark, tmp_path):
     assert tables.pack_documents(spark, str(tmp_path / "none"), str(tmp_path / "out2")).count() == 0
 
 
+def test_documents_under_their_names(spark, tmp_path):
+    root = tmp_path / "in"
+    rows = [("a/x.json", '{"é":\n1}'), ("a/b/y.json", ""), ("z.json", "z" * 100_000), (None, "no"), ("no.json", None)]
+    for text in ("old", '{"é":\n1}'):
+        files.write_documents(spark.createDataFrame([("a/x.json", text), *rows[1:]], "name string, value string"), f"file://{root}")
+    assert {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file()} == dict(rows[:3])
+    files.write_documents(spark.createDataFrame([], "name string, value string"), f"file://{tmp_path}/none")
+
+
+def test_packing_small_files_takes_few_tasks(spark, tmp_path):
+    files.write_documents(spark.range(80).select(F.concat("id", F.lit(".json")).alias("name"), F.lit("{}").alias("value")), str(tmp_path / "in"))
+    name, sc = "spark.sql.files.openCostInBytes", spark.sparkContext
+    held = spark.conf.get(name)
+    spark.conf.set(name, 128 << 20)  # a task for each file
+    sc.setJobGroup("packing", "")
+    try:
+        assert tables.pack_documents(spark, str(tmp_path / "in"), str(tmp_path / "out")).count() == 80
+    finally:
+        spark.conf.set(name, held)
+        sc.setJobGroup("", "")
+    stages = [s for j in sc.statusTracker().getJobIdsForGroup("packing") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    tasks = [i.numTasks for i in map(sc.statusTracker().getStageInfo, stages) if i]
+    assert tasks and max(tasks) <= 8 * sc.defaultParallelism
+
+
+def test_documents_below_folders(spark, tmp_path):
+    """A file for each customer, named by it, and all orders of it, also of one who has very many."""
+    rng = random.Random(5)
+    orders = [(k, k % 300 if k < 900 else 7, "FOP"[k % 3], rng.randrange(100_000) / 4, f"{k % 5 + 1}-X") for k in range(4000)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    root = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(root.glob("files-*"))
+    got = {r["ranker_id"]: tuple(r)[1:] for r in queries.documents_below_folders(spark, str(tmp_path)).collect()}
+    of = {c: [o for o in orders if o[1] == c] for c in range(300)}
+    assert got == {str(c): (len(x), round(sum(o[3] for o in x), 4), max(o[4] for o in x)) for c, x in of.items()}
+    (made,) = set(root.glob("files-*")) - before
+    assert sorted((int(p.parent.name.removeprefix("folder=")), int(p.stem)) for p in (made / "in").rglob("*.json")) == sorted((c % 10, c) for c in range(300))
+
+
 @pytest.mark.parametrize("within", [0.01, 0.5, 3.0])
 def test_band_join(spark, within):
     """Nearest price within the tolerance, on both sides of bins' borders, with ties, nulls and repeated rows."""
