@@ -25,13 +25,14 @@ INFO = f"struct<isAccessTP: boolean, faresInfo: array<{FARE}>>"
 RULE = "struct<category: int, monetaryAmount: double>"
 PRICING = f"struct<id: string, totalPrice: double, miniRules: array<{RULE}>, pricingInfo: array<{INFO}>>"
 OPTION = f"struct<id: string, pricings: array<{PRICING}>>"
+#: What ``pricings`` reads of an option: each field of a document costs a search.
+PRICED = f"struct<id: string, pricings: array<struct<id: string, totalPrice: double, miniRules: array<{RULE}>, pricingInfo: array<struct<faresInfo: array<struct<fareFamilyKey: string, baggageAllowance: struct<quantity: int>>>>>>>>"
 HEADER = "struct<ranker_id: string, request_time: string, personalData: struct<yearOfBirth: int, hasAssistant: boolean, isGlobal: boolean>, routeData: struct<requestDepartureDate: string, requestReturnDate: string>>"
 
 
 def _options(variant: Column, option: str = OPTION) -> Column:
     """The options of a document, whichever form ``data`` has; not-objects become null."""
-    found = F.coalesce(F.try_variant_get(variant, '$.data["$values"]', "array<variant>"), F.try_variant_get(variant, "$.data", "array<variant>"))
-    return F.transform(found, lambda v: F.try_variant_get(v, "$", option))
+    return F.coalesce(*(F.try_variant_get(variant, at, f"array<{option}>") for at in ('$.data["$values"]', "$.data")))
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -44,10 +45,11 @@ def _parsed(docs: DataFrame, text: str) -> DataFrame:
     return _once(docs, "__doc", F.try_parse_json(text)).filter(F.col("__doc").isNotNull())
 
 
-def parsed(docs: DataFrame, text: str = "value") -> DataFrame:
+def parsed(docs: DataFrame, text: str = "value", head: str = HEADER, option: str = OPTION) -> DataFrame:
     """``docs`` with ``__doc`` (variant), ``__head``, ``__options``; documents that are no JSON go."""
-    out = _once(_parsed(docs, text), "__options", _options(F.col("__doc")))
-    return out.withColumn("__head", F.try_variant_get("__doc", "$", HEADER))
+    both = F.struct(F.try_variant_get("__doc", "$", head).alias("head"), _options(F.col("__doc"), option).alias("options"))
+    out = _once(_parsed(docs, text), "__both", both)
+    return out.withColumns({"__head": F.col("__both.head"), "__options": F.col("__both.options")}).drop("__both")
 
 
 def headers(docs: DataFrame, text: str = "value") -> DataFrame:
@@ -79,7 +81,7 @@ def fares(docs: DataFrame, text: str = "value", rule_pick: str = "last") -> Data
 
 def pricings(docs: DataFrame, text: str = "value", rule_pick: str = "first") -> DataFrame:
     """One row per option and pricing, by its first info and first fare; documents without a key and pricings with empty lists are skipped."""
-    rows = parsed(docs, text).filter(F.col("__head.ranker_id").isNotNull()).select(F.col("__head.ranker_id").alias(GROUP), F.explode("__options").alias("o"))
+    rows = parsed(docs, text, "struct<ranker_id: string>", PRICED).filter(F.col("__head.ranker_id").isNotNull()).select(F.col("__head.ranker_id").alias(GROUP), F.explode("__options").alias("o"))
     rows = rows.select(GROUP, F.col("o.id").alias("flight_id"), F.explode("o.pricings").alias("p"))
     first = F.get("p.pricingInfo", F.lit(0))
     rows = rows.withColumn("f", F.get(first["faresInfo"], F.lit(0))).filter(F.col("f").isNotNull())

@@ -1,5 +1,6 @@
 """Files of many parts, band joins, sketches that merge, and learning against closed forms."""
 
+import gzip
 import math
 import random
 from pathlib import Path
@@ -12,6 +13,7 @@ from rankloom.operators import documents, learn, metrics, sketches
 from rankloom.plans import queries
 from rankloom.sources import files, tables
 from rankloom.storage import shared_dir
+from rankloom.streaming import ingest
 
 
 def test_first_rows_of_a_folder(spark, tmp_path, monkeypatch):
@@ -86,6 +88,45 @@ def test_documents_below_folders(spark, tmp_path):
     assert sorted((int(p.parent.name.removeprefix("folder=")), int(p.stem)) for p in (made / "in").rglob("*.json")) == sorted((c % 10, c) for c in range(300))
 
 
+def test_incremental_ingest_keeps_little_on_disk(spark, tmp_path):
+    """All lines of all orders, also of one with very many; what stays on disk is a small part of the documents' texts."""
+    rng = random.Random(6)
+    lines = [(k // 4 if k < 16_000 else 3, rng.randrange(20_000), k % 7 + 1, rng.choice([None, rng.randrange(10**7) / 100]), k % 9 / 100, None if k % 11 == 0 else k % 10 / 100, float(k % 50), "NAR"[k % 3]) for k in range(20_000)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_extendedprice double, l_tax double, l_discount double, l_quantity double, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    root = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(root.glob("files-*"))
+    got = {r["ranker_id"]: (r["n_prices"], r["total"]) for r in queries.incremental_ingest(spark, str(tmp_path)).collect()}
+    of = {}
+    for x in lines:
+        of.setdefault(str(x[0]), []).append(x[3])
+    assert {k: n for k, (n, _) in got.items()} == {k: len(v) for k, v in of.items()}
+    assert all(got[k][1] == (pytest.approx(sum(known), abs=1e-4) if known else None) for k, v in of.items() for known in [[p for p in v if p is not None]])
+    (made,) = set(root.glob("files-*")) - before
+    texts = queries.order_documents(spark, str(tmp_path)).agg(F.sum(F.octet_length("value") + 1)).first()[0]
+    taken = spark.read.text(f"{made}/in").agg(F.sum(F.octet_length("value") + 1)).first()[0]
+    assert taken == texts > 5 * sum(p.stat().st_size for p in made.rglob("*") if p.is_file())
+
+
+def test_ingest_of_packed_and_plain_files(spark, tmp_path):
+    source, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    write = {"gz": lambda p, x: p.write_bytes(gzip.compress(x.encode())), "txt": lambda p, x: p.write_text(x)}
+    for k, kind in enumerate(("gz", "txt", "gz", "txt")):
+        write[kind](tmp_path / "in" / f"part-{k}.txt".replace(".txt", ".txt.gz" if kind == "gz" else ".txt"), f'{{"n":{k}}}\n{{"é":{k}}}\n')
+        ingest.ingest(spark, source, out, state, lambda df: df.select("value"), pattern="part-*", lines=True)
+        assert sorted(r["value"] for r in spark.read.parquet(out).collect()) == sorted(f'{{"{x}":{j}}}' for j in range(k + 1) for x in "né")
+
+
+def test_options_that_are_no_objects(spark):
+    """Of options, pricings and fares what is of another kind is null on its own: what stands beside it stays."""
+    good = '{"id":1,"pricings":[{"id":"p","totalPrice":"3.5","pricingInfo":[{"faresInfo":[{"fareFamilyKey":"k","baggageAllowance":{"quantity":"q"}}]}]},7,null]}'
+    data = [f'{{"$values":[1,null,"x",{good},[{good}]]}}', f'[{good},{{"pricings":{good}}},{{"pricings":null}},3.5]', '{"$values":5}', '{"$values":null}', "7", "null", f'{{"$values":{{"a":{good}}}}}', '{"$values":[]}']
+    df = spark.createDataFrame([(f'{{"ranker_id":"{k}","data":{x}}}',) for k, x in enumerate(data)] + [("7",), (None,), (f'{{"data":[{good}]}}',)], "value string")
+    assert sorted(map(tuple, documents.pricings(df).collect())) == [(k, "1", "p", 3.5, "k", None, None) for k in "01"]
+    assert sorted(tuple(r)[:4] for r in documents.fares(df).collect() if r["ranker_id"]) == [(k, "1", "p", 3.5) for k in "01"]
+    assert {r["ranker_id"]: r["n_options"] for r in documents.headers(df).filter("ranker_id is not null").collect()} == {"0": 1, "1": 3, **{str(k): 0 for k in range(2, 8)}}
+
+
 @pytest.mark.parametrize("within", [0.01, 0.5, 3.0])
 def test_band_join(spark, within):
     """Nearest price within the tolerance, on both sides of bins' borders, with ties, nulls and repeated rows."""
